@@ -35,17 +35,23 @@ def load(raw: Mapping[str, DataFrame], root: str, tolerance_pct: float | None =
         if collection in raw:
             store.upsert_table(prepare(raw[collection]), f"{root}/{table}", keys)
             if tolerance_pct is not None:
-                stored = store.read_table(raw[collection].sparkSession, f"{root}/{table}")
-                store.require_integrity(raw[collection], stored, tolerance_pct, table)
+                kept = store.read_upserted(raw[collection].sparkSession, f"{root}/{table}", keys)
+                store.require_integrity(raw[collection], kept, tolerance_pct, table)
     for collection, (table, prepare) in REPLACED.items():
         if collection in raw:
             store.replace_table(prepare(raw[collection]), f"{root}/{table}")
 
 
+KEYS = {table: keys for table, _, keys in UPSERTED.values()}
+
+
 def stored(spark: SparkSession, root: str, table: str) -> DataFrame:
     """A stored table, or its typed empty form before the first load."""
-    if store.current_version(spark, f"{root}/{table}") >= 0:
-        return store.read_table(spark, f"{root}/{table}")
+    path = f"{root}/{table}"
+    if table in KEYS and store.has_changes(spark, path):
+        return store.read_upserted(spark, path, KEYS[table])
+    if store.current_version(spark, path) >= 0:
+        return store.read_table(spark, path)
     return store.bootstrap_empty(spark, table)
 
 

@@ -95,27 +95,29 @@ def require_integrity(source: DataFrame, stored: DataFrame, tolerance_pct: float
         )
 
 
-# -- versioned tables ----------------------------------------------------------
-
-
-def _filesystem(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _complete(spark: SparkSession, folder: str) -> bool:
-    marker, fs = _filesystem(spark, f"{folder}/_SUCCESS")
-    return fs.exists(marker)
+# -- stored tables -------------------------------------------------------------
+#
+# Snapshots (`v0`, `v1`, ...) hold replaced tables; change folders (`batch=0`,
+# `batch=1`, ...) hold upserted ones. A load writes only its own rows, whatever
+# the size of the table, and readers keep the newest batch of every key. Folders
+# count once Spark has marked them complete, so a lost job leaves nothing behind.
+
+
+def _numbered(spark: SparkSession, table: str, prefix: str) -> list[int]:
+    """Numbers of the complete folders `<prefix><n>` of a table, ascending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root = path(table)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(root)]
+    found = [int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit()]
+    return sorted(n for n in found if fs.exists(path(f"{table}/{prefix}{n}/_SUCCESS")))
 
 
 def current_version(spark: SparkSession, table: str) -> int:
-    """Newest completely written version, -1 for none."""
-    root, fs = _filesystem(spark, table)
-    if not fs.exists(root):
-        return -1
-    names = [status.getPath().getName() for status in fs.listStatus(root)]
-    versions = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
-    return max((v for v in versions if _complete(spark, f"{table}/v{v}")), default=-1)
+    """Newest complete snapshot, -1 for none."""
+    return max(_numbered(spark, table, "v"), default=-1)
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame:
@@ -123,13 +125,8 @@ def read_table(spark: SparkSession, table: str) -> DataFrame:
 
 
 def write_version(frame: DataFrame, table: str, version: int) -> None:
-    """Writes a version once. A finished one is left alone, a torn one written again.
-
-    A table is never overwritten while a plan still reads it: readers keep the
-    version they opened.
-    """
-    if not _complete(frame.sparkSession, f"{table}/v{version}"):
-        frame.write.mode("overwrite").parquet(f"{table}/v{version}")
+    """Writes a snapshot beside the older ones: readers keep the one they opened."""
+    frame.write.mode("overwrite").parquet(f"{table}/v{version}")
 
 
 def replace_table(frame: DataFrame, table: str) -> bool:
@@ -140,11 +137,42 @@ def replace_table(frame: DataFrame, table: str) -> bool:
     return True
 
 
+def append_changes(incoming: DataFrame, table: str, batch: int, keys: Sequence[str]) -> None:
+    """Writes one batch of an upserted table; the same batch again replaces itself."""
+    absent = [k for k in keys if k not in incoming.columns]
+    if absent:
+        raise ValueError(f"incoming rows lack key columns: {absent}")
+    incoming.write.mode("overwrite").parquet(f"{table}/batch={batch}")
+
+
 def upsert_table(incoming: DataFrame, table: str, keys: Sequence[str] = ("ticker", "date")) -> None:
-    spark = incoming.sparkSession
-    version = current_version(spark, table)
-    merged = incoming if version < 0 else upsert_by_key(read_table(spark, table), incoming, keys)
-    write_version(merged, table, version + 1)
+    batches = _numbered(incoming.sparkSession, table, "batch=")
+    append_changes(incoming, table, max(batches, default=-1) + 1, keys)
+
+
+def has_changes(spark: SparkSession, table: str) -> bool:
+    return bool(_numbered(spark, table, "batch="))
+
+
+def read_upserted(spark: SparkSession, table: str, keys: Sequence[str] = ("ticker", "date")) -> DataFrame:
+    """Rows of the newest batch of every key; columns are merged over the batches.
+
+    Rows with a NULL key never replace each other and all stay.
+    """
+    batches = _numbered(spark, table, "batch=")
+    paths = [f"{table}/batch={n}" for n in batches]
+    rows = spark.read.option("basePath", table).option("mergeSchema", True).parquet(*paths)
+    if len(batches) == 1:
+        return rows.drop("batch")
+    newest = rows.groupBy(*keys).agg(F.max("batch").alias("newest_batch"))
+    complete = ~F.array_contains(F.array(*[F.col(k).isNull() for k in keys]), True)
+    latest = rows.join(newest, list(keys), "left").filter(~complete | (F.col("batch") == F.col("newest_batch")))
+    return latest.drop("batch", "newest_batch")
+
+
+def compact(spark: SparkSession, table: str, target: str, keys: Sequence[str] = ("ticker", "date")) -> None:
+    """The resolved rows of a table as the first batch of a new one."""
+    append_changes(read_upserted(spark, table, keys), target, 0, keys)
 
 
 # -- file sinks ----------------------------------------------------------------

@@ -1,9 +1,9 @@
 """Structured Streaming jobs. Each drains its source once (`availableNow`) and ends.
 
 State stays small by design: one bar per key and day, one last-seen time per
-key, one key per day for duplicates. Results land in versioned tables through
-`foreachBatch`, whose batch number names the version, so a replayed batch
-writes what it wrote before.
+key, one key per day for duplicates. Results land as change sets of upserted
+tables through `foreachBatch`, whose batch number names the change set, so a
+replayed batch replaces itself.
 """
 
 from __future__ import annotations
@@ -31,20 +31,13 @@ def drain_into(
     mode: str = "append",
     prepare: Callable[[DataFrame], DataFrame] = lambda f: f,
 ) -> None:
-    """Runs a stream to the end of its source, upserting every batch by key."""
-    spark = stream.sparkSession
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        before = batch_id - 1
-        incoming = prepare(batch)
-        if before < 0:
-            merged = incoming
-        else:
-            merged = store.upsert_by_key(spark.read.parquet(f"{table}/v{before}"), incoming, keys)
-        store.write_version(merged, table, batch_id)
+    """Runs a stream to the end of its source; each batch is one change set of the table."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store.append_changes(prepare(batch), table, batch_id, keys)
 
     query = (
-        stream.writeStream.foreachBatch(merge)
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .outputMode(mode)
         .trigger(availableNow=True)
