@@ -1,5 +1,5 @@
 """Every registered query."""
 
-from equispark.registry import derived
+from equispark.registry import derived, loading, reports
 
-QUERIES = {**derived.QUERIES}
+QUERIES = {**loading.QUERIES, **derived.QUERIES, **reports.QUERIES}

@@ -30,6 +30,10 @@ class MarketTables:
     def file(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stream_path(self, name: str) -> str:
+        """A table's files as a glob, which a file stream takes for one file as for a folder of them."""
+        return f"{self.folder}/{name}.parquet*"
+
     # -- facts -----------------------------------------------------------
 
     @cached_property

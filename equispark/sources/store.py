@@ -178,13 +178,21 @@ def compact(spark: SparkSession, table: str, target: str, keys: Sequence[str] =
 # -- file sinks ----------------------------------------------------------------
 
 
+# Full precision and standard quoting, so that a file reads back as it was written.
+TEXT_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+CSV_OPTIONS = TEXT_TIMES | {"header": True, "escape": '"'}
+
+
 def sink_csv(frame: DataFrame, path: str) -> None:
-    frame.write.option("header", True).mode("errorifexists").csv(path)
+    frame.write.options(**CSV_OPTIONS).mode("errorifexists").csv(path)
 
 
 def sink_json(frame: DataFrame, path: str) -> None:
     """JSON lines; dates as ISO text, NULL fields written out."""
-    frame.write.option("ignoreNullFields", False).mode("errorifexists").json(path)
+    frame.write.options(**TEXT_TIMES, ignoreNullFields=False).mode("errorifexists").json(path)
 
 
 def sink_parquet(frame: DataFrame, path: str, date: str = "date") -> None:
