@@ -62,8 +62,9 @@ PRICE_NAMES = ("price", "open", "high", "low", "close", "adj_close")
 VOLUME_NAMES = ("volume", "shares", "count")
 
 
-def _fixed(value: Column, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}f", value)
+def _fixed(value: Column) -> Column:
+    """Two decimals, rounded from the exact binary value; printf would round its short form."""
+    return F.translate(F.format_number(value, 2), ",", "")
 
 
 def money_text(value: Column) -> Column:

@@ -1,5 +1,5 @@
 """Every registered query."""
 
-from equispark.registry import derived, loading, reports
+from equispark.registry import derived, loading, logs, reports
 
-QUERIES = {**loading.QUERIES, **derived.QUERIES, **reports.QUERIES}
+QUERIES = {**loading.QUERIES, **derived.QUERIES, **reports.QUERIES, **logs.QUERIES}

@@ -255,7 +255,7 @@ TEMPLATES = {
 
 FUNNEL_SQL = """
     SELECT m.* FROM t_metadata m
-    WHERE sector = 'EUROPE' AND ticker IN (SELECT ticker FROM t_valuation WHERE pe_ratio < 400)
+    WHERE sector = 'EUROPE' AND ticker IN (SELECT ticker FROM t_valuation WHERE pe_ratio < 30000)
       AND ticker IN (SELECT ticker FROM t_scores WHERE to_grade = 'Buy')"""
 
 
@@ -269,14 +269,14 @@ def _round4(*columns):
 
 SCREENS = {
     "screen_value": Query(
-        lambda t: screens.screen_value(t.valuation, t.metadata, 600, 5000),
+        lambda t: screens.screen_value(t.valuation, t.metadata, 20000, 3000),
         """SELECT ticker, sector, pe_ratio, pb_ratio FROM t_valuation JOIN t_metadata USING (ticker)
-           WHERE pe_ratio < 600 AND pb_ratio < 5000""",
+           WHERE pe_ratio < 20000 AND pb_ratio < 3000""",
     ),
     "screen_peg": Query(
-        lambda t: screens.screen_peg(t.valuation, 200),
+        lambda t: screens.screen_peg(t.valuation, 10000),
         """SELECT ticker, peg_ratio, market_cap FROM t_valuation
-           WHERE cap_class = 'Large Cap' AND peg_ratio < 200""",
+           WHERE cap_class = 'Large Cap' AND peg_ratio < 10000""",
     ),
     "screen_multi_currency_value": Query(
         lambda t: screens.screen_multi_currency_value(t.fx_valuation, 15, 2, 0.01, 1000),
@@ -305,7 +305,7 @@ SCREENS = {
     ),
     "screen_funnel": Query(
         lambda t: screens.screen_funnel(
-            t.metadata, t.valuation, t.recommendations, sector="EUROPE", max_pe=400, to_grade="Buy"
+            t.metadata, t.valuation, t.recommendations, sector="EUROPE", max_pe=30000, to_grade="Buy"
         ),
         FUNNEL_SQL,
     ),
@@ -336,8 +336,8 @@ SCREENS = {
         _last("close, pct_change_20d", "pct_change_20d > 10 ORDER BY pct_change_20d DESC, ticker LIMIT 20"),
     ),
     "screen_near_52w_high": Query(
-        lambda t: screens.screen_near_52w_high(t.indicators, 15),
-        _last("close, week_52_high, pct_from_52w_high", "pct_from_52w_high >= -15"),
+        lambda t: screens.screen_near_52w_high(t.indicators, 60),
+        _last("close, week_52_high, pct_from_52w_high", "pct_from_52w_high >= -60"),
     ),
     "screen_rsi": Query(
         lambda t: screens.screen_rsi(t.indicators, 45, 55),

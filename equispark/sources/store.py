@@ -103,16 +103,34 @@ def require_integrity(source: DataFrame, stored: DataFrame, tolerance_pct: float
 # count once Spark has marked them complete, so a lost job leaves nothing behind.
 
 
-def _numbered(spark: SparkSession, table: str, prefix: str) -> list[int]:
-    """Numbers of the complete folders `<prefix><n>` of a table, ascending."""
+def _filesystem(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path
-    root = path(table)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
+    return path, path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _numbered(spark: SparkSession, folder: str, prefix: str, marker: str = "_SUCCESS") -> list[int]:
+    """Numbers of the subfolders `<prefix><n>` that hold the marker, ascending."""
+    path, fs = _filesystem(spark, folder)
+    if not fs.exists(path(folder)):
         return []
-    names = [status.getPath().getName() for status in fs.listStatus(root)]
+    names = [status.getPath().getName() for status in fs.listStatus(path(folder))]
     found = [int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit()]
-    return sorted(n for n in found if fs.exists(path(f"{table}/{prefix}{n}/_SUCCESS")))
+    return sorted(n for n in found if fs.exists(path(f"{folder}/{prefix}{n}/{marker}")))
+
+
+def first_batch(spark: SparkSession, table: str, checkpoint: str) -> int:
+    """Number of a stream's batch 0 among the table's change sets.
+
+    Kept beside the stream's checkpoint: a restarted stream goes on with its own
+    numbers, a new one starts after everything already loaded.
+    """
+    folder = f"{checkpoint}/first_batch"
+    known = _numbered(spark, folder, "n", "")
+    if not known:
+        known = [max(_numbered(spark, table, "batch="), default=-1) + 1]
+        path, fs = _filesystem(spark, folder)
+        fs.mkdirs(path(f"{folder}/n{known[0]}"))
+    return known[0]
 
 
 def current_version(spark: SparkSession, table: str) -> int:

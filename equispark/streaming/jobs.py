@@ -33,8 +33,10 @@ def drain_into(
 ) -> None:
     """Runs a stream to the end of its source; each batch is one change set of the table."""
 
+    first = store.first_batch(stream.sparkSession, table, checkpoint)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.append_changes(prepare(batch), table, batch_id, keys)
+        store.append_changes(prepare(batch), table, first + batch_id, keys)
 
     query = (
         stream.writeStream.foreachBatch(write)
