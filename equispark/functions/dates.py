@@ -15,11 +15,16 @@ def parse_date(value: Column | str) -> Column:
     Text without an offset means UTC, as does a trailing Z.
     """
     text = F.trim((F.col(value) if isinstance(value, str) else value).cast("string"))
-    marked = F.when(text.rlike(r"(Z|[+-]\d{2}:\d{2})$"), text).otherwise(F.concat(text, F.lit("Z")))
-    day_only = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
-    instant = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d"), F.try_to_timestamp(marked))
-    as_utc = F.to_date(F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz")))
-    return F.when(day_only, F.try_to_date(text)).otherwise(as_utc)
+    size = F.length(text)
+    zoned = text.endswith("Z") | F.substring(text, -6, 1).isin("+", "-")
+    marked = (
+        F.when(size == 10, F.concat(text, F.lit("T00:00:00Z")))
+        .when((size > 10) & zoned, text)
+        .when(size > 10, F.concat(text, F.lit("Z")))
+    )
+    dashed = (F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-")
+    instant = F.try_to_timestamp(F.when(dashed, marked))
+    return F.to_date(F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz")))
 
 
 def _month_shift(day: date, months: int) -> date:

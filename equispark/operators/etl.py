@@ -117,10 +117,10 @@ def statement_fields(documents: DataFrame, sections: Sequence[str] = SECTIONS) -
         F.create_map().cast("map<string,double>"),
         later_wins,
     )
-    return (
-        documents.select(F.col("ticker"), parse_date("date").alias("date"), merged.alias("fields"))
-        .filter((F.col("ticker") != "") & F.col("date").isNotNull() & (F.size("fields") > 0))
-    )
+    # A one-element explode: Catalyst would otherwise parse the JSON once for the
+    # filter on the result and again for every column taken from it.
+    dated = documents.select("ticker", parse_date("date").alias("date"), F.explode(F.array(merged)).alias("fields"))
+    return dated.filter((F.col("ticker") != "") & F.col("date").isNotNull() & (F.size("fields") > 0))
 
 
 def field_names(statements: DataFrame) -> list[str]:

@@ -31,6 +31,7 @@ PEER_GROUPS: dict[str, list[str]] = {
     "Telecom": ["T", "VZ", "TMUS", "CMCSA"],
 }
 
+STATEMENT_COLUMNS = ("netIncome", "totalRevenue", "shareholderEquity", "totalAssets")
 LARGE_CAP = 10e9
 MID_CAP = 2e9
 
@@ -52,20 +53,28 @@ def ratios_financial(annual: DataFrame) -> DataFrame:
     return annual.filter("totalRevenue IS NOT NULL").select("ticker", "date", *columns)
 
 
+def _with_prior_filings(annual: DataFrame) -> DataFrame:
+    """Adds `prior_filings`: revenue and income of the calendar year before.
+
+    A range frame over the year finds them in the one shuffle on ticker; a
+    self-join would build the table twice. A ticker files once or a few times a
+    year, which bounds both the frame and the partition.
+    """
+    last_year = W.partitionBy("ticker").orderBy("fy").rangeBetween(-1, -1)
+    prior = F.collect_list(F.struct("totalRevenue", "netIncome")).over(last_year)
+    years = annual.withColumn("fy", F.year("date"))
+    return years.withColumn("prior_filings", F.when(F.col("fy").isNotNull(), prior)).drop("fy")
+
+
 def growth_annual(annual: DataFrame) -> DataFrame:
     """Each statement beside every statement of the calendar year before.
 
-    A range frame over the year finds the prior rows in the one shuffle on
-    ticker; exploding them keeps the semantics of a left self-join: a gap gives
+    Exploding the prior filings keeps the semantics of a left join: a gap gives
     NULL, two prior filings give two rows.
     """
-    years = annual.select("ticker", "date", "totalRevenue", "netIncome", F.year("date").alias("fy"))
-    last_year = W.partitionBy("ticker").orderBy("fy").rangeBetween(-1, -1)
-    prior = F.collect_list(F.struct("totalRevenue", "netIncome")).over(last_year)
-    pairs = years.withColumn("prior_filings", F.when(F.col("fy").isNotNull(), prior))
+    statements = annual.select("ticker", "date", "totalRevenue", "netIncome")
+    pairs = _with_prior_filings(statements).withColumn("p", F.explode_outer("prior_filings"))
     return pairs.select(
-        "ticker", "date", "totalRevenue", "netIncome", F.explode_outer("prior_filings").alias("p")
-    ).select(
         "ticker",
         "date",
         "totalRevenue",
@@ -104,11 +113,7 @@ def latest_price(prices: DataFrame) -> DataFrame:
 
 
 def latest_financials(annual: DataFrame) -> DataFrame:
-    return newest(
-        annual.filter("totalRevenue IS NOT NULL"),
-        ["netIncome", "totalRevenue", "shareholderEquity", "totalAssets"],
-        "fiscal_date",
-    )
+    return newest(annual.filter("totalRevenue IS NOT NULL"), STATEMENT_COLUMNS, "fiscal_date")
 
 
 def trailing_dividends(dividends: DataFrame, as_of: date, days: int = 365) -> DataFrame:
@@ -140,21 +145,27 @@ def valuation_metrics(
     """Market multiples at each company's newest price.
 
     Every input is first reduced to one row per ticker by partial aggregation,
-    so all joins are ticker-sized and share the ticker partitioning.
+    so all joins are ticker-sized and share the ticker partitioning. The newest
+    statement brings its prior filings along; the statements are read once.
     """
-    growth = growth_annual(annual).select("ticker", F.col("date").alias("fiscal_date"), "revenue_growth_yoy")
     company = metadata.select("ticker", "marketCap")
+    statements = annual.select("ticker", "date", *STATEMENT_COLUMNS)
+    latest = newest(
+        _with_prior_filings(statements).filter("totalRevenue IS NOT NULL"),
+        [*STATEMENT_COLUMNS, "prior_filings"],
+        "fiscal_date",
+    ).withColumn("prior", F.explode_outer("prior_filings"))
     base = (
         latest_price(prices)
         .join(company, "ticker")
-        .join(latest_financials(annual), "ticker", "left")
+        .join(latest, "ticker", "left")
         .join(trailing_dividends(dividends, as_of), "ticker", "left")
-        .join(growth, ["ticker", "fiscal_date"], "left")
         .withColumn("shares", pos_div("marketCap", "price"))
     )
     price, cap, shares = F.col("price"), F.col("marketCap"), F.col("shares")
     income, equity, revenue = F.col("netIncome"), F.col("shareholderEquity"), F.col("totalRevenue")
-    growth_rate, dividend = F.col("revenue_growth_yoy"), F.col("annual_dividend")
+    before, dividend = F.col("prior.totalRevenue"), F.col("annual_dividend")
+    growth_rate = pos_div(revenue - before, before)
     has_shares = shares > 0
     pe = F.when((income > 0) & has_shares, price / (income / shares))
     return base.select(

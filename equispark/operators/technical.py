@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 from pyspark.sql.window import WindowSpec
 
-from equispark.functions.numeric import pct_change
+from equispark.functions.numeric import pct_change, pos_div
 
 YEAR_BARS = 252
 
@@ -41,23 +41,39 @@ def one_bar_per_day(prices: DataFrame) -> DataFrame:
     return checked.withColumn("date", F.coalesce(guard, F.col("date"))).drop("repeated")
 
 
-def _with_averages(bars: DataFrame) -> DataFrame:
+def long_mean(blocks: str, n: int, block: int) -> Column:
+    """Mean of n rows out of the sums and counts of `block`-row frames.
+
+    Spark walks a whole sliding frame for every row. Shifting the short frames
+    costs one lag each, so 200 rows take 20 additions and 10 lags.
+    """
+    shifts = range(0, n, block)
+    parts = [F.coalesce(F.lag(f"{blocks}_sum", k).over(by_date()), F.lit(0.0)) for k in shifts]
+    counts = [F.coalesce(F.lag(f"{blocks}_n", k).over(by_date()), F.lit(0)) for k in shifts]
+    return pos_div(sum(parts[1:], parts[0]), sum(counts[1:], counts[0]))
+
+
+def long_extreme(column: str, pick, n: int, block: int) -> Column:
+    """Greatest or least value of n rows out of those of `block`-row frames."""
+    return pick(*[F.lag(column, k).over(by_date()) for k in range(0, n, block)])
+
+
+def _short_frames(bars: DataFrame) -> DataFrame:
+    lags = {f"close_{n}": F.lag("close", n).over(by_date()) for n in (1, 5, 20, 60, YEAR_BARS)}
+    blocks = {}
+    for n in (10, 13, 20):
+        blocks[f"b{n}_sum"] = F.sum("close").over(last_rows(n))
+        blocks[f"b{n}_n"] = F.count("close").over(last_rows(n))
     return bars.withColumns(
-        {
+        lags
+        | blocks
+        | {
             "sma_20": mean_over("close", 20),
-            "sma_50": mean_over("close", 50),
-            "sma_200": mean_over("close", 200),
             "ema_12": mean_over("close", 12),
-            "ema_26": mean_over("close", 26),
             "std_20": F.stddev_samp("close").over(last_rows(20)),
             "volume_avg_20": mean_over("volume", 20),
-            "prev_close": F.lag("close", 1).over(by_date()),
-            "close_5": F.lag("close", 5).over(by_date()),
-            "close_20": F.lag("close", 20).over(by_date()),
-            "close_60": F.lag("close", 60).over(by_date()),
-            "close_252": F.lag("close", YEAR_BARS).over(by_date()),
-            "week_52_high": F.max("close").over(last_rows(YEAR_BARS)),
-            "week_52_low": F.min("close").over(last_rows(YEAR_BARS)),
+            "high_21": F.max("close").over(last_rows(21)),
+            "low_21": F.min("close").over(last_rows(21)),
         }
     )
 
@@ -68,22 +84,21 @@ def technical_indicators(prices: DataFrame) -> DataFrame:
     `ema_12` and `ema_26` are plain averages over 12 and 26 rows, as the table
     defines them; `ema_true` has the recursion. Frames are kept while they fill.
     """
-    bars = prices.select("ticker", "date", "close", "volume")
-    step = F.col("close") - F.col("prev_close")
-    moved = _with_averages(bars).withColumns(
-        {
-            "gain": F.when(step > 0, step).otherwise(0.0),
-            "loss": F.when(step < 0, -step).otherwise(0.0),
-            "macd": F.col("ema_12") - F.col("ema_26"),
-        }
-    )
-    smoothed = moved.withColumns(
+    bars = _short_frames(prices.select("ticker", "date", "close", "volume"))
+    step = F.col("close") - F.col("close_1")
+    moved = bars.withColumns({"gain": F.when(step > 0, step).otherwise(0.0), "loss": F.when(step < 0, -step).otherwise(0.0)})
+    long = moved.withColumns(
         {
+            "sma_50": long_mean("b10", 50, 10),
+            "sma_200": long_mean("b20", 200, 20),
+            "ema_26": long_mean("b13", 26, 13),
+            "week_52_high": long_extreme("high_21", F.greatest, YEAR_BARS, 21),
+            "week_52_low": long_extreme("low_21", F.least, YEAR_BARS, 21),
             "avg_gain": mean_over("gain", 14),
             "avg_loss": mean_over("loss", 14),
-            "macd_signal": mean_over("macd", 9),
         }
     )
+    smoothed = long.withColumn("macd", F.col("ema_12") - F.col("ema_26")).withColumn("macd_signal", mean_over("macd", 9))
     rsi = (
         F.when(F.col("avg_loss") == 0, 100.0)
         .when(F.col("avg_gain") == 0, 0.0)
@@ -108,7 +123,7 @@ def technical_indicators(prices: DataFrame) -> DataFrame:
         (F.col("sma_20") - band).alias("bb_lower"),
         "volume_avg_20",
         F.when(F.col("volume_avg_20") > 0, F.col("volume").cast("double") / F.col("volume_avg_20")).alias("volume_ratio"),
-        pct_change("close", "prev_close").alias("pct_change_1d"),
+        pct_change("close", "close_1").alias("pct_change_1d"),
         pct_change("close", "close_5").alias("pct_change_5d"),
         pct_change("close", "close_20").alias("pct_change_20d"),
         pct_change("close", "close_60").alias("pct_change_60d"),
