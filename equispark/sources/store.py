@@ -118,19 +118,21 @@ def _numbered(spark: SparkSession, folder: str, prefix: str, marker: str = "_SUC
     return sorted(n for n in found if fs.exists(path(f"{folder}/{prefix}{n}/{marker}")))
 
 
-def first_batch(spark: SparkSession, table: str, checkpoint: str) -> int:
-    """Number of a stream's batch 0 among the table's change sets.
+def change_set_of(spark: SparkSession, table: str, checkpoint: str, batch_id: int) -> int:
+    """Number of the change set a stream's batch writes: the next free one, kept for replays.
 
-    Kept beside the stream's checkpoint: a restarted stream goes on with its own
-    numbers, a new one starts after everything already loaded.
+    The number is noted beside the stream's checkpoint before anything is
+    written, so a batch that runs again replaces its own rows and never those of
+    another load. One load at a time writes to a table.
     """
-    folder = f"{checkpoint}/first_batch"
+    folder = f"{checkpoint}/change_sets/{batch_id}"
     known = _numbered(spark, folder, "n", "")
-    if not known:
-        known = [max(_numbered(spark, table, "batch="), default=-1) + 1]
-        path, fs = _filesystem(spark, folder)
-        fs.mkdirs(path(f"{folder}/n{known[0]}"))
-    return known[0]
+    if known:
+        return known[0]
+    number = max(_numbered(spark, table, "batch="), default=-1) + 1
+    path, fs = _filesystem(spark, folder)
+    fs.mkdirs(path(f"{folder}/n{number}"))
+    return number
 
 
 def current_version(spark: SparkSession, table: str) -> int:

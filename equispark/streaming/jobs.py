@@ -33,10 +33,11 @@ def drain_into(
 ) -> None:
     """Runs a stream to the end of its source; each batch is one change set of the table."""
 
-    first = store.first_batch(stream.sparkSession, table, checkpoint)
+    spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.append_changes(prepare(batch), table, first + batch_id, keys)
+        number = store.change_set_of(spark, table, checkpoint, batch_id)
+        store.append_changes(prepare(batch), table, number, keys)
 
     query = (
         stream.writeStream.foreachBatch(write)
