@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from equispark.operators.ordering import exact_quantiles
+
 
 def pe_by_sector(valuation: DataFrame, metadata: DataFrame) -> DataFrame:
     sectors = metadata.select("ticker", "sector")
@@ -22,13 +24,10 @@ def cap_by_industry(metadata: DataFrame) -> DataFrame:
 
 
 def median_growth(growth: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Exact median revenue growth per sector.
-
-    The sketch-free percentile counts distinct values on the map side first.
-    """
+    """Exact median revenue growth per sector."""
     sectors = metadata.select("ticker", "sector")
     grown = growth.filter("revenue_growth_yoy IS NOT NULL").join(sectors, "ticker")
-    return grown.groupBy("sector").agg(F.median("revenue_growth_yoy").alias("median_growth"))
+    return exact_quantiles(grown, "sector", "revenue_growth_yoy", [0.5]).withColumnRenamed("q0", "median_growth")
 
 
 def group_avg_roe(ratios: DataFrame, peers: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -60,33 +59,19 @@ def sector_relative(valuation: DataFrame, metadata: DataFrame, metric: str = "ps
 
 
 def describe(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Long-form summary statistics of numeric columns, quartiles exact, in one pass."""
+    """Long-form summary statistics of numeric columns; the quartiles are exact."""
     long = frame.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "column_name", "value"
     )
-    quartiles = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (
-        long.groupBy("column_name")
-        .agg(
-            F.count("value").alias("n"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            quartiles.alias("q"),
-            F.max("value").alias("max"),
-        )
-        .select(
-            "column_name",
-            "n",
-            "mean",
-            "std",
-            "min",
-            F.col("q")[0].alias("p25"),
-            F.col("q")[1].alias("p50"),
-            F.col("q")[2].alias("p75"),
-            "max",
-        )
+    moments = long.groupBy("column_name").agg(
+        F.count("value").alias("n"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
     )
+    quartiles = exact_quantiles(long, "column_name", "value", [0.25, 0.5, 0.75]).toDF("column_name", "p25", "p50", "p75")
+    return moments.join(quartiles, "column_name", "left")
 
 
 def daily_returns(prices: DataFrame) -> DataFrame:
@@ -100,11 +85,12 @@ def daily_returns(prices: DataFrame) -> DataFrame:
 def return_correlation(prices: DataFrame, subject: str) -> DataFrame:
     """Correlation of every company's daily returns with the subject's, on common days.
 
-    The subject has one return a day, so the join adds no rows.
+    The subject has one return a day: the join adds no rows, and the calendar
+    bounds what is broadcast.
     """
     returns = daily_returns(prices)
     own = returns.filter(F.col("ticker") == subject).select("date", F.col("ret").alias("subject_ret"))
-    both = returns.filter(F.col("ticker") != subject).join(own, "date")
+    both = returns.filter(F.col("ticker") != subject).join(F.broadcast(own), "date")
     return both.groupBy("ticker").agg(F.corr("ret", "subject_ret").alias("correlation"), F.count("*").alias("days"))
 
 

@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from equispark.functions.numeric import pos_div
 from equispark.operators.fundamentals import latest_price, newest
@@ -48,13 +49,14 @@ def portfolio_unrealized(holdings: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def portfolio_allocation(holdings: DataFrame, prices: DataFrame, metadata: DataFrame, by: str = "sector") -> DataFrame:
-    """Share of each sector (or other company column) in its portfolio's value."""
+    """Share of each sector (or other company column) in its portfolio's value.
+
+    The window runs over the summed parts: one row per sector and portfolio.
+    """
     placed = _valued(holdings, prices).join(metadata.select("ticker", by), "ticker")
     parts = placed.groupBy("portfolio_name", by).agg(F.sum("value").alias("part_value"))
-    wholes = parts.groupBy("portfolio_name").agg(F.sum("part_value").alias("total_value"))
-    return parts.join(wholes, "portfolio_name").select(
-        "portfolio_name", by, "part_value", pos_div("part_value", "total_value").alias("share")
-    )
+    whole = F.sum("part_value").over(W.partitionBy("portfolio_name"))
+    return parts.withColumn("whole", whole).withColumn("share", pos_div("part_value", "whole")).drop("whole")
 
 
 def _since(prices: DataFrame, start: Column, as_of: date) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from equispark.functions.numeric import pos_div
 from equispark.operators.aggregates import daily_returns
-from equispark.session import checkpoint_dir
+from equispark.operators.ordering import global_row_number
 
 
 def rank_revenue(annual: DataFrame, top: int = 10) -> DataFrame:
@@ -56,31 +56,6 @@ def top_quartile(ratios: DataFrame, as_of_year: int) -> DataFrame:
     )
 
 
-def global_row_number(rows: DataFrame, order: list) -> DataFrame:
-    """1-based position in a total order, without gathering the rows.
-
-    monotonically_increasing_id numbers the rows of each sorted range partition;
-    the small table of partition sizes supplies the offsets. Range boundaries
-    are sampled, so the sorted rows are checkpointed: both uses must see the
-    same partitions, also after an executor is lost.
-    """
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(rows.sparkSession))
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
-    tagged = sorted_rows.withColumn("mid", F.monotonically_increasing_id()).select(
-        "*", F.shiftright("mid", 33).alias("pid"), (F.col("mid").bitwiseAND((1 << 33) - 1)).alias("within")
-    )
-    sizes = tagged.groupBy("pid").agg(F.count("*").alias("size"))
-    before = W.orderBy("pid").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("pid", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    return (
-        tagged.join(offsets, "pid")
-        .withColumn("row_no", F.col("offset") + F.col("within") + 1)
-        .drop("pid", "mid", "within", "offset")
-    )
-
-
 def volatility(prices: DataFrame, metadata: DataFrame, subject: str, n_peers: int = 3) -> DataFrame:
     """30, 90 and 252 day deviations of daily returns of a company and its largest sector peers."""
     company = metadata.select("ticker", "sector", "marketCap")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -44,4 +45,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return _local_scratch()
+
+
+@cache
+def _local_scratch() -> str:
     return tempfile.mkdtemp(prefix="equispark-", dir=os.environ.get("TMPDIR", "/tmp"))

@@ -129,12 +129,18 @@ def change_set_of(spark: SparkSession, table: str, checkpoint: str, batch_id: in
     known = _numbered(spark, folder, "n", "")
     if known:
         return known[0]
-    number = max(_numbered(spark, table, "batch="), default=-1) + 1
+    number = _next_change_set(spark, table)
     path, fs = _filesystem(spark, folder)
+    fs.mkdirs(path(f"{table}/batch={number}"))
     fs.mkdirs(path(f"{folder}/n{number}"))
     return number
 
 
+def _next_change_set(spark: SparkSession, table: str) -> int:
+    """One past every folder there is, complete, torn or just reserved."""
+    return max(_numbered(spark, table, "batch=", ""), default=-1) + 1
+
+
 def current_version(spark: SparkSession, table: str) -> int:
     """Newest complete snapshot, -1 for none."""
     return max(_numbered(spark, table, "v"), default=-1)
@@ -166,8 +172,7 @@ def append_changes(incoming: DataFrame, table: str, batch: int, keys: Sequence[s
 
 
 def upsert_table(incoming: DataFrame, table: str, keys: Sequence[str] = ("ticker", "date")) -> None:
-    batches = _numbered(incoming.sparkSession, table, "batch=")
-    append_changes(incoming, table, max(batches, default=-1) + 1, keys)
+    append_changes(incoming, table, _next_change_set(incoming.sparkSession, table), keys)
 
 
 def has_changes(spark: SparkSession, table: str) -> bool:

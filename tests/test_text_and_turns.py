@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from equispark.functions.dates import period_bounds
 from equispark.functions.text import mask_tail, money_text, redact_connection, report_text
 from equispark.operators import conversations, etl, series, text
+from equispark.operators.ordering import exact_quantiles, global_row_number
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 
@@ -99,7 +100,7 @@ def test_unknown_period():
 def test_global_numbers_and_quartile(spark):
     rows = [(f"T{i:03d}", date(2000, 12, 31), float((i * 7919) % 97)) for i in range(103)]
     frame = spark.createDataFrame(rows, "ticker string, date date, roe double")
-    numbered = series.global_row_number(frame, [F.desc("roe"), F.asc("ticker")]).collect()
+    numbered = global_row_number(frame, [F.desc("roe"), F.asc("ticker")]).collect()
     order = sorted(rows, key=lambda r: (-r[2], r[0]))
     assert [r.ticker for r in sorted(numbered, key=lambda r: r.row_no)] == [r[0] for r in order]
     assert sorted(r.row_no for r in numbered) == list(range(1, 104))
@@ -107,6 +108,19 @@ def test_global_numbers_and_quartile(spark):
     assert {r.ticker for r in top} == {r[0] for r in order[:26]}
 
 
+def test_exact_quantiles(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("aaab"), rng.choice([None, float(rng.randint(0, 40))])) for _ in range(500)]
+    out = exact_quantiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", [0.0, 0.25, 0.9]).collect()
+    assert len(out) == 2
+    for r in out:
+        own = sorted(v for k, v in rows if k == r.k and v is not None)
+        for share, got in zip((0.0, 0.25, 0.9), (r.q0, r.q1, r.q2)):
+            place = (len(own) - 1) * share
+            low, high = own[int(place)], own[min(int(place) + 1, len(own) - 1)]
+            assert got == pytest.approx(low + (high - low) * (place - int(place)))
+
+
 def test_report_formats(spark):
     values = spark.createDataFrame([(1.005,), (-182665.0,), (2.5e12,), (None,), (float("nan"),), (999.995,)], "v double")
     out = values.select(money_text(F.col("v")).alias("m"), report_text("net_margin", F.col("v")).alias("r")).collect()
