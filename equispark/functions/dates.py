@@ -27,6 +27,16 @@ def parse_date(value: Column | str) -> Column:
     return F.to_date(F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz")))
 
 
+def utc_instant(value: str) -> Column:
+    """TIMESTAMP of a zone-free UTC time, whatever the session's zone; event time has to be one."""
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(value)))
+
+
+def utc_date(instant: Column) -> Column:
+    return F.date_from_unix_date(F.floor(instant.cast("bigint") / 86400).cast("int"))
+
+
 def _month_shift(day: date, months: int) -> date:
     index = day.year * 12 + day.month - 1 - months
     year, month = divmod(index, 12)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from equispark.operators import aggregates, conversations, freshness, querylog, text
+from equispark.functions.dates import utc_instant
+from equispark.operators import aggregates, conversations, etl, freshness, querylog, text
 from equispark.registry.base import NOW, Query
 from equispark.registry.loading import statement_documents
-from equispark.operators import etl
 from equispark.sources import store
 from equispark.streaming import jobs
 
@@ -283,7 +283,7 @@ def _event_stream(t):
 def _ticks(rows):
     return rows.select(
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        utc_instant("ts").alias("ts"),
         F.col("value").alias("price"),
         (F.col("event_id") % 500).alias("size"),
         F.col("event_id").alias("seq"),

@@ -18,6 +18,10 @@ SEMANTICS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
+# The JVM never compiles methods above 8000 bytes; Spark then splits the wide
+# projections of the indicator tables instead of leaving them interpreted.
+SPEED = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
@@ -29,7 +33,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
-    for key, value in SEMANTICS.items():
+    for key, value in (SEMANTICS | SPEED).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

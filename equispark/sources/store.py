@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 
 # Declared types of the tables that exist before any data does.
 TABLE_TYPES = {
+    "financials_annual": "ticker string, date date, ebitda double, freeCashFlow double, grossProfit double, "
+    "netIncome double, operatingCashFlow double, shareholderEquity double, totalAssets double, "
+    "totalLiabilities double, totalRevenue double",
+    "prices_daily": "ticker string, date date, open double, high double, low double, close double, "
+    "adj_close double, volume bigint",
+    "dividends_history": "ticker string, date date, amount double",
+    "splits_history": "ticker string, date date, ratio double",
+    "company_metadata": "ticker string, longName string, shortName string, sector string, industry string, "
+    "website string, country string, exchange string, quoteType string, marketCap double, employees bigint, "
+    "description string, currency string, financialCurrency string, sharesOutstanding bigint",
     "user_portfolios": "portfolio_name string, ticker string, shares double, purchase_date date, "
     "purchase_price double, notes string",
     "earnings_history_raw": "ticker string, report_date date, fiscal_period string, eps_estimate double, "

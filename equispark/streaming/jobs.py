@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from equispark.functions.dates import utc_date
 from equispark.session import checkpoint_dir
 from equispark.sources import store
 
@@ -61,7 +62,7 @@ def stream_upsert(
 
 
 def daily_bars(ticks: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Open, high, low, close and volume per key and day of (ticker, ts, price, size, seq).
+    """Open, high, low, close and volume per key and UTC day of (ticker, ts, price, size, seq).
 
     The same plan serves a batch and a stream; on a stream the watermark lets
     finished days leave the state. Ticks combine before the shuffle, so a hot
@@ -79,7 +80,7 @@ def daily_bars(ticks: DataFrame, delay: str = "1 day") -> DataFrame:
             F.max_by("price", order).alias("close"),
             F.sum("size").alias("volume"),
         )
-        .select("ticker", F.to_date("w.start").alias("date"), "open", "high", "low", "close", "volume")
+        .select("ticker", utc_date(F.col("w.start")).alias("date"), "open", "high", "low", "close", "volume")
     )
 
 
