@@ -1,12 +1,13 @@
 """Every registered query against its SQL on the smallest data."""
 
-import __spark_entry__ as entry
 import pytest
 from compare import compare, duck
 
+from equispark.registry.all import QUERIES
+
 FOLDER = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
-RUNS = entry.queries()
+ORACLES = {name: query.oracle() for name, query in QUERIES.items() if query.sql is not None}
+RUNS = {name: query.frame for name, query in QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
