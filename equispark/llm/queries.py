@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equispark.llm import binary_tokens, decontamination, language, licenses, packing
+from equispark.llm import binary_tokens, decontamination, language, licenses, neardup, packing
 from equispark.llm.staging import scratch_path
 from equispark.llm.tokens import vocabulary
 
@@ -49,6 +49,10 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
 def op8_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     binary_tokens.write_tokens(table(spark, folder, "documents"), path, vocabulary())
@@ -64,7 +68,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_licenses, op4_language, op5_decontamination, op8_token_ids, op10_packing)
+    f.__name__: f for f in (op2_licenses, op4_language, op5_decontamination, op7_near_duplicates, op8_token_ids, op10_packing)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
