@@ -2,11 +2,11 @@
 
 A node is a distinct set of shingles, so exact copies cost one node whatever
 their number. Nodes that share a band meet in that band's bucket. A bucket of
-n nodes gives n - 1 candidate pairs with its smallest node, not all pairs. Once
-those are confirmed and contracted, buckets of near copies hold one component;
-only where a bucket still holds several, the nodes outside its largest
-component are compared with the rest. Any two linked nodes that ever met in a
-bucket thus end in one component.
+n nodes gives n - 1 candidate pairs with its smallest node, not all pairs; of
+these each node first tries one, then those whose ends are still apart.
+Confirmed links are contracted. Buckets of near copies then hold one
+component. Where a bucket still holds several, its nodes are paired by their
+rarest shingles, which loses no link between them.
 
 With 40 bands of 4 minima, two sets with similarity 0.75 miss every bucket with
 probability 3e-7 and at 0.8 with 6e-10.
@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from equispark.llm.staging import staged
 from equispark.llm.text import filled
@@ -152,31 +153,53 @@ class Graph:
         self.percent = percent
         self.texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.rows = staged(self.texts.mapInArrow(_summaries, "doc_id long, n long, node binary, minima binary"), "minima")
-        # min_by and first would do; equal nodes have equal minima, so any row serves.
-        self.nodes = self.rows.filter("node IS NOT NULL").groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("minima").alias("minima")
-        )
+        self.filled = self.rows.filter("node IS NOT NULL")
+        self.nodes = self.filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
 
     def buckets(self) -> DataFrame:
-        """Staged (bucket, node, n) of the buckets with at least two nodes."""
-        keys = self.nodes.select("node", "minima").mapInArrow(_bands, "bucket long, node binary")
-        keys = staged(keys, "bands")
-        shared = keys.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("members")).filter("members > 1")
-        return staged(keys.join(shared.drop("members"), "bucket"), "buckets")
+        """Staged (bucket, node, centre) of the buckets with at least two nodes.
+
+        Bucket minima are aggregated before the shuffle and joined back, so a
+        bucket of a third of all nodes is split like any other skewed join.
+        """
+        keys = self.filled.select("node", "minima").mapInArrow(_bands, "bucket long, node binary")
+        ends = keys.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last"))
+        shared = ends.filter("centre <> last").drop("last")
+        return staged(keys.join(shared, "bucket").distinct(), "buckets")
+
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """Staged (node, held): the sorted shingle set of each node of `nodes` (node, doc_id)."""
+
+        def own_sets(batches):
+            for batch in batches:
+                keep, sets = [], []
+                for i, (node, text) in enumerate(zip(batch["node"].to_pylist(), filled(batch["text"]))):
+                    held = shingles(text.as_buffer().to_pybytes())
+                    if node_of(held) == node:  # another row of this doc_id may have another text
+                        keep.append(i)
+                        sets.append(held.tobytes())
+                yield pa.RecordBatch.from_arrays([batch["node"].take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary())], names=["node", "held"])
+
+        matched = self.texts.join(nodes, self.texts.doc_id.eqNullSafe(nodes.doc_id)).select("node", "text")
+        return staged(matched.mapInArrow(own_sets, "node binary, held binary").dropDuplicates(["node"]), "sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of nodes whose full sets are similar enough.
+        """Staged pairs (a, b) of nodes whose full sets are similar enough.
 
         Sizes and minima rule out most others first: pairs at the limit agree in
-        75 % of their minima, and none falls 25 points below that by chance
-        (8 standard deviations). The rest fetch their texts and compare sets.
+        75 % of their minima; five standard deviations below that, a pair is
+        taken for unlike. The rest fetch their texts and compare whole sets.
         """
-        percent, least = self.percent, (self.percent / 100 - 0.25) * BANDS * ROWS
-        sides = self.nodes.select("node", "doc_id", "n", "minima")
-        a = sides.select([F.col(c).alias(f"{c}_a") for c in sides.columns])
-        b = sides.select([F.col(c).alias(f"{c}_b") for c in sides.columns])
-        both = pairs.join(a, pairs.a == F.col("node_a")).join(b, pairs.b == F.col("node_b"))
-        both = both.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        percent = self.percent
+        share, many = percent / 100, BANDS * ROWS
+        least = many * share - 5 * (many * share * (1 - share)) ** 0.5
+        a = self.nodes.select(F.col("node").alias("a"), F.col("doc_id").alias("doc_id_a"), F.col("n").alias("n_a"))
+        b = self.nodes.select(F.col("node").alias("b"), F.col("doc_id").alias("doc_id_b"), F.col("n").alias("n_b"))
+        sized = pairs.join(a, "a").join(b, "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        sized = staged(sized.drop("n_a", "n_b"), "sized")
+        used = sized.select(F.col("a").alias("node")).union(sized.select("b")).distinct()
+        signatures = self.filled.select("node", "minima").join(used, "node", "left_semi").dropDuplicates(["node"])
+        signatures = staged(signatures, "signatures")
 
         def likely(batches):
             for batch in batches:
@@ -188,29 +211,15 @@ class Graph:
                 kept = batch.filter(pa.array((one == two).sum(axis=1) >= least))
                 yield pa.RecordBatch.from_arrays([kept[c] for c in ("a", "b", "doc_id_a", "doc_id_b")], names=["a", "b", "doc_id_a", "doc_id_b"])
 
-        wanted = staged(
-            both.select("a", "b", "doc_id_a", "doc_id_b", "minima_a", "minima_b").mapInArrow(
-                likely, "a binary, b binary, doc_id_a long, doc_id_b long"
-            ),
-            "pairs",
+        signed = sized.join(signatures.select(F.col("node").alias("a"), F.col("minima").alias("minima_a")), "a").join(
+            signatures.select(F.col("node").alias("b"), F.col("minima").alias("minima_b")), "b"
         )
+        wanted = signed.select("a", "b", "doc_id_a", "doc_id_b", "minima_a", "minima_b")
+        wanted = staged(wanted.mapInArrow(likely, "a binary, b binary, doc_id_a long, doc_id_b long"), "pairs")
         needed = wanted.select(F.col("a").alias("node"), F.col("doc_id_a").alias("doc_id")).union(
             wanted.select("b", "doc_id_b")
         ).distinct()
-
-        def own_sets(batches):
-            for batch in batches:
-                keep, sets = [], []
-                for i, (node, text) in enumerate(zip(batch["node"].to_pylist(), filled(batch["text"]))):
-                    held = shingles(text.as_buffer().to_pybytes())
-                    if node_of(held) == node:  # another row of this doc_id may have another text
-                        keep.append(i)
-                        sets.append(held.tobytes())
-                yield pa.RecordBatch.from_arrays([batch["node"].take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary())], names=["node", "held"])
-
-        # Equal texts may stand in several rows of one doc_id; min keeps one set a node.
-        matched = self.texts.join(needed, self.texts.doc_id.eqNullSafe(needed.doc_id)).select("node", "text")
-        sets = staged(matched.mapInArrow(own_sets, "node binary, held binary").dropDuplicates(["node"]), "sets")
+        sets = self.sets_of(needed)
         held = wanted.join(sets.select(F.col("node").alias("a"), F.col("held").alias("set_a")), "a").join(
             sets.select(F.col("node").alias("b"), F.col("held").alias("set_b")), "b"
         )
@@ -227,6 +236,51 @@ class Graph:
 
         return staged(held.select("a", "b", "set_a", "set_b").mapInArrow(compared, "a binary, b binary"), "links")
 
+    def across(self, open_nodes: DataFrame) -> DataFrame:
+        """Pairs (a, b) of `open_nodes` (node, component) that may be linked, of two components.
+
+        Two sets of similarity t share one of the n - ceil(t n) + 1 rarest
+        shingles of each. Rarity is counted among the open nodes; shingles of
+        one node alone fill places but pair nothing. So versions of one text
+        that each differ from the others in many places give no pairs.
+        """
+        percent = self.percent
+        described = open_nodes.join(self.nodes, "node").withColumn("short", F.conv(F.substring(F.hex("node"), 1, 15), 16, 10).cast("long"))
+        described = staged(described, "open")
+
+        def exploded(batches):
+            for batch in batches:
+                sets = [np.frombuffer(s.as_buffer(), np.uint64).view(np.int64) for s in batch["held"]]
+                shorts = [np.full(len(s), int(n.as_buffer().hex()[:15], 16)) for s, n in zip(sets, batch["node"])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([*shorts, np.zeros(0, np.int64)])), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))],
+                    names=["short", "shingle"],
+                )
+
+        rows = self.sets_of(described.select("node", "doc_id")).mapInArrow(exploded, "short long, shingle long")
+        known = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+        shared = staged(rows.join(known, "shingle"), "shared")
+        least = F.ceil(F.col("n") * percent / 100).cast("long")
+        lengths = shared.groupBy("short").agg(F.count("*").alias("in_common")).join(described, "short")
+        # (n - least + 1) places less those of the n - in_common lone shingles
+        places = lengths.select("short", "n", "component", (F.col("in_common") - least + 1).alias("places")).filter("places > 0")
+        order = W.partitionBy("short").orderBy("df", "shingle")  # one document's shingles
+        prefix = shared.join(places.select("short", "places"), "short").withColumn("r", F.row_number().over(order))
+        prefix = prefix.filter("r <= places").select("shingle", "short").join(places.drop("places"), "short")
+        prefix = staged(prefix, "prefix")
+        sizes = prefix.groupBy("shingle", "component").agg(F.count("*").alias("size"))
+        mains = sizes.groupBy("shingle").agg(
+            F.count("*").alias("parts"), F.max_by("component", F.struct("size", "component")).alias("main")
+        )
+        met = prefix.join(mains.filter("parts > 1").drop("parts"), "shingle")
+        minor = met.filter("component <> main").select("shingle", F.col("short").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("of_x"))
+        rest = met.select("shingle", F.col("short").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("of_y"))
+        fits = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (F.col("of_x") != F.col("of_y"))
+        pairs = minor.join(rest, "shingle").filter(fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        a = described.select(F.col("short").alias("x"), F.col("node").alias("a"))
+        b = described.select(F.col("short").alias("y"), F.col("node").alias("b"))
+        return pairs.join(a, "x").join(b, "y").select("a", "b")
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes in links (a, b); the component is its smallest node.
@@ -276,22 +330,25 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     """
     graph = Graph(documents, percent)
     buckets = graph.buckets()
-    first = graph.confirmed(buckets.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-    found = staged(components(first), "components")
+    stars = staged(
+        buckets.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars"
+    )
+    links = graph.confirmed(stars.groupBy("b").agg(F.min("a").alias("a")))
+    found = staged(components(links), "components")
+
+    # Stars whose ends are still apart.
+    of_a = found.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
+    of_b = found.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
+    apart = stars.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    links = staged(links.union(graph.confirmed(apart.select("a", "b"))), "links")
+    found = staged(components(links), "components")
 
-    # Second pass: buckets in which more than one component is left.
+    # Nodes of buckets in which more than one component is left.
     members = buckets.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("bucket").agg(
-        F.count("*").alias("parts"), F.max_by("component", F.struct("size", "component")).alias("main")
-    ).filter("parts > 1")
-    open_members = staged(members.join(largest.drop("parts"), "bucket"), "open")
-    minor = open_members.filter("component <> main").select("bucket", F.col("node").alias("x"), F.col("component").alias("of_x"))
-    rest = open_members.select("bucket", F.col("node").alias("y"), F.col("component").alias("of_y"))
-    across = minor.join(rest, "bucket").filter("of_x <> of_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = graph.confirmed(across)
-    found = staged(components(known.union(second)), "components") if not second.isEmpty() else found
+    ends = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    open_nodes = members.join(ends.filter("least <> most"), "bucket").select("node", "component").distinct()
+    links = staged(links.union(graph.confirmed(graph.across(open_nodes))), "links")
+    found = staged(components(links), "components")
 
     named = graph.rows.select("doc_id", "n", "node").join(found, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
