@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equispark.llm import binary_tokens, decontamination, language, licenses, neardup, packing
+from equispark.llm import binary_tokens, decontamination, fingerprints, language, licenses, neardup, packing, url_filter
 from equispark.llm.staging import scratch_path
 from equispark.llm.tokens import vocabulary
 
@@ -16,6 +16,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The list of the method: url keys whose html also stands under another key."""
+    pages = table(spark, folder, "pages")
+    return url_filter.filtered(pages, URL_RULES, url_filter.copied_pages(pages))
+
+
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 
@@ -49,6 +58,10 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edits(table(spark, folder, "documents")).drop("changed")
+
+
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
@@ -68,12 +81,58 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_licenses, op4_language, op5_decontamination, op7_near_duplicates, op8_token_ids, op10_packing)
+    f.__name__: f for f in (op1_url_filter, op2_licenses, op4_language, op5_decontamination, op6_fingerprints, op7_near_duplicates, op8_token_ids, op10_packing)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_TREE = (
+    "list_transform(string_split({0}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), "
+    "lambda p: list_transform(regexp_extract_all(p, '(?s).{{1,64}}'), lambda b: substr(md5(b), 1, 8))))"
+)
+_BODY = (
+    "array_to_string(list_transform({0}, lambda s: substr(md5({1}), 1, 16) || '=' || {1}), '|')".replace(
+        "{1}", "array_to_string(list_transform(s, lambda p: substr(md5(array_to_string(p, ',')), 1, 16) || ':' || array_to_string(p, ',')), '/')"
+    )
+)
+_LIKE = (
+    "CASE WHEN {0} = {1} THEN 1.0 ELSE 2.0 * len(list_intersect({2}, {3})) / greatest(len({2}) + len({3}), 1) END"
+)
+
 SQL: dict[str, str] = {
+    "op1_url_filter": """
+        WITH rest AS (
+                 SELECT *, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+             p AS (
+                 SELECT page_id, html, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                        regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+             copied AS (SELECT html FROM p WHERE html IS NOT NULL GROUP BY html HAVING count(DISTINCT host || path) > 1),
+             listed AS (SELECT DISTINCT host || path AS key FROM p WHERE html IN (SELECT html FROM copied)),
+             ruled AS (
+                 SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+                                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+                                WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+                                WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule,
+                        host || path IN (SELECT key FROM listed) AS listed FROM p)
+        SELECT page_id, host, path, rule, listed,
+               CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+                    WHEN listed THEN 'block' ELSE 'allow' END AS verdict
+        FROM ruled""",
+    "op6_fingerprints": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+             n AS (
+                 SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text
+                 FROM d WINDOW w AS (ORDER BY doc_id DESC, text)),
+             e AS (SELECT *, substr(text, 1, length(text) - length(text) // 3) || substr(next_text, 1, length(text) // 3) AS edited FROM n),
+             t AS (SELECT *, {_TREE.format("text")} AS tree, {_TREE.format("edited")} AS edited_tree, {_TREE.format("next_text")} AS next_tree FROM e),
+             b AS (
+                 SELECT *, {_BODY.format("tree")} AS body, {_BODY.format("edited_tree")} AS edited_body, {_BODY.format("next_tree")} AS next_body,
+                        list_distinct(flatten(flatten(tree))) AS l, list_distinct(flatten(flatten(edited_tree))) AS el,
+                        list_distinct(flatten(flatten(next_tree))) AS nl FROM t)
+        SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, md5(body) || ';' || body AS fingerprint,
+               md5(edited_body) || ';' || edited_body AS edited_fingerprint,
+               {_LIKE.format("body", "edited_body", "l", "el")} AS near_edited, {_LIKE.format("body", "next_body", "l", "nl")} AS near_next
+        FROM b""",
     "op5_decontamination": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
              b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
