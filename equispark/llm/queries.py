@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equispark.llm import binary_tokens, decontamination, fingerprints, language, licenses, neardup, packing, url_filter
+import corpus_pipeline
+from equispark.llm import binary_tokens, decontamination, fingerprints, language, licenses, neardup, packing, pii, quality, url_filter
 from equispark.llm.staging import scratch_path
 from equispark.llm.tokens import vocabulary
 
@@ -42,6 +43,13 @@ def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents carry no url: their source is the host, its part in one language the path."""
+    documents = table(spark, folder, "documents")
+    evidence = quality.fit(documents, table(spark, folder, "labels"))
+    return quality.classify(documents, evidence, F.col("source"), F.col("lang"))
+
+
 def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
@@ -73,6 +81,18 @@ def op8_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [
+        F.array_size(F.filter("spans", lambda s, kind=kind: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+        for kind in pii.KINDS
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.as_text(base), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans")
+    )
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(table(spark, folder, "documents"), vocabulary())
     return packed.select(
@@ -81,7 +101,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_licenses, op4_language, op5_decontamination, op6_fingerprints, op7_near_duplicates, op8_token_ids, op10_packing)
+    f.__name__: f for f in (op1_url_filter, op2_licenses, op3_quality, op4_language, op5_decontamination, op6_fingerprints, op7_near_duplicates, op8_token_ids, op9_personal_data, op10_packing)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -99,6 +119,8 @@ _LIKE = (
     "CASE WHEN {0} = {1} THEN 1.0 ELSE 2.0 * len(list_intersect({2}, {3})) / greatest(len({2}) + len({3}), 1) END"
 )
 
+QUERIES["pipeline"] = corpus_pipeline.run
+
 SQL: dict[str, str] = {
     "op1_url_filter": """
         WITH rest AS (
