@@ -5,8 +5,9 @@ their number. Nodes that share a band meet in that band's bucket. A bucket of
 n nodes gives n - 1 candidate pairs with its smallest node, not all pairs; of
 these each node first tries one, then those whose ends are still apart.
 Confirmed links are contracted. Buckets of near copies then hold one
-component. Where a bucket still holds several, its nodes are paired by their
-rarest shingles, which loses no link between them.
+component. Where a bucket still holds several, all its pairs of different
+components are compared by bitmaps inside the tasks, block by block, and only
+those that may be linked become rows; no link of a bucket is lost.
 
 With 40 bands of 4 minima, two sets with similarity 0.75 miss every bucket with
 probability 3e-7 and at 0.8 with 6e-10.
@@ -22,7 +23,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from equispark.llm.staging import staged
 from equispark.llm.text import filled
@@ -236,50 +236,82 @@ class Graph:
 
         return staged(held.select("a", "b", "set_a", "set_b").mapInArrow(compared, "a binary, b binary"), "links")
 
-    def across(self, open_nodes: DataFrame) -> DataFrame:
-        """Pairs (a, b) of `open_nodes` (node, component) that may be linked, of two components.
+    def across(self, members: DataFrame, block: int = 1024) -> DataFrame:
+        """Pairs (a, b) of two components in one bucket that may be linked.
 
-        Two sets of similarity t share one of the n - ceil(t n) + 1 rarest
-        shingles of each. Rarity is counted among the open nodes; shingles of
-        one node alone fill places but pair nothing. So versions of one text
-        that each differ from the others in many places give no pairs.
+        `members` has (bucket, node, component). Every pair of a bucket is
+        looked at, in blocks of at most `block` by `block` nodes inside a task,
+        by bitmaps of 16-bit shingle marks, which bound the intersection from
+        above. Only pairs within that bound become rows. A large bucket is many
+        blocks, so no task holds all of it.
         """
         percent = self.percent
-        described = open_nodes.join(self.nodes, "node").withColumn("short", F.conv(F.substring(F.hex("node"), 1, 15), 16, 10).cast("long"))
-        described = staged(described, "open")
 
-        def exploded(batches):
+        def marks(batches):
             for batch in batches:
-                sets = [np.frombuffer(s.as_buffer(), np.uint64).view(np.int64) for s in batch["held"]]
-                shorts = [np.full(len(s), int(n.as_buffer().hex()[:15], 16)) for s, n in zip(sets, batch["node"])]
+                sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch["held"]]
+                found = [np.unique(own.astype(np.uint16)).tobytes() for own in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([*shorts, np.zeros(0, np.int64)])), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))],
-                    names=["short", "shingle"],
+                    [batch["node"], pa.array([len(own) for own in sets], pa.int64()), pa.array(found, pa.binary())], names=["node", "n", "mark"]
                 )
 
-        rows = self.sets_of(described.select("node", "doc_id")).mapInArrow(exploded, "short long, shingle long")
-        known = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
-        shared = staged(rows.join(known, "shingle"), "shared")
-        least = F.ceil(F.col("n") * percent / 100).cast("long")
-        lengths = shared.groupBy("short").agg(F.count("*").alias("in_common")).join(described, "short")
-        # (n - least + 1) places less those of the n - in_common lone shingles
-        places = lengths.select("short", "n", "component", (F.col("in_common") - least + 1).alias("places")).filter("places > 0")
-        order = W.partitionBy("short").orderBy("df", "shingle")  # one document's shingles
-        prefix = shared.join(places.select("short", "places"), "short").withColumn("r", F.row_number().over(order))
-        prefix = prefix.filter("r <= places").select("shingle", "short").join(places.drop("places"), "short")
-        prefix = staged(prefix, "prefix")
-        sizes = prefix.groupBy("shingle", "component").agg(F.count("*").alias("size"))
-        mains = sizes.groupBy("shingle").agg(
-            F.count("*").alias("parts"), F.max_by("component", F.struct("size", "component")).alias("main")
-        )
-        met = prefix.join(mains.filter("parts > 1").drop("parts"), "shingle")
-        minor = met.filter("component <> main").select("shingle", F.col("short").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("of_x"))
-        rest = met.select("shingle", F.col("short").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("of_y"))
-        fits = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (F.col("of_x") != F.col("of_y"))
-        pairs = minor.join(rest, "shingle").filter(fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        a = described.select(F.col("short").alias("x"), F.col("node").alias("a"))
-        b = described.select(F.col("short").alias("y"), F.col("node").alias("b"))
-        return pairs.join(a, "x").join(b, "y").select("a", "b")
+        ends = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"))
+        rows = members.join(ends.filter("least <> most").select("bucket", "size"), "bucket")
+        used = rows.select("node").distinct().join(self.nodes, "node").select("node", "doc_id")
+        rows = rows.join(staged(self.sets_of(used).mapInArrow(marks, "node binary, n long, mark binary"), "marks"), "node")
+        parts = F.ceil(F.col("size") / block).cast("int")
+        own = F.pmod(F.xxhash64("node"), parts).cast("int")
+        rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "mark")
+        dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "own", "node")
+
+        def compared(batches):
+            held: list[tuple] = []
+            key = None
+            for batch in batches:
+                columns = [batch[c].to_pylist() for c in ("bucket", "i", "j", "own", "node", "component", "n", "mark")]
+                for bucket, i, j, own, *row in zip(*columns):
+                    if (bucket, i, j) != key and held:
+                        yield from _met(held, key, percent)
+                        held = []
+                    key = (bucket, i, j)
+                    held.append((own, *row))
+            if held:
+                yield from _met(held, key, percent)
+
+        return dealt.mapInArrow(compared, "a binary, b binary").distinct()
+
+
+def _met(rows: list[tuple], key: tuple[int, int, int], percent: int):
+    """The pairs of one block that differ in component and may have enough in common.
+
+    Marks are folded into bitmaps. Common shingles set common bits; two of one
+    set may share a bit, so what a set lost that way is added to the count.
+    """
+    own = np.array([r[0] for r in rows])
+    names, numbers = {}, np.empty(len(rows), np.int64)
+    for at, r in enumerate(rows):
+        numbers[at] = names.setdefault(r[2], len(names))
+    if len(names) < 2:
+        return
+    sizes = np.array([r[3] for r in rows])
+    width = 1 << min(16, max(10, (16 * int(sizes.max())).bit_length()))
+    bitmaps = np.empty((len(rows), width // 64), np.uint64)
+    for at, r in enumerate(rows):
+        row = np.zeros(width, bool)
+        row[np.frombuffer(r[4], np.uint16) & (width - 1)] = True
+        bitmaps[at] = np.packbits(row).view(np.uint64)
+    lost = sizes - np.bitwise_count(bitmaps).sum(axis=1, dtype=np.int64)
+    pairs = []
+    for x in range(len(rows)):
+        later = np.arange(x + 1, len(rows)) if key[1] == key[2] else np.flatnonzero(own > own[x])
+        later = later[(numbers[later] != numbers[x]) & (np.minimum(sizes[later], sizes[x]) * 100 >= np.maximum(sizes[later], sizes[x]) * percent)]
+        if len(later):
+            both = np.bitwise_count(bitmaps[later] & bitmaps[x]).sum(axis=1, dtype=np.int64) + np.minimum(lost[later], lost[x])
+            pairs += [(rows[x][1], rows[y][1]) for y in later[100 * both >= percent * (sizes[later] + sizes[x] - both)]]
+    if pairs:
+        ordered = [(min(p), max(p)) for p in pairs]
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in ordered], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -343,11 +375,9 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     links = staged(links.union(graph.confirmed(apart.select("a", "b"))), "links")
     found = staged(components(links), "components")
 
-    # Nodes of buckets in which more than one component is left.
+    # Buckets in which more than one component is left.
     members = buckets.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    ends = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    open_nodes = members.join(ends.filter("least <> most"), "bucket").select("node", "component").distinct()
-    links = staged(links.union(graph.confirmed(graph.across(open_nodes))), "links")
+    links = staged(links.union(graph.confirmed(staged(graph.across(members), "across"))), "links")
     found = staged(components(links), "components")
 
     named = graph.rows.select("doc_id", "n", "node").join(found, "node", "left")
