@@ -144,8 +144,8 @@ def fx_convert(
 
 
 def fx_money_convert(facts: DataFrame, amount: str, rate: str) -> DataFrame:
-    """Adds the amount at a positive rate, four places; other rates are reported."""
-    money, factor = F.col(amount).cast("decimal(20,4)"), F.col(rate).cast("decimal(14,6)")
+    """Adds the amount at a positive rate of up to 18 places, only the product rounded to four; other rates are reported."""
+    money, factor = F.col(amount).cast("decimal(20,4)"), F.col(rate).cast("decimal(24,18)")
     return facts.withColumn("converted", F.when(factor > 0, decimal4(money * factor))).withColumn(
         "error", F.when(~F.coalesce(factor > 0, F.lit(False)), "rate must be positive")
     )

@@ -50,8 +50,8 @@ def query_log_search(log: DataFrame, text: str, n: int = 20) -> DataFrame:
 
 
 def query_log_prune(log: DataFrame, max_records: int) -> DataFrame:
-    """The newest records only: a top-k per partition, merged, never one global sort."""
-    return log.orderBy(*_newest_first()).limit(max_records)
+    """The newest records only: a top-k per partition, merged. Zero or less keeps the whole log."""
+    return log if max_records <= 0 else log.orderBy(*_newest_first()).limit(max_records)
 
 
 def query_log_to_turns(log: DataFrame) -> DataFrame:

@@ -134,9 +134,9 @@ def screen_macd_bullish(indicators: DataFrame) -> DataFrame:
     return latest_bars(indicators, "macd", "macd_signal").filter("macd > macd_signal")
 
 
-def screen_momentum(indicators: DataFrame, min_change: float = 10, top: int = 20) -> DataFrame:
+def screen_momentum(indicators: DataFrame, min_change: float = 10, top: int | None = None) -> DataFrame:
     hits = latest_bars(indicators, "close", "pct_change_20d").filter(F.col("pct_change_20d") > min_change)
-    return hits.orderBy(F.desc("pct_change_20d"), "ticker").limit(top)
+    return hits if top is None else hits.orderBy(F.desc("pct_change_20d"), "ticker").limit(top)
 
 
 def screen_near_52w_high(indicators: DataFrame, within: float = 5) -> DataFrame:
@@ -264,16 +264,17 @@ def estimate_revisions(estimates: DataFrame, metric: str = "current_year_growth"
 # -- peers ----------------------------------------------------------------------------
 
 
-def peer_rank(facts: DataFrame, peers: DataFrame, metric: str, year: int, top: int = 10) -> DataFrame:
-    """Best `top` ranks of a metric inside each peer group for a year.
+def peer_rank(facts: DataFrame, peers: DataFrame, metric: str, year: int, top: int | None = None) -> DataFrame:
+    """Ranks of a metric inside each peer group for a year, all of them or the best `top`.
 
-    The rank filter keeps `top` rows per group in every map task, so a group
-    that holds most companies is cut down before the shuffle.
+    A row is one company of a year. With `top`, the rank filter keeps that many
+    rows per group in every map task, before the shuffle.
     """
     rows = facts.filter((F.year("date") == year) & F.col(metric).isNotNull()).select("ticker", "date", metric)
     order = W.partitionBy("peer_group").orderBy(F.desc(metric), "ticker")
     ranked = rows.join(peers, "ticker").withColumn("peer_rank", F.rank().over(order).cast("bigint"))
-    return ranked.filter(F.col("peer_rank") <= top).select("peer_group", "ticker", "date", metric, "peer_rank")
+    best = ranked if top is None else ranked.filter(F.col("peer_rank") <= top)
+    return best.select("peer_group", "ticker", "date", metric, "peer_rank")
 
 
 def peer_multiples(valuation: DataFrame, peers: DataFrame, group: str) -> DataFrame:

@@ -17,8 +17,10 @@ DEFAULT_ROWS = 500
 
 
 def capped_result(frame: DataFrame, limit: int | None = None, default: int = DEFAULT_ROWS, most: int = MAX_ROWS) -> DataFrame:
-    """A report-sized result: the limit asked for or the default, never above the maximum."""
-    return frame.limit(min(default if limit is None else limit, most))
+    """A report-sized result: the limit asked for or the default; more than the maximum is refused, not cut."""
+    if limit is not None and limit > most:
+        raise ValueError(f"at most {most} rows can be asked for, not {limit}")
+    return frame.limit(default if limit is None else limit)
 
 
 def _metric(frame: DataFrame, name: str) -> str:

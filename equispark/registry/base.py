@@ -154,8 +154,7 @@ TABLE_SQL: dict[str, str] = {
         SELECT s_name AS ticker, CAST(o_orderdate AS DATE) AS earnings_date,
                'Q' || quarter(o_orderdate) || ' ' || year(o_orderdate) AS period_ending,
                max(o_totalprice) AS estimate
-        FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey
-        WHERE CAST(o_orderdate AS DATE) >= DATE '2001-07-01' GROUP BY 1, 2, 3""",
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3""",
     "t_recs": """
         SELECT DISTINCT s_name AS ticker, CAST(o_orderdate AS DATE) AS date, c_mktsegment AS firm,
                CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN 'Hold' ELSE '' END AS from_grade,
@@ -175,7 +174,7 @@ TABLE_SQL: dict[str, str] = {
     "t_targets_raw": """
         SELECT ticker, max(date) AS date, arg_max(close, date) AS current_price, min(close) AS target_low,
                avg(close) AS target_mean, max(close) AS target_high, count(*) AS num_analysts
-        FROM t_prices WHERE date >= DATE '2001-05-01' GROUP BY ticker""",
+        FROM t_prices GROUP BY ticker""",
     "t_ratios": """
         SELECT ticker, date,
                CASE WHEN totalRevenue > 0 THEN netIncome / totalRevenue END AS net_margin,

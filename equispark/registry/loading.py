@@ -56,10 +56,10 @@ CHECKED_SQL = """
 
 
 def _symbols_file(t):
-    """Company names as a CSV with a header, written and read back."""
+    """Company names as CSV files with a header each, written and read back."""
     path = scratch_table(t.spark, "symbols")
     rows = t.names.select(F.concat(F.lit(" "), "ticker").alias("ticker"), F.lit("x").alias("note"))
-    rows.coalesce(1).write.option("header", True).csv(path)
+    rows.repartition(3, "ticker").write.option("header", True).csv(path)
     return readers.read_symbols_file(t.spark, path).select("symbol")
 
 

@@ -246,7 +246,7 @@ TEMPLATES = {
         note="not a parameter",
     ),
     "capped_result": Query(
-        lambda t: capped_result(t.prices.orderBy("date", "ticker"), limit=5000),
+        lambda t: capped_result(t.prices.orderBy("date", "ticker"), limit=1000),
         "SELECT * FROM t_prices ORDER BY date, ticker LIMIT 1000",
     ),
 }
@@ -333,7 +333,7 @@ SCREENS = {
     ),
     "screen_momentum": Query(
         lambda t: screens.screen_momentum(t.indicators),
-        _last("close, pct_change_20d", "pct_change_20d > 10 ORDER BY pct_change_20d DESC, ticker LIMIT 20"),
+        _last("close, pct_change_20d", "pct_change_20d > 10"),
     ),
     "screen_near_52w_high": Query(
         lambda t: screens.screen_near_52w_high(t.indicators, 60),
@@ -430,10 +430,9 @@ SCREENS = {
     ),
     "peer_rank": Query(
         lambda t: screens.peer_rank(t.ratios, t.peers, "net_margin", 2000),
-        """SELECT * FROM (SELECT peer_group, ticker, date, net_margin,
-                                 rank() OVER (PARTITION BY peer_group ORDER BY net_margin DESC, ticker) AS peer_rank
-                          FROM t_ratios JOIN t_peers USING (ticker) WHERE year(date) = 2000 AND net_margin IS NOT NULL)
-           WHERE peer_rank <= 10""",
+        """SELECT peer_group, ticker, date, net_margin,
+                  rank() OVER (PARTITION BY peer_group ORDER BY net_margin DESC, ticker) AS peer_rank
+           FROM t_ratios JOIN t_peers USING (ticker) WHERE year(date) = 2000 AND net_margin IS NOT NULL""",
     ),
     "peer_multiples": Query(
         lambda t: screens.peer_multiples(t.valuation, t.peers, "EUROPE"),

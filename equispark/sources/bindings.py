@@ -250,7 +250,6 @@ class MarketTables:
         recent = (
             self.file("orders")
             .withColumn("earnings_date", F.col("o_orderdate").cast("date"))
-            .filter("earnings_date >= DATE'2001-07-01'")
             .select(F.col("o_orderkey").alias("l_orderkey"), "earnings_date", "o_totalprice")
         )
         due = (
@@ -315,8 +314,7 @@ class MarketTables:
 
     @cached_property
     def price_targets_raw(self) -> DataFrame:
-        recent = self.prices.filter("date >= DATE'2001-05-01'")
-        return recent.groupBy("ticker").agg(
+        return self.prices.groupBy("ticker").agg(
             F.max("date").alias("date"),
             F.max_by("close", "date").alias("current_price"),
             F.min("close").alias("target_low"),

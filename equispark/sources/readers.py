@@ -28,14 +28,19 @@ def read_statement_documents(spark: SparkSession, path: str) -> DataFrame:
 def read_symbols_file(spark: SparkSession, path: str) -> DataFrame:
     """First column of a CSV of symbols, trimmed, with its position.
 
-    The first row is a header if its first cell says `ticker`. The files are
-    lists people write by hand, read in file order.
+    The first row of each file is a header if its first cell says `ticker`. The
+    position is (file, block, place): sortable, whatever tasks read the files.
     """
-    rows = spark.read.csv(path, header=False).select(
-        F.trim("_c0").alias("symbol"), F.monotonically_increasing_id().alias("position")
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
     )
-    header = (F.col("position") == 0) & (F.lower("symbol") == "ticker")
-    return rows.filter(~F.coalesce(header, F.lit(False)))
+    rows = spark.read.csv(path, header=False).select(F.trim("_c0").alias("symbol"), place.alias("position"))
+    heads = rows.filter(F.lower("symbol") == "ticker").select(F.col("position").alias("head"))
+    firsts = rows.groupBy(F.col("position.file").alias("file")).agg(F.min("position").alias("head"))
+    titles = heads.join(firsts, "head", "left_semi")
+    return rows.join(titles, F.col("position") == F.col("head"), "left_anti")
 
 
 def read_chunked(spark: SparkSession, path: str, schema: str | StructType, files_per_chunk: int, fmt: str = "parquet") -> DataFrame:

@@ -1,8 +1,8 @@
 """Structured Streaming jobs. Each drains its source once (`availableNow`) and ends.
 
-State stays small by design: one bar per key and day, one last-seen time per
-key, one key per day for duplicates. Results land as change sets of upserted
-tables through `foreachBatch`, whose batch number names the change set, so a
+Rows may arrive in any order and none is dropped: bars and duplicates are
+written as partial results of each batch and folded on reading. Other results
+land as change sets of upserted tables. `foreachBatch` numbers both, so a
 replayed batch replaces itself.
 """
 
@@ -61,52 +61,76 @@ def stream_upsert(
     drain_into(documents, table, checkpoint, keys, "append", prepare)
 
 
-def daily_bars(ticks: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Open, high, low, close and volume per key and UTC day of (ticker, ts, price, size, seq).
+def drain_partials(stream: DataFrame, path: str, checkpoint: str, partial: Callable[[DataFrame], DataFrame]) -> None:
+    """Runs a stream to its end; each batch writes its own partial rows to one folder.
 
-    The same plan serves a batch and a stream; on a stream the watermark lets
-    finished days leave the state. Ticks combine before the shuffle, so a hot
-    key costs one row per task.
+    No state and no watermark, so rows may come in any order. A replayed batch
+    replaces its folder. An empty folder of the right shape stands for a source
+    without rows.
+    """
+    empty = partial(stream.sparkSession.createDataFrame([], stream.schema))
+    empty.coalesce(1).write.mode("ignore").parquet(f"{path}/batch=-1")
+    query = (
+        stream.writeStream.foreachBatch(lambda rows, number: partial(rows).write.mode("overwrite").parquet(f"{path}/batch={number}"))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def partial_bars(ticks: DataFrame) -> DataFrame:
+    """Bars of (ticker, ts, price, size, seq) per key and UTC day, with the places of their first and last tick.
+
+    Ticks combine before the shuffle, so a hot key costs one row per task.
     """
-    if ticks.isStreaming:
-        ticks = ticks.withWatermark("ts", delay)
     order = F.struct("ts", "seq")
     return (
         ticks.groupBy("ticker", F.window("ts", "1 day").alias("w"))
         .agg(
             F.min_by("price", order).alias("open"),
+            F.min(order).alias("opened"),
             F.max("price").alias("high"),
             F.min("price").alias("low"),
             F.max_by("price", order).alias("close"),
+            F.max(order).alias("closed"),
             F.sum("size").alias("volume"),
         )
-        .select("ticker", utc_date(F.col("w.start")).alias("date"), "open", "high", "low", "close", "volume")
+        .select("ticker", utc_date(F.col("w.start")).alias("date"), "open", "opened", "high", "low", "close", "closed", "volume")
     )
 
 
-def stream_daily_bars(ticks: DataFrame, table: str, checkpoint: str) -> None:
-    """Update mode: a bar is rewritten while its day still receives ticks."""
-    drain_into(daily_bars(ticks), table, checkpoint, ("ticker", "date"), "update")
+def folded_bars(parts: DataFrame) -> DataFrame:
+    """One bar per key and day out of partial ones, in whatever order they were written."""
+    return parts.groupBy("ticker", "date").agg(
+        F.min_by("open", "opened").alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", "closed").alias("close"),
+        F.sum("volume").alias("volume"),
+    )
 
 
-def dedupe_arrivals(rows: DataFrame, keys: Sequence[str] = ("ticker", "date"), delay: str = "1 day") -> DataFrame:
-    """First arrival per key; on a stream the keys are forgotten once the watermark passes."""
-    if rows.isStreaming:
-        return rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
-    return rows.dropDuplicates(list(keys))
+def daily_bars(ticks: DataFrame) -> DataFrame:
+    """Open, high, low, close and volume per key and UTC day."""
+    return folded_bars(partial_bars(ticks))
 
 
-def stream_dedupe(rows: DataFrame, path: str, checkpoint: str) -> None:
-    """Unique keys into append-only files, exactly once through the file sink's log."""
-    query = (
-        dedupe_arrivals(rows)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start(path)
-    )
-    query.awaitTermination()
+def stream_daily_bars(ticks: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Drains the ticks and returns all bars of the folder; late ticks change their day's bar."""
+    drain_partials(ticks, path, checkpoint, partial_bars)
+    return folded_bars(ticks.sparkSession.read.parquet(path).drop("batch"))
+
+
+def dedupe_arrivals(rows: DataFrame, keys: Sequence[str] = ("ticker", "date")) -> DataFrame:
+    """The earliest arrival of each key."""
+    return rows.groupBy(*keys).agg(F.min("ts").alias("ts"))
+
+
+def stream_dedupe(rows: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ("ticker", "date")) -> DataFrame:
+    """Drains the rows and returns the earliest arrival of each key of the folder."""
+    drain_partials(rows, path, checkpoint, lambda batch: dedupe_arrivals(batch, keys))
+    return dedupe_arrivals(rows.sparkSession.read.parquet(path).drop("batch"), keys)
 
 
 def last_seen(log: DataFrame) -> DataFrame:

@@ -187,9 +187,10 @@ def test_missing_rate_is_small_cap(spark):
 
 
 def test_money_is_half_even(spark):
-    facts = spark.createDataFrame([(0.0001, 0.5), (0.0003, 0.5), (1.0, 0.0)], "amount double, rate double")
+    rows = [(0.0001, 0.5), (0.0003, 0.5), (1.0, 0.0), (1e6, 0.0000394), (1e6, 0.0000004)]
+    facts = spark.createDataFrame(rows, "amount double, rate double")
     out = fx.fx_money_convert(facts, "amount", "rate").collect()
-    assert [r.converted for r in out] == [Decimal("0.0000"), Decimal("0.0002"), None]
+    assert [r.converted for r in out] == [Decimal("0.0000"), Decimal("0.0002"), None, Decimal("39.4000"), Decimal("0.4000")]
     assert out[2].error == "rate must be positive"
 
 
