@@ -17,10 +17,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: the smallest doc_id, and of its rows the first by text."""
-    found = neardup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    kept = docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti")
-    return kept
+    """One row of each group of near copies: the smallest doc_id, of its texts the first by sha256."""
+    return neardup.deduplicated(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,21 +103,23 @@ def minima(sets: list[np.ndarray], functions: int) -> np.ndarray:
 
 
 def _summaries(batches):
-    """(doc_id, n, node, minima) of each row; the node names its set by 128 bits."""
+    """(doc_id, digest, n, node, minima) of each row: the text's sha256, and the node names its set by 128 bits."""
     for batch in batches:
         texts = filled(batch["text"])
         for at in range(0, batch.num_rows, 128):
-            sets = [shingles(t.as_buffer().to_pybytes()) for t in texts.slice(at, 128)]
+            raw = [t.as_buffer().to_pybytes() for t in texts.slice(at, 128)]
+            sets = [shingles(t) for t in raw]
             full = [i for i, s in enumerate(sets) if len(s)]
             rows = dict(zip(full, minima([sets[i] for i in full], BANDS * ROWS))) if full else {}
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"].slice(at, 128),
+                    pa.array([hashlib.sha256(t).digest() for t in raw], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([rows[i].tobytes() if i in rows else None for i in range(len(sets))], pa.binary()),
                 ],
-                names=["doc_id", "n", "node", "minima"],
+                names=["doc_id", "digest", "n", "node", "minima"],
             )
 
 
@@ -152,7 +154,7 @@ class Graph:
     def __init__(self, documents: DataFrame, percent: int):
         self.percent = percent
         self.texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.rows = staged(self.texts.mapInArrow(_summaries, "doc_id long, n long, node binary, minima binary"), "minima")
+        self.rows = staged(self.texts.mapInArrow(_summaries, "doc_id long, digest binary, n long, node binary, minima binary"), "minima")
         self.filled = self.rows.filter("node IS NOT NULL")
         self.nodes = self.filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
 
@@ -349,17 +351,8 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each row of documents.
-
-    Documents are linked when their sets of five-word shingles have at least
-    `percent` % of their union in common; a component is named by its smallest
-    doc_id and only that one is kept. Null and empty texts are linked with
-    nothing. Rows that repeat a doc_id each join the component of their own
-    text, and all rows with the component's smallest doc_id are kept. Null ids
-    never name a component that has others, and are kept only where it has
-    none. Empty tables give no rows; further columns are not read.
-    """
+def classed(documents: DataFrame, percent: int = 75) -> DataFrame:
+    """(doc_id, digest, n, component) of every row; the component is null for texts without words."""
     graph = Graph(documents, percent)
     buckets = graph.buckets()
     stars = staged(
@@ -380,11 +373,50 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     links = staged(links.union(graph.confirmed(staged(graph.across(members), "across"))), "links")
     found = staged(components(links), "components")
 
-    named = graph.rows.select("doc_id", "n", "node").join(found, "node", "left")
-    named = named.withColumn("component", F.coalesce("component", "node"))
+    named = graph.rows.select("doc_id", "digest", "n", "node").join(found, "node", "left")
+    return named.select("doc_id", "digest", "n", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row for each row of documents.
+
+    Documents are linked when their sets of five-word shingles have at least
+    `percent` % of their union in common; a component is named by its smallest
+    doc_id and only that one is kept. Null and empty texts are linked with
+    nothing. Rows that repeat a doc_id each join the component of their own
+    text, and all rows with the component's smallest doc_id are kept. Null ids
+    never name a component that has others, and are kept only where it has
+    none. Empty tables give no rows; further columns are not read.
+    """
+    named = classed(documents, percent)
     least = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "component", "left")
     component_id = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
+
+
+def deduplicated(documents: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of documents, one row of each component; rows without words all stay.
+
+    The row that stays has the smallest doc_id (null ids after all others), of
+    several with that id the smallest sha256 of its text, of equal rows any one.
+    A row is told by doc_id and text together, so rows that share a doc_id, or
+    have none, are each judged by their own text. Columns stay as they are.
+    """
+    rows = classed(documents, percent).filter("component IS NOT NULL")
+    rows = staged(rows.groupBy("component", "doc_id", "digest").agg(F.count("*").alias("copies")), "classes")
+    place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest", "copies")
+    first = rows.groupBy("component").agg(F.min(place).alias("first")).select("first.*")
+    same = lambda other: documents["doc_id"].cast("long").eqNullSafe(other["doc_id"]) & (digest == other["digest"])
+    digest = F.unhex(F.sha2(F.coalesce(documents["text"].cast("string"), F.lit("")), 256))
+    later = rows.join(first, rows["doc_id"].eqNullSafe(first["doc_id"]) & (rows["digest"] == first["digest"]), "left_anti").select("doc_id", "digest")
+    later = staged(later, "later")
+    again = staged(first.filter("copies > 1").select("doc_id", "digest"), "again")
+    kept = documents.join(later, same(later), "left_anti")
+    if again.isEmpty():
+        return kept
+    single = kept.join(again, same(again), "left_anti")
+    twice = kept.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(twice)

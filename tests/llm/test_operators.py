@@ -180,6 +180,19 @@ def test_near_duplicates_of_halves(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_components(rows)
 
 
+def test_one_row_of_each_component_stays(spark, documents):
+    """Rows that share an id, or have none, are judged by their own texts; equal rows leave one."""
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    rows = [(3, text["a"]), (5, text["a"] + " end"), (5, text["b"]), (None, text["c"]), (None, text["a"]), (7, text["d"]), (7, text["d"]), (8, None), (8, None), (9, " ")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component", F.lit(1)).withColumn("digest", F.lit(2))
+    out = neardup.deduplicated(table)
+    assert out.columns == table.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(rows) - Counter([(5, text["a"] + " end"), (None, text["a"]), (7, text["d"])])
+    kept = [r.doc_id for r in neardup.deduplicated(documents).collect()]
+    assert sorted(kept, key=str) == [1, 4, 5, 6, 8, 9, None]
+    assert neardup.deduplicated(table.limit(0)).count() == 0
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40)], "a binary, b binary")
     out = neardup.components(links).collect()
