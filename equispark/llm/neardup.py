@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from equispark.llm.staging import staged
 from equispark.llm.text import filled
+from equispark.llm.url_filter import bloom_level
 
 WORDS, BANDS, ROWS = 5, 40, 4
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -148,6 +149,19 @@ def _similar(one: bytes, two: bytes, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def among(rows: DataFrame, key: str, keys: DataFrame, max_bits: int = 1 << 26) -> DataFrame:
+    """The rows whose key is in `keys` (staged) or null, with a few others.
+
+    A Bloom filter ahead of an exact join, so that the join moves few rows. It
+    has 8 MB at most; for more keys all rows go to the join.
+    """
+    n = keys.count()
+    if 8 * n > max_bits:
+        return rows
+    held = bloom_level(keys.filter(F.col(key).isNotNull()).select(F.col(key).alias("key")), n, 0.05, 0, max_bits)
+    return rows.filter(F.col(key).isNull() | held.holds(F.col(key)))
+
+
 class Graph:
     """The nodes of a table and what confirms a pair of them."""
 
@@ -182,7 +196,9 @@ class Graph:
                         sets.append(held.tobytes())
                 yield pa.RecordBatch.from_arrays([batch["node"].take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary())], names=["node", "held"])
 
-        matched = self.texts.join(nodes, self.texts.doc_id.eqNullSafe(nodes.doc_id)).select("node", "text")
+        nodes = staged(nodes, "needed")
+        texts = among(self.texts, "doc_id", nodes)
+        matched = texts.join(nodes, texts.doc_id.eqNullSafe(nodes.doc_id)).select("node", "text")
         return staged(matched.mapInArrow(own_sets, "node binary, held binary").dropDuplicates(["node"]), "sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -199,8 +215,8 @@ class Graph:
         b = self.nodes.select(F.col("node").alias("b"), F.col("doc_id").alias("doc_id_b"), F.col("n").alias("n_b"))
         sized = pairs.join(a, "a").join(b, "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
         sized = staged(sized.drop("n_a", "n_b"), "sized")
-        used = sized.select(F.col("a").alias("node")).union(sized.select("b")).distinct()
-        signatures = self.filled.select("node", "minima").join(used, "node", "left_semi").dropDuplicates(["node"])
+        used = staged(sized.select(F.col("a").alias("node")).union(sized.select("b")).distinct(), "used")
+        signatures = among(self.filled.select("node", "minima"), "node", used).join(used, "node", "left_semi").dropDuplicates(["node"])
         signatures = staged(signatures, "signatures")
 
         def likely(batches):

@@ -55,7 +55,7 @@ class Cascade:
         return out.otherwise(len(self.levels) % 2 == 1)
 
 
-def _level(keys: DataFrame, count: int, rate: float, number: int, max_bits: int) -> Level:
+def bloom_level(keys: DataFrame, count: int, rate: float, number: int, max_bits: int) -> Level:
     """A Bloom filter of `count` keys with about the false-positive rate asked for."""
     hashes = max(1, round(math.log2(1 / rate)))
     size = max(64, -(-int(count * hashes / math.log(2)) // 64) * 64)
@@ -86,7 +86,7 @@ def build(universe: DataFrame, later_rate: float = 0.05, max_bits: int = 1 << 28
     while n_in:
         if len(levels) == max_levels:
             raise RuntimeError("the universe holds a key twice, listed and not")
-        levels.append(_level(inside, n_in, rate, len(levels), max_bits))
+        levels.append(bloom_level(inside, n_in, rate, len(levels), max_bits))
         wrong = staged(outside.filter(levels[-1].holds(F.col("key"))), "passed")
         inside, outside, n_in, n_out, rate = wrong, inside, wrong.count(), n_in, later_rate
     return Cascade(tuple(levels))
