@@ -158,6 +158,8 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, vocabulary_s
     shuffle partitions) only sizes the work. Vocabularies hold at most 65,536
     ids here; the format itself allows more.
     """
+    if vocabulary_size > 1 << 16:
+        raise ValueError(f"a vocabulary of {vocabulary_size} ids, {1 << 16} may be written")
     spark = documents.sparkSession
     rows = _in_order(documents, tokenizer, shards or int(spark.conf.get("spark.sql.shuffle.partitions")))
     rank_of = frequency_ranks(rows, vocabulary_size)
