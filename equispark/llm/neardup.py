@@ -128,18 +128,24 @@ def node_of(shingle_set: np.ndarray) -> bytes:
     return hashlib.blake2b(shingle_set.tobytes(), digest_size=16).digest()
 
 
+def band_keys(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of each row of minima."""
+    rows = rows.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * _PLACES[1]
+    for r in range(ROWS):
+        keys = mixed(keys ^ rows[:, :, r])
+    return keys.view(np.int64)
+
+
 def _bands(batches):
-    """(bucket, node): a 64-bit key for each band of each node's minima."""
+    """(bucket, node): the key of each band of each node's minima."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.frombuffer(b"".join(batch["minima"].to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
-        keys = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * _PLACES[1]
-        for r in range(ROWS):
-            keys = mixed(keys ^ rows[:, :, r])
+        keys = band_keys(np.frombuffer(b"".join(batch["minima"].to_pylist()), np.uint32))
         nodes = np.repeat(np.arange(batch.num_rows), BANDS)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.ravel().view(np.int64)), batch["node"].take(pa.array(nodes))], names=["bucket", "node"]
+            [pa.array(keys.ravel()), batch["node"].take(pa.array(nodes))], names=["bucket", "node"]
         )
 
 
@@ -260,7 +266,9 @@ class Graph:
         `members` has (bucket, node, component). Every pair of a bucket is
         looked at, in blocks of at most `block` by `block` nodes inside a task,
         by bitmaps of 16-bit shingle marks, which bound the intersection from
-        above. Only pairs within that bound become rows. A large bucket is many
+        above. Only pairs within that bound become rows. A pair that shares
+        several buckets is compared in that of its first common band alone;
+        its ends differ in component there as anywhere. A large bucket is many
         blocks, so no task holds all of it.
         """
         percent = self.percent
@@ -269,25 +277,27 @@ class Graph:
             for batch in batches:
                 sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch["held"]]
                 found = [np.unique(own.astype(np.uint16)).tobytes() for own in sets]
+                keys = [own.tobytes() for own in band_keys(minima(sets, BANDS * ROWS))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch["node"], pa.array([len(own) for own in sets], pa.int64()), pa.array(found, pa.binary())], names=["node", "n", "mark"]
+                    [batch["node"], pa.array([len(own) for own in sets], pa.int64()), pa.array(found, pa.binary()), pa.array(keys, pa.binary())],
+                    names=["node", "n", "mark", "keys"],
                 )
 
         ends = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"))
         rows = members.join(ends.filter("least <> most").select("bucket", "size"), "bucket")
         used = rows.select("node").distinct().join(self.nodes, "node").select("node", "doc_id")
-        rows = rows.join(staged(self.sets_of(used).mapInArrow(marks, "node binary, n long, mark binary"), "marks"), "node")
+        rows = rows.join(staged(self.sets_of(used).mapInArrow(marks, "node binary, n long, mark binary, keys binary"), "marks"), "node")
         parts = F.ceil(F.col("size") / block).cast("int")
         own = F.pmod(F.xxhash64("node"), parts).cast("int")
         rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "mark")
+        rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "mark", "keys")
         dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "own", "node")
 
         def compared(batches):
             held: list[tuple] = []
             key = None
             for batch in batches:
-                columns = [batch[c].to_pylist() for c in ("bucket", "i", "j", "own", "node", "component", "n", "mark")]
+                columns = [batch[c].to_pylist() for c in ("bucket", "i", "j", "own", "node", "component", "n", "mark", "keys")]
                 for bucket, i, j, own, *row in zip(*columns):
                     if (bucket, i, j) != key and held:
                         yield from _met(held, key, percent)
@@ -297,12 +307,13 @@ class Graph:
             if held:
                 yield from _met(held, key, percent)
 
-        return dealt.mapInArrow(compared, "a binary, b binary").distinct()
+        return dealt.mapInArrow(compared, "a binary, b binary")
 
 
 def _met(rows: list[tuple], key: tuple[int, int, int], percent: int):
     """The pairs of one block that differ in component and may have enough in common.
 
+    Only pairs whose first common band is this bucket's are looked at.
     Marks are folded into bitmaps. Common shingles set common bits; two of one
     set may share a bit, so what a set lost that way is added to the count.
     """
@@ -320,10 +331,13 @@ def _met(rows: list[tuple], key: tuple[int, int, int], percent: int):
         row[np.frombuffer(r[4], np.uint16) & (width - 1)] = True
         bitmaps[at] = np.packbits(row).view(np.uint64)
     lost = sizes - np.bitwise_count(bitmaps).sum(axis=1, dtype=np.int64)
+    keys = np.stack([np.frombuffer(r[5], np.int64) for r in rows])
     pairs = []
     for x in range(len(rows)):
         later = np.arange(x + 1, len(rows)) if key[1] == key[2] else np.flatnonzero(own > own[x])
         later = later[(numbers[later] != numbers[x]) & (np.minimum(sizes[later], sizes[x]) * 100 >= np.maximum(sizes[later], sizes[x]) * percent)]
+        common = keys[later] == keys[x]
+        later = later[common.any(axis=1) & (keys[x][common.argmax(axis=1)] == key[0])]
         if len(later):
             both = np.bitwise_count(bitmaps[later] & bitmaps[x]).sum(axis=1, dtype=np.int64) + np.minimum(lost[later], lost[x])
             pairs += [(rows[x][1], rows[y][1]) for y in later[100 * both >= percent * (sizes[later] + sizes[x] - both)]]
