@@ -33,10 +33,10 @@ _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered for at most a million of them."""
+    """64-bit hashes of words, remembered for at most 2^17 of them."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 1 << 17:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
