@@ -7,13 +7,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equispark.llm.tokens import tokenized
+from equispark.llm.tokens import encoded, typed
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
 def pieces(documents: DataFrame, tokenizer: str, room: int = 2048) -> DataFrame:
-    """(doc_id, piece, start, length, ids). Only longer documents are cut; the first piece takes the rest."""
+    """(doc_id, piece, start, length, ids). Only longer documents are cut; the first piece takes the rest.
+
+    Encoded and cut by one Python worker a task.
+    """
 
     def cut(batches):
         for batch in batches:
@@ -36,7 +39,7 @@ def pieces(documents: DataFrame, tokenizer: str, room: int = 2048) -> DataFrame:
 
     def merged(batches, rows: int = 512):
         held = []
-        for batch in cut(batches):
+        for batch in cut(encoded(batches, tokenizer)):
             held.append(batch)
             if len(held) == rows:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -44,7 +47,7 @@ def pieces(documents: DataFrame, tokenizer: str, room: int = 2048) -> DataFrame:
         if held:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    return tokenized(documents, tokenizer).mapInArrow(merged, PIECES)
+    return typed(documents).mapInArrow(merged, PIECES)
 
 
 class SumOfSquares:

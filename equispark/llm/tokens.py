@@ -84,6 +84,23 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def encoded(batches, path: str, text: str = "text", end_id: int = END_ID, width: str = "<u4"):
+    """Batches (doc_id, ids) of batches (doc_id, text), for use inside a task."""
+    lookup, end = encoder(path), np.asarray([end_id], dtype="<u4").tobytes()
+    narrow = (lambda ids: ids) if width == "<u4" else (lambda ids: np.frombuffer(ids, "<u4").astype(width).tobytes())
+    for rows in batches:
+        texts = filled(rows[text])
+        for at in range(0, rows.num_rows, 256):
+            part = texts.slice(at, 256)
+            ids = [narrow(found + end) for found in lookup.encode(part.to_pylist())]
+            yield pa.RecordBatch.from_arrays([rows["doc_id"].slice(at, 256), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+
+def typed(documents: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id as long and the text as string, nothing else."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias(text))
+
+
 def tokenized(
     documents: DataFrame, path: str, text: str = "text", end_id: int = END_ID, width: str = "<u4"
 ) -> DataFrame:
@@ -93,18 +110,4 @@ def tokenized(
     are, repeated ones too. Narrow: no shuffle, one text in memory at a time
     beside its batch.
     """
-
-    def encode(batches):
-        lookup, end = encoder(path), np.asarray([end_id], dtype="<u4").tobytes()
-        narrow = (lambda ids: ids) if width == "<u4" else (lambda ids: np.frombuffer(ids, "<u4").astype(width).tobytes())
-        for rows in batches:
-            texts = filled(rows[text])
-            for at in range(0, rows.num_rows, 256):
-                part = texts.slice(at, 256)
-                ids = [narrow(found + end) for found in lookup.encode(part.to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [rows["doc_id"].slice(at, 256), pa.array(ids, pa.binary())], names=["doc_id", "ids"]
-                )
-
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias(text))
-    return rows.mapInArrow(encode, "doc_id long, ids binary")
+    return typed(documents, text).mapInArrow(lambda batches: encoded(batches, path, text, end_id, width), "doc_id long, ids binary")
