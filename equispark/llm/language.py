@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,10 @@ SIZE = 1 << 13
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double, rejected boolean"
 BLOCK_ROWS, BLOCK_BYTES = 64, 1 << 20
+# Lengths in characters of the pieces cut from held-back texts; texts are told apart by the power of 2 of their distinct grams.
+CUTS = (2, 4, 8, 16, 32, 64, 128, 256, 512, 1024)
+CLASSES, FOLDS, FEW = 14, 4, 8
+LEAST = 1e-3  # below it a text shares nothing with its centroid
 
 # Letters stay, any other ASCII byte is a blank; bytes from 0x80 on are parts of letters.
 _LETTERS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
@@ -75,12 +80,56 @@ def centroids_of(vectors: np.ndarray, clusters: int, rounds: int = 12) -> np.nda
     return centres
 
 
+def classes_of(counts: np.ndarray) -> np.ndarray:
+    """The power of 2 of each row's distinct grams."""
+    return np.log2(np.maximum((counts > 0).sum(axis=1), 1)).astype(int)
+
+
+def pieces(text: str) -> list[str]:
+    """A text and one cut of it of each length in CUTS, those with a letter."""
+    at = zlib.crc32(text.encode("utf-8", "replace"))
+    cut = [text[at % (len(text) - n) :][:n] for n in CUTS if n < len(text)]
+    return [t for t in [text, *cut] if any(c.isalpha() for c in t)]
+
+
+def bounds_of(texts: list[str], vectors: np.ndarray, idf: np.ndarray, clusters: int, margin: float) -> np.ndarray:
+    """The least likeness of each length class, from texts that the centroids have not seen.
+
+    Each fold is compared with the centroids of the others, whole and in cuts,
+    as short texts are less like any centroid than long ones. A class takes the
+    likeness that 1 in 100 of its pieces fall short of, less the margin. A
+    class of fewer than FEW pieces has the bound of the next shorter one, and a
+    shorter class never asks for more than a longer one. If all classes have
+    fewer, one bound is taken from all pieces.
+    """
+    likeness, kinds = [], []
+    for fold in range(FOLDS):
+        own = np.arange(len(texts)) % FOLDS == fold
+        if own.any() and not own.all():
+            centres = centroids_of(vectors[~own], clusters)
+            for i in np.flatnonzero(own):
+                parts = pieces(texts[i])
+                if parts:
+                    counts = gram_counts(parts)
+                    likeness.append((unit(counts, idf) @ centres.T).max(axis=1))
+                    kinds.append(classes_of(counts))
+    if not likeness:
+        return np.full(CLASSES, LEAST)
+    likeness, kinds = np.concatenate(likeness), np.concatenate(kinds)
+    many = [k for k in range(CLASSES) if (kinds == k).sum() >= FEW]
+    if not many:
+        return np.full(CLASSES, max(np.quantile(likeness, 0.01) * (1 - margin), LEAST))
+    found = np.array([np.quantile(likeness[kinds == k], 0.01) for k in many]) * (1 - margin)
+    found = np.minimum.accumulate(found[::-1])[::-1]
+    return np.maximum([found[np.searchsorted(many, k, side="right") - 1] if k >= many[0] else LEAST for k in range(CLASSES)], LEAST)
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     languages: list[str]  # of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    floor: float  # texts less like their centroid are rejected
+    bounds: np.ndarray  # by centroid and length class; texts less like their centroid are rejected
 
     def judge(self, texts: list[str], counts: np.ndarray) -> tuple[list[str], list[float], list[bool]]:
         letters = [any(c.isalpha() for c in t) for t in texts]
@@ -91,20 +140,22 @@ class LanguageModel:
         scores = np.clip(likeness[np.arange(len(best)), best], 0, 1).astype(float)
         names = [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)]
         scores[~np.array(letters, dtype=bool)] = 0.0
-        return names, scores.tolist(), [not ok or s < self.floor for ok, s in zip(letters, scores)]
+        far = scores < self.bounds[best, classes_of(counts)]
+        return names, scores.tolist(), [not ok or bool(f) for ok, f in zip(letters, far)]
 
 
 def fit(
-    labelled: DataFrame, clusters: int = 4, sample_rows: int = 400, max_languages: int = 500, tolerance: float = 8.0
+    labelled: DataFrame, clusters: int = 4, sample_rows: int = 400, max_languages: int = 500, margin: float = 0.25
 ) -> LanguageModel:
     """Learns from (doc_id, text, lang) rows whose lang is not null.
 
     Document frequencies count every such row. The centroids are clustered from
     a bounded sample: the `sample_rows` documents of each language whose hashed
     id is smallest, each language in one task of its own. Texts are rejected
-    whose distance from their centroid lies more than `tolerance` standard deviations above
-    the sample's mean, or that share nothing with it. Null texts count as
-    empty. Without a labelled row the model knows no language and rejects all.
+    that are less like their nearest centroid than that centroid's language
+    allows at their length (`bounds_of`). A language with one distinct text only
+    has nothing to hold back: there, only texts that share nothing with it are rejected.
+    Null texts count as empty. Without a labelled row the model knows no language and rejects all.
     """
     spark = labelled.sparkSession
     rows = labelled.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "lang")
@@ -115,7 +166,7 @@ def fit(
     if len(last) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not last:
-        return LanguageModel([], np.zeros((0, SIZE), np.float32), np.ones(SIZE, np.float32), 1.0)
+        return LanguageModel([], np.zeros((0, SIZE), np.float32), np.ones(SIZE, np.float32), np.ones((0, CLASSES)))
 
     def frequencies(batches):
         total, n = np.zeros(SIZE, dtype=np.int64), 0
@@ -141,25 +192,20 @@ def fit(
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["draw", "text"])
         vectors = np.concatenate([unit(gram_counts([t]), weights.value) for t in group["text"]])
-        vectors = vectors[np.linalg.norm(vectors, axis=1) > 0]
+        used = np.linalg.norm(vectors, axis=1) > 0
+        first = used & ~group["text"].duplicated().to_numpy()  # copies held back would be met again
+        bounds = bounds_of(group["text"][first].tolist(), vectors[first], weights.value, clusters, margin)
+        vectors = vectors[used]
         centres = centroids_of(vectors, clusters) if len(vectors) else np.zeros((0, SIZE), np.float32)
-        distance = 1 - (vectors @ centres.T).max(axis=1) if len(vectors) else np.zeros(0)
-        return pd.DataFrame(
-            {
-                "lang": group["lang"].iloc[0],
-                "centre": [c.astype("<f4").tobytes() for c in centres],
-                "mean": float(distance.mean()) if len(vectors) else 0.0,
-                "spread": float(distance.std()) if len(vectors) else 0.0,
-            }
-        )
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.astype("<f4").tobytes() for c in centres], "bounds": [bounds.tolist()] * len(centres)})
 
     limit = F.create_map(*[F.lit(x) for row in last for x in (row.lang, row.draw)])
     sample = rows.filter(F.col("draw") <= limit[F.col("lang")])
-    found = sample.groupBy("lang").applyInPandas(cluster, "lang string, centre binary, mean double, spread double").collect()
+    found = sample.groupBy("lang").applyInPandas(cluster, "lang string, centre binary, bounds array<double>").collect()
     found = sorted(found, key=lambda r: (r.lang, r.centre))
     centres = np.array([np.frombuffer(r.centre, "<f4") for r in found]).reshape(-1, SIZE)
-    reach = max((r.mean + tolerance * r.spread for r in found), default=0.0)
-    return LanguageModel([r.lang for r in found], centres, idf, max(1 - reach, 1e-3))
+    bounds = np.array([r.bounds for r in found]).reshape(-1, CLASSES)
+    return LanguageModel([r.lang for r in found], centres, idf, bounds)
 
 
 def judged(model: LanguageModel, documents: DataFrame, text: str | Column = "text") -> Column:

@@ -1,5 +1,6 @@
 """Each operator against brute force, round trips or held-out rows, and on odd tables."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -111,6 +112,23 @@ def test_language_held_out(spark, documents):
     assert language.identify(documents.limit(0)).count() == 0
 
 
+def test_language_rejects_noise_and_unlearnt_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model, draw = language.fit(docs.filter(~language.held_out(F.col("doc_id")))), np.random.default_rng(3)
+    pick = lambda signs, n: "".join(draw.choice(list(signs), n))
+    noise = [" ".join(pick("bcdfghjklmnpqrstvwxz", 7) for _ in range(n)) for n in (10, 60, 900)]
+    noise += [base64.b64encode(draw.bytes(n)).decode() for n in (60, 600, 6000)] + [pick("abcdefghijklmnopqrstuvwxyz ", 500)]
+    noise += ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto"]
+    noise += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem"]
+    judged = lambda found: model.judge(found, language.gram_counts(found))[2]
+    assert judged(noise) == [True] * len(noise)
+    clean = [r.text for r in docs.filter(language.held_out(F.col("doc_id"))).collect() if any(c.isalpha() for c in r.text)]
+    assert np.mean([judged([t])[0] for t in clean]) < 0.005
+    short = [" ".join(t.split()[a : a + 4]) for t in clean[:150] for a in range(0, min(len(t.split()) - 4, 40), 8)]
+    short = [t for t in short if t.replace(" ", "").replace(".", "").replace(",", "").isalpha()]
+    assert len(short) > 300 and np.mean([judged([t])[0] for t in short]) < 0.01
+
+
 def test_contamination_on_odd_rows(spark, documents):
     items = spark.createDataFrame([(1, "One, TWO"), (1, "One, TWO"), (2, None), (3, ""), (4, " ".join(f"W{i}" for i in range(20, 31)))], "item_id long, text string")
     out = {r.doc_id: r for r in decontamination.contamination(documents, items).collect()}
