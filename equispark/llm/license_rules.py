@@ -3,7 +3,7 @@
 A line is `label | priority | keyword | phrase`. A blank in a phrase stands for
 any run of characters that belong to no word; a phrase starts and ends at word
 bounds; the rest is regular-expression syntax over lower-cased text. A rule is
-tried only where its keyword occurs. Priorities: 5 identifier lines, 4 texts
+tried only where its keyword occurs, so every match must contain it. Priorities: 5 identifier lines, 4 texts
 peculiar to one licence, 3 a name with its version, 2 a name, 1 a mere hint.
 """
 
@@ -80,7 +80,7 @@ isc | 4 | permission | permission to use copy modify and or distribute this soft
 isc | 3 | isc | isc licen[cs]e
 zlib | 4 | as is | this software is provided as is without any express or implied warranty in no event
 zlib | 3 | zlib | (?:the )?zlib(?: libpng)? licen[cs]e
-libpng | 3 | libpng | (?:the )?(?:libpng|png reference library) licen[cs]e
+libpng | 3 | png | (?:the )?(?:libpng|png reference library) licen[cs]e
 boost-1.0 | 3 | boost | boost software licen[cs]e(?: (?:version |v )?1 0)?
 unlicense | 4 | public domain | this is free and unencumbered software released into the public domain
 unlicense | 3 | unlicense | (?:the )?unlicense
@@ -107,7 +107,8 @@ cecill-2.1 | 3 | cecill | cecill (?:version |v )?2 1
 cecill | 2 | cecill | cecill(?: [bc])?
 ms-pl | 3 | microsoft | microsoft public licen[cs]e
 ms-rl | 3 | microsoft | microsoft reciprocal licen[cs]e
-ncsa | 3 | ncsa | (?:university of illinois )?(?:ncsa )?open source licen[cs]e
+ncsa | 3 | illinois | university of illinois (?:ncsa )?open source licen[cs]e
+ncsa | 3 | ncsa | ncsa open source licen[cs]e
 postgresql | 3 | postgresql | postgresql licen[cs]e
 vim | 3 | vim | vim licen[cs]e
 tcl | 3 | tcl | tcl(?: tk)? licen[cs]e
@@ -166,17 +167,17 @@ proprietary | 3 | unauthori | unauthori[sz]ed (?:copying|reproduction|use|distri
 proprietary | 3 | reserved | some rights reserved
 proprietary | 3 | license agreement | end user license agreement
 proprietary | 2 | eula | eula
-proprietary | 2 | reproduced | may not be (?:reproduced|copied|distributed|republished)
+proprietary | 2 | may not be | may not be (?:reproduced|copied|distributed|republished)
 proprietary | 2 | permission | without (?:the )?(?:prior |express )?(?:written )?permission
 reserved | 3 | reserved | all rights reserved
 reserved | 3 | droits | tous droits r..?serv..?s
 reserved | 3 | rechte | alle rechte vorbehalten
 reserved | 3 | derechos | todos los derechos reservados
-no-warranty | 2 | warranty | (?:without|absolutely no) (?:any )?warrant(?:y|ies)(?: of any kind)?
+no-warranty | 2 | warrant | (?:without|absolutely no) (?:any )?warrant(?:y|ies)(?: of any kind)?
 no-warranty | 2 | as is | provided (?:by .{1,60}? )?as is
 copyright | 1 | copyright | copyright (?:c )?(?:19|20)[0-9][0-9]
 copyright | 1 | copyrighted | copyrighted(?: material| work)?
-copyright | 1 | &copy | copy (?:19|20)[0-9][0-9]
+copyright | 1 | copy | copy (?:19|20)[0-9][0-9]
 licensed | 1 | licensed | licensed under (?:the )?(?:terms of )?(?:the )?
 licensed | 1 | licen | (?:see|read) (?:the )?(?:file )?licen[cs]e(?: file| txt| md)?
 licensed | 1 | licen | (?:terms|conditions) of (?:the|this) licen[cs]e

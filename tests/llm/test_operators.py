@@ -1,8 +1,10 @@
 """Each operator against brute force, round trips or held-out rows, and on odd tables."""
 
 import base64
+import dataclasses
 import hashlib
 import re
+import re._constants as sre
 import zlib
 from collections import Counter
 
@@ -11,7 +13,7 @@ import pytest
 from compare import compare, duck
 from pyspark.sql import functions as F
 
-from equispark.llm import binary_tokens, decontamination, fingerprints, language, licenses, neardup, packing, pii, quality, queries, url_filter
+from equispark.llm import binary_tokens, decontamination, fingerprints, language, license_rules, licenses, neardup, packing, pii, quality, queries, url_filter
 from equispark.llm.tagger import Tagger
 from equispark.llm.tokens import Encoder, vocabulary
 
@@ -81,6 +83,51 @@ def test_license_rules_suppress_by_priority_and_containment():
     assert len(licenses.detections(b"gpl " * 20_000)) == 20_000
 
 
+def examples(parsed):
+    """A text for each way through the alternatives and options of a parsed pattern."""
+    out = [""]
+    for op, value in parsed:
+        if op is sre.LITERAL:
+            own = [chr(value)]
+        elif op is sre.ANY:
+            own = ["x"]
+        elif op is sre.IN:
+            own = [chr(v if o is sre.LITERAL else v[0]) for o, v in value]
+        elif op is sre.BRANCH:
+            own = [e for branch in value[1] for e in examples(branch)]
+        elif op is sre.SUBPATTERN:
+            own = examples(value[3])
+        else:
+            assert op in (sre.MAX_REPEAT, sre.MIN_REPEAT), op
+            own = [e * n for n in sorted({value[0], max(value[0], 1)}) for e in examples(value[2])]
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_license_gates_stand_in_every_alternative(monkeypatch):
+    phrases = [line.split(" | ", 3)[3].strip() for line in license_rules.RULES.strip().splitlines()]
+    made = {p: [re.sub(" +", " ", e).strip() + " ." for e in examples(re._parser.parse(p))] for p in phrases}
+    by_pattern = {licenses.phrase_pattern(p).pattern: p for p in phrases}
+    seen, gated = 0, {}
+    for rule in licenses.rules():
+        for text in made.get(by_pattern.get(rule.pattern.pattern), []):
+            assert rule.pattern.search(text.encode()), (rule.label, text)
+            assert all(gate in text.encode() for gate in rule.gates), (rule.label, rule.gates, text)
+            gated[text] = licenses.detections(text.encode())
+            seen += 1
+    assert seen > 600
+    open_rules = tuple(dataclasses.replace(r, gates=()) for r in licenses.rules())
+    monkeypatch.setattr(licenses, "rules", lambda: open_rules)
+    place = lambda found: [(a, b, r.label) for a, b, r in found]
+    assert all(place(licenses.detections(text.encode())) == place(found) for text, found in gated.items())
+
+
+@pytest.mark.parametrize("text, label", [(f"This document may not be {w}", "proprietary") for w in ("reproduced", "copied", "distributed", "republished")] + [("PNG Reference Library License", "libpng"), ("University of Illinois Open Source License", "ncsa"), ("University of Illinois/NCSA Open Source License", "ncsa")])
+def test_license_labels_need_no_other_words(text, label):
+    assert label in licenses.scan(text.encode(), {})[5]
+    assert "ncsa" not in licenses.scan(b"ncsa mosaic, under an open source license", {})[5]
+
+
 def test_quality_held_out(spark, documents):
     folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
