@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|[(\[]\x20?[Aa][Tt]\x20?[)\]]")
+_AT = re.compile(r"\s*[(\[]\s?(?:at|@)\s?[)\]]\s*|\s+@\s+", re.I)
+_DOT = re.compile(r"\s*[(\[]\s?(?:dot|\.)\s?[)\]]\s*|\s+\.\s+", re.I)
 
 Span = tuple[str, int, int]
 
@@ -64,7 +68,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def plausible(kind: str, found: str) -> bool:
-    """The exact check behind the tagger: only what has the form of its kind counts."""
+    """Whether a span has the form of the patterns."""
     digits = "".join(c for c in found if c in "0123456789")
     if kind == "email":
         local, _, domain = found.partition("@")
@@ -77,6 +81,45 @@ def plausible(kind: str, found: str) -> bool:
     return found.startswith("+") and 9 <= len(digits) <= 15
 
 
+def fitted(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
+    """A tagged span with the rest of the word or number at each end, and no signs around it."""
+    signs = "._%+-" if kind == "email" else "-./_"
+    if kind == "email" and (word := re.search(r"\S+@\S+", text[a:b])):
+        a, b = a + word.start(), a + word.end()
+    while a < b and not text[a].isalnum() and not (kind == "phone" and text[a] in "(+") and text[a : a + 2] != "::":
+        a += 1
+    while b > a and not text[b - 1].isalnum():
+        b -= 1
+    while 0 < a < b and text[a].isalnum() and (text[a - 1].isalnum() or a > 1 and text[a - 1] in signs and text[a - 2].isalnum()):
+        a -= 1 if text[a - 1].isalnum() else 2
+    while a < b < len(text) and (text[b].isalnum() or b + 1 < len(text) and text[b] in signs and text[b + 1].isalnum()):
+        b += 1
+    if kind == "phone" and a and (text[a - 1] == "+" or text[a - 1] == "(" and text.find(")", a, b) > 0):
+        a -= 1
+    return a, b
+
+
+def varied(kind: str, found: str) -> bool:
+    """Whether a whole token can be of its kind, whatever parts it: what the kind needs, not one way of writing it."""
+    digits = "".join(c for c in found if c in "0123456789")
+    if kind == "email":
+        local, at, domain = _DOT.sub(".", _AT.sub("@", found)).partition("@")
+        return bool(at and local and domain) and not re.search(r"[\s@]", local + domain)
+    if kind == "ip":
+        plain = _DOT.sub(".", found)
+        try:
+            return bool(ipaddress.ip_address(plain))
+        except ValueError:
+            parts = re.split(r"[-_.,\x20]{1,3}", plain)
+            return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+    if re.search(r"[^0-9\s()+./_,–-]", found):
+        return False
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    book = len(digits) == 13 and digits[:3] in ("978", "979") and sum(int(d) * (1 + i % 2 * 2) for i, d in enumerate(digits)) % 10 == 0
+    return 9 <= len(digits) <= 15 and not book
+
+
 def tags_of(spans: list[Span], start: int, length: int = WINDOW) -> np.ndarray:
     """Tags of a window: 0 outside, 1 + 2 k where a span of kind k begins, 2 + 2 k inside it."""
     tags = np.zeros(length, np.int64)
@@ -92,8 +135,8 @@ def tags_of(spans: list[Span], start: int, length: int = WINDOW) -> np.ndarray:
 def window_starts(text: str) -> list[int]:
     """Starts of the overlapping windows that hold a digit or an @.
 
-    Every span that the tagger learns from holds one, so the other windows have
-    no span to find.
+    An @ may be written `(at)`. Every span that the tagger learns from holds
+    one, so the other windows have no span to find.
     """
     starts: dict[int, None] = {}
     at = _TRIGGER.search(text)
@@ -153,12 +196,69 @@ def apart(spans: list[Span]) -> list[Span]:
     return out
 
 
-def fit(documents: DataFrame, sample_rows: int = 500, sample_windows: int = 2000, rounds: int = 6) -> Tagger | None:
-    """A tagger learnt from the fixed patterns' spans in a bounded sample.
+def written(kind: str, draw: np.random.Generator) -> str:
+    """A made-up span of a kind, in the patterns' form or one of the ways that they do not hold."""
+    pick = lambda *of: of[int(draw.integers(len(of)))]
+    some = lambda signs, n: "".join(draw.choice(list(signs), n))
+    number = lambda n: some("0123456789", n)
+    if kind == "phone":
+        a, b, c, z = some("23456789", 1) + number(2), number(3), number(4), number(2)
+        part = pick("-", "-", ".", " ", "/")
+        return pick(f"+1 ({a}) {b}-{c}", f"+{z} {a} {b} {c}", f"+1-{a}-{b}-{c}", f"({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a}){b}-{c}", f"({a}) {b} {c}", f"{a}{part}{b}{part}{c}", f"{a}-{b}-{c}", f"{a}-{b}-{c}", f"1{part}{a}{part}{b}{part}{c}", f"00{z} {a} {b} {c}", f"0{a}/{b}{c}", f"0{a} {b} {c}")
+    if kind == "ip":
+        parts = [str(int(draw.integers(256))) for _ in range(4)]
+        six = ":".join(some("0123456789abcdef", 4) for _ in range(8))
+        return pick(*(sep.join(parts) for sep in ("[.]", "(.)", " . ", "-", "_", "[.]")), six, f"{six[:9]}::{six[-4:]}", ".".join(parts), ".".join(parts))
+    if kind == "card":
+        digits = pick("4", "51", "37") + number(13)
+        digits += next(str(d) for d in range(10) if luhn(digits + str(d)))
+        digits = digits if len(digits) == 16 else (d := digits[:14] + number(1)) + next(str(x) for x in range(10) if luhn(d + str(x)))
+        return pick("", "", " ", "-", ".", ".", "/", "_", "  ", " - ", "–").join(digits[i : i + 4] for i in range(0, 16, 4))
+    local = some("abcdefghijklmnoprstuvwyz", int(draw.integers(3, 8))) + pick("", ".", "_") + some("abcdefghijklmnoprstuvwyz", int(draw.integers(2, 6))) + pick("", number(2))
+    domain = some("abcdefghijklmnoprstuvwyz", int(draw.integers(3, 9))) + pick("", number(1))
+    at, end = pick(" (at) ", " [at] ", "(at)", "[at]", " @ ", "@", "@"), pick("com", "org", "net", "de", "example.com")
+    dot = pick(".", ".", " (dot) ", "[dot]", "(dot)") if at != "@" else "."
+    return local + at + domain + (dot + end.replace(".", dot) if at != "@" or pick(True, False) else "")
+
+
+def lookalike(draw: np.random.Generator) -> str:
+    """Digits and @ that are no personal data."""
+    pick = lambda *of: of[int(draw.integers(len(of)))]
+    some = lambda signs, n: "".join(draw.choice(list(signs), n))
+    number = lambda n: some("0123456789", n)
+    day = f"20{number(2)}-{pick('01', '07', '10', '12')}-{pick('03', '14', '25', '30')}"
+    clock = f"{pick('08', '12', '17', '23')}:{number(2)}"
+    wrong = next(d for d in iter(lambda: number(16), None) if not luhn(d))
+    return pick(day, f"{day} {clock}", f"{day}T{clock}:00", clock, f"{number(1)}.{number(1)}.{number(2)}", f"v{number(1)}.{number(2)}", f"{number(3)},{number(3)}.{number(2)}", f"{number(4)}-{number(4)}", number(int(draw.integers(1, 13))), wrong, " ".join(wrong[i : i + 4] for i in range(0, 16, 4)), "@" + some("abcdefghilmnoprstu", 7), f"{number(2)} @ {number(2)}", "0x" + some("0123456789abcdef", 8), f"{number(3)} {number(3)}", f"({number(4)})", f"p. {number(2)}-{number(3)}", some("0123456789abcdef", 32))
+
+
+def copies(x: np.ndarray, y: np.ndarray, each: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of the sample with a planted token: `each` of every kind and as many look-alikes."""
+    draw = np.random.default_rng(seed)
+    free = x[~y.any(axis=1)]
+    free = free if len(free) else np.full((1, WINDOW), ord(" "), np.int64)
+    made: list[tuple[Callable[[], str], int]] = [(lambda kind=kind: written(kind, draw), k) for k, kind in enumerate(KINDS)] * each + [(lambda: lookalike(draw), -1)] * each
+    out_x, out_y = np.empty((len(made), WINDOW), np.int64), np.zeros((len(made), WINDOW), np.int64)
+    for row, (make, k) in enumerate(made):
+        token, around = codes(make())[:WINDOW], free[int(draw.integers(len(free)))]
+        before, after = draw.choice([" ", " ", " ", "\n", '"', ": "]), draw.choice([" ", " ", " ", ". ", ", ", '"', "\n"])
+        at = int(draw.integers(max(WINDOW - len(token) - len(before), 0) + 1))
+        rest = np.concatenate([codes(str(after)), around[at:] if draw.random() < 0.7 else around[at : at + 4], np.zeros(WINDOW, np.int64)])
+        out_x[row] = np.concatenate([around[:at], codes(str(before)), token, rest])[:WINDOW]
+        if k >= 0:
+            start = at + len(before)
+            out_y[row, start : start + len(token)] = 2 + 2 * k
+            out_y[row, start] = 1 + 2 * k
+    return np.concatenate([x, out_x]), np.concatenate([y, out_y])
+
+
+def fit(documents: DataFrame, sample_rows: int = 500, sample_windows: int = 2000, rounds: int = 9, each: int = 300) -> Tagger | None:
+    """A tagger learnt from the fixed patterns' spans in a bounded sample and planted spans in other ways of writing.
 
     The sample: of the documents with a digit or @ the `sample_rows` with the
     smallest hashed id, of their windows the `sample_windows` with the smallest
-    hash. None where no such document exists.
+    hash. `each` planted spans of every kind and as many look-alikes come
+    on top. None where no such document exists.
     """
     rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.filter(F.col("text").rlike("[0-9@]")).withColumn("draw", F.xxhash64("doc_id", "text"))
@@ -182,12 +282,40 @@ def fit(documents: DataFrame, sample_rows: int = 500, sample_windows: int = 2000
         return None
     tagger = Tagger(1 + 2 * len(KINDS))
     x, y = (np.frombuffer(b"".join(r[c] for r in found), np.uint8).reshape(-1, WINDOW).astype(np.int64) for c in ("x", "y"))
-    tagger.train(x, y, rounds)
+    tagger.train(*copies(x, y, each), rounds)
     return tagger
 
 
+def beyond(text: str, tagged: list[Span], base: list[tuple[str, int, int, bool]]) -> list[Span]:
+    """What tagged spans hold besides the base spans, as far as their kind allows it.
+
+    Each rest is tried with its whole words and numbers, in any way of writing,
+    then as it was tagged, in the form of the patterns. Rests of one kind that only signs part
+    are tried as one before.
+    """
+    holes = np.array(sorted((s[1], s[2]) for s in base)).reshape(-1, 2)
+    reach = np.maximum.accumulate(holes[:, 1]) if len(holes) else holes[:, 1]
+    free = lambda a, b: not (before := int(np.searchsorted(holes[:, 0], b))) or reach[before - 1] <= a
+    rests: list[Span] = []
+    for kind, a, b in sorted(tagged, key=lambda s: s[1]):
+        first, last = int(np.searchsorted(reach, a, side="right")), int(np.searchsorted(holes[:, 0], b))
+        for low, high in holes[first:last].tolist():
+            rests += [(kind, a, low)] * (a < low)
+            a = max(a, high)
+        rests += [(kind, a, b)] * (a < b)
+    joined = [(k, a, d) for (k, a, b), (n, c, d) in zip(rests, rests[1:]) if k == n and c - b <= 3 and not any(x.isalnum() for x in text[b:c])]
+    out = []
+    for kind, a, b in [*joined, *rests]:
+        low, high = fitted(kind, text, a, b)
+        if low < high and free(low, high) and varied(kind, text[low:high]):
+            out.append((kind, low, high))
+        elif free(a, b) and plausible(kind, text[a:b]):
+            out.append((kind, a, b))
+    return apart(list(dict.fromkeys(out)))
+
+
 def spans_in(texts: list[str], tagger: Tagger | None) -> list[list[tuple[str, int, int, bool]]]:
-    """(kind, start, end, base) of each text by kind, then start: the patterns' spans, and the tagger's that touch none of them and have their kind's form."""
+    """(kind, start, end, base) of each text by kind, then start: the patterns' spans, and what the tagger's hold besides them that its kind allows."""
     out, work = [[] for _ in texts], []
     for i, text in enumerate(texts):
         if not _TRIGGER.search(text):
@@ -204,12 +332,7 @@ def spans_in(texts: list[str], tagger: Tagger | None) -> list[list[tuple[str, in
                 starts.append(start)
                 held.append(tags)
     for i, (starts, held) in by_text.items():
-        base = np.array(sorted((s[1], s[2]) for s in out[i])).reshape(-1, 2)
-        reach = np.maximum.accumulate(base[:, 1]) if len(base) else base[:, 1]
-        for kind, a, b in reconciled(texts[i], starts, np.array(held)):
-            before = int(np.searchsorted(base[:, 0], b))
-            if (not before or reach[before - 1] <= a) and plausible(kind, texts[i][a:b]):
-                out[i].append((kind, a, b, False))
+        out[i] += [(*s, False) for s in beyond(texts[i], reconciled(texts[i], starts, np.array(held)), out[i])]
         out[i].sort(key=lambda s: (KINDS.index(s[0]), s[1]))
     return out
 

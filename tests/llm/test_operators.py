@@ -339,6 +339,23 @@ def test_tagger_learns_from_spans(spark):
     assert right / wanted > 0.9
 
 
+def test_tagger_adds_what_no_pattern_matches(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    tagger = pii.fit(docs.filter("doc_id % 2 = 0"))
+    clean = [r.text for r in docs.filter("doc_id % 2 = 1 AND text RLIKE '[0-9@]'").limit(300).collect() if not pii.base_spans(r.text) and "+" not in r.text]
+    clean += ["On 2023-04-05 at 12:30 the 3 of 17 rows, 1,234,567.89 in all, were v2.10.3.", "Order 12345678 of page 12-14, @someone, 978-3-16-148410-0 and 0x1f3a9b2c here."]
+    assert len(clean) > 20 and not any(pii.spans_in(clean, tagger))
+    planted = [("phone", "(407) 555-7710"), ("phone", "407-555-7710"), ("phone", "(612) 555-0139"), ("phone", "312-555-0188"), ("ip", "10[.]20[.]30[.]40"), ("email", "jo (at) mail7 (dot) example (dot) com")]
+    around = [("the thonble. Shre hewhha ", " reths ononti and of"), ("Der und schach von ", ", tet zau gest"), ("eaux mentez que ", ".\nEn elle pour les")]
+    for kind, token in planted:
+        texts = [a + token + b for a, b in around]
+        assert not any(pii.base_spans(t) for t in texts)
+        found = pii.spans_in(texts, tagger)
+        assert sum((kind, len(a), len(a) + len(token), False) in own for (a, _), own in zip(around, found)) >= 2, (token, found)
+    spans = pii.beyond("a (407) 555-7710 x@y.de", [("phone", 2, 23)], [("email", 17, 23, True)])
+    assert spans == [("phone", 2, 16)]
+
+
 def test_tagger_gradients():
     tagger, draw = Tagger(5), np.random.default_rng(0)
     x, y = draw.integers(0, 100, (7, 3)), draw.integers(0, 5, (7, 3))
