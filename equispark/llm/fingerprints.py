@@ -25,8 +25,9 @@ def fingerprint(branches: Column) -> Column:
     """`root;section|section`, a section `hash=paragraph/paragraph`, a paragraph `hash:leaf,leaf`.
 
     A paragraph's hash covers its leaves, a section's its paragraphs, the root
-    its sections, so equal roots mean equal texts and differing branches say
-    where texts differ.
+    its sections, so differing branches say where texts differ. Leaves are 32
+    bits and all else covers only leaves: two texts that differ in one block
+    have equal roots with a chance of 2^-32, so equal roots mean equal texts but for that.
     """
     paragraph = lambda p: F.concat(F.substring(F.md5(F.array_join(p, ",")), 1, 16), F.lit(":"), F.array_join(p, ","))
     section = lambda s: F.concat(F.substring(F.md5(s), 1, 16), F.lit("="), s)
