@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from equispark.llm import binary_tokens, decontamination, fingerprints, language, licenses, neardup, packing, pii, quality, url_filter
+from equispark.llm import binary_tokens, decontamination, fingerprints, language, licenses, neardup, negatives, packing, pii, quality, repeats, url_filter, whitening
 from equispark.llm.staging import scratch_path
 from equispark.llm.tokens import vocabulary
 
@@ -98,8 +98,25 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Deviations as longs, null where a long does not hold one."""
+    found = whitening.whitened(table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved))
+
+
+def op13_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_licenses, op3_quality, op4_language, op5_decontamination, op6_fingerprints, op7_near_duplicates, op8_token_ids, op9_personal_data, op10_packing)
+    f.__name__: f for f in (op1_url_filter, op2_licenses, op3_quality, op4_language, op5_decontamination, op6_fingerprints, op7_near_duplicates, op8_token_ids, op9_personal_data, op10_packing, op11_whitening, op12_hard_negatives, op13_repeats)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
