@@ -15,6 +15,9 @@ run makes one row however many copies it has; all other extended runs go.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,60 +28,109 @@ from equispark.llm.staging import staged
 from equispark.llm.text import filled, slices
 
 WINDOW, PERIOD = 13, 7
-COVER = np.array([0, 1, 3])
+COVER = (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
-_MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, p + 1, 1 << 64) for p in range(ANCHOR)], np.uint64)
-_PROBES = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x27D4EB2F165667C5))
 MAX_BITS = 1 << 26
 
+_BASE = 0x9E3779B97F4A7C15
+_MULTIPLIERS = [np.uint64(pow(_BASE, p + 1, 1 << 64)) for p in range(ANCHOR)]
+_PROBES = tuple(np.uint64(p) for p in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x27D4EB2F165667C5))
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+SPAN, LONG_WORD, SLICE = 1 << 18, 1 << 12, 1 << 19
 
-class Words(dict):
-    """64-bit hashes of words, remembered for at most 2^17 of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 17:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
 
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte value, and the powers of an odd base and of its inverse modulo 2^64."""
+    draw = np.random.default_rng(20_240_713)
 
-def runs(words: list[bytes], known: Words) -> np.ndarray:
-    """A hash of the ANCHOR words from each position on where as many follow."""
-    n = len(words) - ANCHOR + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    total = np.zeros(n, np.uint64)
-    for place, by in enumerate(_MULTIPLIERS):
-        total += hashes[place : place + n] * by
-    total ^= total >> np.uint64(33)
-    total *= np.uint64(0xFF51AFD7ED558CCD)
-    return total ^ (total >> np.uint64(29))
+    def powers(base: int) -> np.ndarray:
+        out = np.full(SPAN, base, np.uint64)
+        out[0] = 1
+        return np.cumprod(out, dtype=np.uint64)
 
+    return draw.integers(0, 1 << 64, 256, np.uint64), powers(_BASE), powers(pow(_BASE, -1, 1 << 64))
 
-def covered(n: int) -> np.ndarray:
-    """The positions below n that lie on the cover."""
-    at = np.arange(0, n + PERIOD, PERIOD)[:, None] + COVER
-    at = at.ravel()
-    return at[at < n]
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(29))
 
-def windows(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each window: those of its first and its last ANCHOR words, which hold all 13."""
-    n = max(len(found) - (WINDOW - ANCHOR), 0)
-    return found[:n], found[WINDOW - ANCHOR :][:n]
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word data[start:end], which only its bytes decide.
 
-def extended(shared: np.ndarray, n: int) -> np.ndarray:
-    """The starts of the n windows that hold one of the shared anchors (their positions)."""
-    marks = np.zeros(n + WINDOW + 1, np.int64)
-    np.add.at(marks, np.maximum(shared - (WINDOW - ANCHOR), 0), 1)
-    np.add.at(marks, np.minimum(shared + 1, n + WINDOW), -1)
-    return np.flatnonzero(np.cumsum(marks)[:n] > 0)
+    A word's sum of byte numbers times powers of a base is a difference of
+    running sums. These are taken over spans of bounded size; words above 4 KB
+    are hashed by themselves.
+    """
+    numbers, up, down = _powers()
+    out = np.empty(len(starts), np.uint64)
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    at = 0
+    for stop in [*long.tolist(), len(starts)]:
+        while at < stop:
+            upto = min(stop, max(at + 1, int(np.searchsorted(ends, starts[at] + SPAN - 1, side="right"))))
+            low = starts[at]
+            span = data[low : ends[upto - 1]]
+            sums = np.zeros(len(span) + 1, np.uint64)
+            np.cumsum(numbers[span] * up[: len(span)], out=sums[1:])
+            first = starts[at:upto] - low
+            out[at:upto] = (sums[ends[at:upto] - low] - sums[first]) * down[first]
+            at = upto
+        if stop < len(starts):
+            out[stop] = xxhash.xxh64_intdigest(data[starts[stop] : ends[stop]].tobytes())
+            at = stop + 1
+    return mixed(out)
+
+
+class Texts:
+    """The words of some texts, numbered through, and the hashes of the runs of ANCHOR words that start at them."""
+
+    def __init__(self, raw: list[bytes]):
+        data = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
+        inside = _IS_WORD[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        starts, ends = edges[0::2], edges[1::2]
+        heads = np.cumsum([1, *[len(text) + 1 for text in raw]])
+        self.bounds = np.searchsorted(starts, heads)  # of the texts, in words
+        self.size = np.diff(self.bounds)
+        self.text = np.repeat(np.arange(len(raw)), self.size)  # of each word
+        self.place = np.arange(len(starts)) - self.bounds[self.text]  # of each word in its text
+        hashes = word_hashes(data, starts, ends)
+        total = np.zeros(len(starts), np.uint64)
+        for place, by in enumerate(_MULTIPLIERS):
+            total[: max(len(total) - place, 0)] += hashes[place:] * by
+        self.runs = mixed(total)
+        self.rest = self.size[self.text] - self.place  # words from here to the end
+
+    def anchors(self) -> np.ndarray:
+        """The words on the cover from which ANCHOR words follow, in texts that have a window."""
+        on = np.isin(self.place % PERIOD, COVER) & (self.rest >= ANCHOR) & (self.size[self.text] >= WINDOW)
+        return np.flatnonzero(on)
+
+    def extended(self, shared: np.ndarray) -> np.ndarray:
+        """The starts of all windows that hold one of the given anchors."""
+        low = shared - np.minimum(self.place[shared], WINDOW - ANCHOR)
+        high = shared - np.maximum(WINDOW - self.rest[shared], 0) + 1
+        n = len(self.runs) + 1
+        inside = np.bincount(low, minlength=n) - np.bincount(high, minlength=n)
+        return np.flatnonzero(np.cumsum(inside)[:-1] > 0)
+
+    def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each window: those of its first and its last ANCHOR words, which hold all 13."""
+        return self.runs[starts], self.runs[starts + WINDOW - ANCHOR]
+
+    def removed(self, starts: np.ndarray) -> np.ndarray:
+        """Whether each word lies in one of the windows."""
+        n = len(self.runs) + WINDOW + 1
+        inside = np.bincount(starts, minlength=n) - np.bincount(starts + WINDOW, minlength=n)
+        return np.cumsum(inside)[: len(self.runs)] > 0
 
 
 def run_name(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """One number of the two of a window, told apart within a document."""
+    """One number of the two of a window, which tells it apart within a document."""
     return first ^ ((last << np.uint64(21)) | (last >> np.uint64(43)))
 
 
@@ -126,61 +178,50 @@ class Passages:
 
     def __init__(self, documents: DataFrame, max_bits: int):
         self.texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        spark = documents.sparkSession
         ends = self.anchors(False).groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
         self.shared = staged(ends.filter("least < most").select("anchor"), "anchors")
         held = bloom(self.shared, self.shared.count(), max_bits)
-        self.filter = None if held is None else spark.sparkContext.broadcast(held)
-        if held is None:
-            self.texts = self.marked()
-        else:
-            self.texts = self.texts.withColumn("marks", F.lit(None).cast("array<int>"))
+        self.filter = None if held is None else documents.sparkSession.sparkContext.broadcast(held)
+        self.texts = self.marked() if held is None else self.texts.withColumn("marks", F.lit(None).cast("array<int>"))
 
     def anchors(self, places: bool) -> DataFrame:
-        """(anchor, doc_id), with `at` if asked for, of every position on the cover; null ids neither remove nor lose words."""
+        """(anchor, doc_id), with its place `at` if asked for, of every position on the cover; null ids have none."""
 
         def hashed(batches):
-            known = Words()
             for batch in batches:
-                for rows in slices(batch):
-                    anchors, ids, at = [], [], []
-                    for own, text in zip(rows["doc_id"].to_pylist(), filled(rows["text"])):
-                        found = runs(text.as_buffer().to_pybytes().split(), known)
-                        if len(found) < PERIOD:  # fewer than 13 words
-                            continue
-                        on = covered(len(found))
-                        anchors.append(found[on])
-                        ids.append(np.full(len(on), own))
-                        at.append(on)
-                    if anchors:
-                        columns = [pa.array(np.concatenate(anchors).view(np.int64)), pa.array(np.concatenate(ids).astype(np.int64))]
-                        columns += [pa.array(np.concatenate(at).astype(np.int32))] if places else []
-                        yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "at"][: len(columns)])
+                for rows in slices(batch, size=SLICE):
+                    texts = Texts([t.as_buffer().to_pybytes() for t in filled(rows["text"])])
+                    on = texts.anchors()
+                    columns = [pa.array(texts.runs[on].view(np.int64)), rows["doc_id"].take(pa.array(texts.text[on]))]
+                    columns += [pa.array(texts.place[on].astype(np.int32))] * places
+                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "at"][: len(columns)])
 
         schema = "anchor long, doc_id long" + ", at int" * places
         return self.texts.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(hashed, schema)
 
     def marked(self) -> DataFrame:
-        """The texts with the positions of their shared anchors, by joins, where no filter of bounded size holds these."""
+        """The texts with the places of their shared anchors, by joins, where no filter of bounded size holds these."""
         at = self.anchors(True).join(self.shared, "anchor").groupBy("doc_id").agg(F.collect_set("at").alias("marks"))
         return self.texts.join(staged(at, "marks"), "doc_id", "left")
 
     def finder(self):
-        """A function that gives the hashes of a row's windows and the starts of those to be compared."""
+        """A function from the rows of a slice to their texts, words, and the starts of the windows to be compared."""
         held = self.filter
 
-        def of(own: int | None, words: list[bytes], marks, known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            found = runs(words, known)
-            first, last = windows(found)
-            if not len(first) or own is None:
-                return first, last, np.zeros(0, np.int64)
-            if held is None:
-                shared = np.array(marks or [], np.int64)
-                shared = shared[shared < len(found)]
+        def of(rows: pa.RecordBatch) -> tuple[list[bytes], Texts, np.ndarray]:
+            raw = [t.as_buffer().to_pybytes() for t in filled(rows["text"])]
+            texts = Texts(raw)
+            shared = texts.anchors()
+            if held is not None:
+                shared = shared[held.value.holds(texts.runs[shared])]
             else:
-                on = covered(len(found))
-                shared = on[held.value.holds(found[on])]
-            return first, last, extended(shared, len(first))
+                lists = rows["marks"].fill_null([])
+                row = np.repeat(np.arange(len(raw)), np.asarray(lists.value_lengths()))
+                marks = np.zeros(len(texts.runs) + 1, bool)
+                marks[np.minimum(texts.bounds[row] + np.asarray(lists.flatten(), np.int64), len(texts.runs))] = True
+                shared = shared[marks[shared]]
+            named = ~np.asarray(rows["doc_id"].is_null())
+            return raw, texts, texts.extended(shared[named[texts.text[shared]]])
 
         return of
 
@@ -189,17 +230,11 @@ class Passages:
         find = self.finder()
 
         def compared(batches):
-            known = Words()
             for batch in batches:
-                for rows in slices(batch):
-                    out = ([], [], [])
-                    for own, text, marks in zip(rows["doc_id"].to_pylist(), filled(rows["text"]), rows["marks"].to_pylist()):
-                        first, last, starts = find(own, text.as_buffer().to_pybytes().split(), marks, known)
-                        if len(starts):
-                            for column, values in zip(out, (first[starts], last[starts], np.full(len(starts), own, np.int64))):
-                                column.append(values.view(np.int64))
-                    if out[0]:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["first", "last", "doc_id"])
+                for rows in slices(batch, size=SLICE):
+                    _, texts, starts = find(rows)
+                    hashes = [pa.array(part.view(np.int64)) for part in texts.windows(starts)]
+                    yield pa.RecordBatch.from_arrays([*hashes, rows["doc_id"].take(pa.array(texts.text[starts]))], names=["first", "last", "doc_id"])
 
         found = self.texts.mapInArrow(compared, "first long, last long, doc_id long")
         least = found.groupBy("first", "last").agg(F.min("doc_id").alias("doc_id"))
@@ -212,27 +247,21 @@ class Passages:
         find = self.finder()
 
         def judged(batches):
-            known = Words()
             for batch in batches:
-                for rows in slices(batch):
-                    out = ([], [], [])
-                    for at, (own, text) in enumerate(zip(rows["doc_id"].to_pylist(), filled(rows["text"]))):
-                        words = text.as_buffer().to_pybytes().split()
-                        first, last, starts = find(own, words, rows["marks"][at].as_py(), known)
-                        firsts = rows["runs"][at].values
-                        if len(starts) and firsts is not None and len(firsts):
-                            starts = starts[~np.isin(run_name(first[starts], last[starts]), firsts.to_numpy().view(np.uint64))]
-                        kept = words
-                        if len(starts):
-                            cover = np.zeros(len(words) + 1, np.int64)
-                            np.add.at(cover, starts, 1)
-                            np.add.at(cover, starts + WINDOW, -1)
-                            kept = [word for word, hit in zip(words, (np.cumsum(cover) > 0).tolist()) if not hit]
-                        out[0].append(len(words))
-                        out[1].append(len(words) - len(kept))
-                        out[2].append(b" ".join(kept))
+                for rows in slices(batch, size=SLICE):
+                    raw, texts, starts = find(rows)
+                    lists = rows["runs"].fill_null([])
+                    row = np.repeat(np.arange(len(raw)), np.asarray(lists.value_lengths())).astype(np.uint64)
+                    own = np.asarray(lists.flatten(), np.int64).view(np.uint64) + row * np.uint64(_BASE)
+                    names = run_name(*texts.windows(starts)) + texts.text[starts].astype(np.uint64) * np.uint64(_BASE)
+                    gone = texts.removed(starts[~np.isin(names, own)])
+                    lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[texts.bounds])
+                    kept = []
+                    for i, text in enumerate(raw):
+                        words = text.split()
+                        kept.append(b" ".join(compress(words, (~gone[texts.bounds[i] : texts.bounds[i + 1]]).tolist()) if lost[i] else words))
                     yield pa.RecordBatch.from_arrays(
-                        [rows["doc_id"], pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()).cast(pa.string())],
+                        [rows["doc_id"], pa.array(texts.size), pa.array(lost), pa.array(kept, pa.binary()).cast(pa.string())],
                         names=["doc_id", "n_words", "n_removed", "kept"],
                     )
 
