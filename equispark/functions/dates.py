@@ -37,6 +37,12 @@ def utc_date(instant: Column) -> Column:
     return F.date_from_unix_date(F.floor(instant.cast("bigint") / 86400).cast("int"))
 
 
+def in_year(column: Column | str, year: int) -> Column:
+    """A range that scans and partitions can be pruned by, unlike the year of each row."""
+    day = F.col(column) if isinstance(column, str) else column
+    return (day >= F.lit(date(year, 1, 1))) & (day < F.lit(date(year + 1, 1, 1)))
+
+
 def _month_shift(day: date, months: int) -> date:
     index = day.year * 12 + day.month - 1 - months
     year, month = divmod(index, 12)

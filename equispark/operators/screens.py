@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from equispark.functions.dates import in_year
 from equispark.operators.fundamentals import newest
+from equispark.operators.ordering import segmented_rank
 
 
 def _sectors(metadata: DataFrame) -> DataFrame:
@@ -267,14 +269,18 @@ def estimate_revisions(estimates: DataFrame, metric: str = "current_year_growth"
 def peer_rank(facts: DataFrame, peers: DataFrame, metric: str, year: int, top: int | None = None) -> DataFrame:
     """Ranks of a metric inside each peer group for a year, all of them or the best `top`.
 
-    A row is one company of a year. With `top`, the rank filter keeps that many
-    rows per group in every map task, before the shuffle.
+    A row is one company of a year; equal metrics are ranked by ticker. With
+    `top`, the rank filter keeps that many rows per group in every map task,
+    before the shuffle. Without, a group is ranked over ranges of its rows.
     """
-    rows = facts.filter((F.year("date") == year) & F.col(metric).isNotNull()).select("ticker", "date", metric)
-    order = W.partitionBy("peer_group").orderBy(F.desc(metric), "ticker")
-    ranked = rows.join(peers, "ticker").withColumn("peer_rank", F.rank().over(order).cast("bigint"))
-    best = ranked if top is None else ranked.filter(F.col("peer_rank") <= top)
-    return best.select("peer_group", "ticker", "date", metric, "peer_rank")
+    rows = facts.filter(in_year("date", year) & F.col(metric).isNotNull()).select("ticker", "date", metric)
+    placed = rows.join(peers, "ticker")
+    if top is None:
+        ranked = segmented_rank(placed, "peer_group", [-F.col(metric), F.col("ticker")], "peer_rank", [F.col("date")])
+    else:
+        order = W.partitionBy("peer_group").orderBy(F.desc(metric), "ticker")
+        ranked = placed.withColumn("peer_rank", F.rank().over(order).cast("bigint")).filter(F.col("peer_rank") <= top)
+    return ranked.select("peer_group", "ticker", "date", metric, "peer_rank")
 
 
 def peer_multiples(valuation: DataFrame, peers: DataFrame, group: str) -> DataFrame:

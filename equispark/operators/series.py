@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from equispark.functions.dates import in_year
 from equispark.functions.numeric import pos_div
 from equispark.operators.aggregates import daily_returns
-from equispark.operators.ordering import global_row_number
+from equispark.operators.ordering import segmented_rank
 
 
 def rank_revenue(annual: DataFrame, top: int = 10) -> DataFrame:
@@ -42,18 +43,17 @@ def moving_avg(annual: DataFrame, periods: int = 3) -> DataFrame:
 
 
 def top_quartile(ratios: DataFrame, as_of_year: int) -> DataFrame:
-    """First quartile of ROE within a year, in NTILE's sense.
+    """First quartile of ROE within a year, in NTILE's sense: ties by ticker, then by date.
 
-    A global NTILE would sort everything in one task; see `global_row_number`.
+    A global NTILE would sort everything in one task; see `segmented_rank`.
     """
-    rows = ratios.filter((F.year("date") == as_of_year) & F.col("roe").isNotNull()).select("ticker", "date", "roe")
-    numbered = global_row_number(rows, [F.desc("roe"), F.asc("ticker")])
+    rows = ratios.filter(in_year("date", as_of_year) & F.col("roe").isNotNull()).select("ticker", "date", "roe")
     total = rows.agg(F.count("*")).scalar()
     # NTILE gives the first (total mod 4) buckets one row more.
     first_bucket = F.floor(total / 4) + F.when(total % 4 > 0, 1).otherwise(0)
-    return numbered.filter(F.col("row_no") <= first_bucket).select(
-        "ticker", "date", "roe", F.lit(1).cast("bigint").alias("quartile")
-    )
+    one = rows.withColumn("quartile", F.lit(1).cast("bigint"))
+    numbered = segmented_rank(one, "quartile", [-F.col("roe"), F.col("ticker"), F.col("date")], "row_no")
+    return numbered.filter(F.col("row_no") <= first_bucket).select("ticker", "date", "roe", "quartile")
 
 
 def volatility(prices: DataFrame, metadata: DataFrame, subject: str, n_peers: int = 3) -> DataFrame:

@@ -7,9 +7,10 @@ from collections.abc import Callable, Mapping, Sequence
 from datetime import date
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from equispark.functions.dates import in_year
 from equispark.operators.instruments import date_range
 
 MAX_ROWS = 1000
@@ -31,13 +32,8 @@ def _metric(frame: DataFrame, name: str) -> str:
     raise ValueError(f"not a metric of this table: {name}")
 
 
-def _in_year(column: str, year: int) -> Column:
-    """A range that scans can prune by, unlike the year of each row."""
-    return (F.col(column) >= F.lit(date(year, 1, 1))) & (F.col(column) < F.lit(date(year + 1, 1, 1)))
-
-
 def top_revenue(tables: Any, year: int, limit: int = 10) -> DataFrame:
-    rows = tables.annual.filter(_in_year("date", year)).select("ticker", "date", "totalRevenue")
+    rows = tables.annual.filter(in_year("date", year)).select("ticker", "date", "totalRevenue")
     return rows.orderBy(F.desc("totalRevenue"), "ticker").limit(limit)
 
 
@@ -60,7 +56,7 @@ def profit_margins(tables: Any, tickers: Sequence[str], limit: int = 25) -> Data
 def peer_group_comparison(tables: Any, metric: str, peer_group: str, year: int, limit: int = 25) -> DataFrame:
     column = _metric(tables.annual, metric)
     members = tables.peers.filter(F.col("peer_group") == peer_group).select("ticker")
-    rows = tables.annual.filter(_in_year("date", year)).join(members, "ticker")
+    rows = tables.annual.filter(in_year("date", year)).join(members, "ticker")
     return rows.select("ticker", "date", column).orderBy(F.desc(column), "ticker", "date").limit(limit)
 
 
@@ -90,7 +86,7 @@ def growth_leaders(tables: Any, start_date: date, limit: int = 10) -> DataFrame:
 
 def sector_analysis(tables: Any, year: int, limit: int = 15) -> DataFrame:
     """Mean revenue, mean margin and company count per sector for a year."""
-    reports = tables.annual.filter(_in_year("date", year)).select("ticker", "date", "totalRevenue")
+    reports = tables.annual.filter(in_year("date", year)).select("ticker", "date", "totalRevenue")
     margins = tables.ratios.select("ticker", "date", "net_margin")
     placed = reports.join(tables.metadata.select("ticker", "sector"), "ticker").join(margins, ["ticker", "date"], "left")
     return (
