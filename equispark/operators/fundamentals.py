@@ -202,7 +202,7 @@ def domain_margins(statements: DataFrame) -> DataFrame:
         "ticker",
         "date",
         margin("netIncome", "income_currency").alias("net_margin"),
-        margin("grossProfit", "revenue_currency").alias("operating_margin"),
+        margin("operatingIncome", "operating_currency").alias("operating_margin"),
     )
 
 

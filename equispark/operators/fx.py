@@ -13,6 +13,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from equispark.functions.dates import parse_date
 from equispark.functions.numeric import decimal4, nonzero_div
 from equispark.operators.fundamentals import (
     LARGE_CAP,
@@ -199,6 +200,19 @@ def market_cap_category(cap: Column) -> Column:
     return F.when(cap >= LARGE_CAP, "Large Cap").when(cap >= MID_CAP, "Mid Cap").otherwise("Small Cap")
 
 
+def prep_rates(documents: DataFrame) -> DataFrame:
+    """Rate documents as rows of the rate table, the highest rate of repeated keys; without a date or rate they go."""
+    rows = documents.select(
+        F.upper("base_currency").alias("base_currency"),
+        F.upper("quote_currency").alias("quote_currency"),
+        parse_date("date").alias("date"),
+        F.expr("try_cast(rate AS double)").alias("rate"),
+        F.col("source").cast("string").alias("source"),
+    ).filter("date IS NOT NULL AND rate IS NOT NULL")
+    keys = ("base_currency", "quote_currency", "date")
+    return rows.groupBy(*keys).agg(F.max("rate").alias("rate"), F.max("source").alias("source"))
+
+
 def valuation_multicurrency(
     prices: DataFrame,
     annual: DataFrame,

@@ -7,17 +7,19 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
-from equispark.operators import analyst, etl, fundamentals, technical
+from equispark.operators import analyst, etl, fundamentals, fx, technical
+from equispark.plans.catalog import VIEWS
 from equispark.sources import store
 
-# Each raw collection, its table, its projection and its key.
+# Each raw collection, its table, its projection, its key, and whether folders hold a year or a month.
 UPSERTED = {
-    "raw_annual": ("financials_annual", etl.flatten_statements, ("ticker", "date")),
-    "raw_quarterly": ("financials_quarterly", etl.flatten_statements, ("ticker", "date")),
-    "raw_prices": ("prices_daily", etl.prep_prices, ("ticker", "date")),
-    "raw_dividends": ("dividends_history", etl.prep_dividends, ("ticker", "date")),
-    "raw_splits": ("splits_history", etl.prep_splits, ("ticker", "date")),
-    "raw_earnings": ("earnings_history_raw", etl.prep_earnings_history, ("ticker", "report_date", "fiscal_period")),
+    "raw_annual": ("financials_annual", etl.flatten_statements, ("ticker", "date"), "year"),
+    "raw_quarterly": ("financials_quarterly", etl.flatten_statements, ("ticker", "date"), "year"),
+    "raw_prices": ("prices_daily", etl.prep_prices, ("ticker", "date"), "month"),
+    "raw_dividends": ("dividends_history", etl.prep_dividends, ("ticker", "date"), "year"),
+    "raw_splits": ("splits_history", etl.prep_splits, ("ticker", "date"), "year"),
+    "raw_earnings": ("earnings_history_raw", etl.prep_earnings_history, ("ticker", "report_date", "fiscal_period"), "year"),
+    "raw_rates": ("currency_exchange_rates", fx.prep_rates, ("base_currency", "quote_currency", "date"), "month"),
 }
 REPLACED = {
     "raw_metadata": ("company_metadata", etl.prep_metadata),
@@ -30,29 +32,30 @@ REPLACED = {
 
 
 def load(raw: Mapping[str, DataFrame], root: str, tolerance_pct: float | None = None) -> None:
-    """Upserts or replaces the stored tables from whatever collections came in."""
-    for collection, (table, prepare, keys) in UPSERTED.items():
+    """Upserts or replaces the stored tables from whatever collections came in.
+
+    With a tolerance, the rows of each load are counted against its documents
+    before readers see any of them; a load that lacks more raises.
+    """
+    for collection, (table, prepare, keys, unit) in UPSERTED.items():
         if collection in raw:
-            store.upsert_table(prepare(raw[collection]), f"{root}/{table}", keys)
-            if tolerance_pct is not None:
-                kept = store.read_upserted(raw[collection].sparkSession, f"{root}/{table}", keys)
-                store.require_integrity(raw[collection], kept, tolerance_pct, table)
+            documents = raw[collection]
+
+            def audit(written: DataFrame, documents: DataFrame = documents, table: str = table) -> None:
+                if tolerance_pct is not None:
+                    store.require_integrity(documents, written, tolerance_pct, table)
+
+            store.upsert_table(prepare(documents), f"{root}/{table}", keys, unit, audit)
     for collection, (table, prepare) in REPLACED.items():
         if collection in raw:
             store.replace_table(prepare(raw[collection]), f"{root}/{table}")
 
 
-KEYS = {table: keys for table, _, keys in UPSERTED.values()}
-
-
-def stored(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A stored table, or its typed empty form before the first load."""
+def stored(spark: SparkSession, root: str, table: str, year: int | None = None) -> DataFrame:
+    """A stored table, or its typed empty form before the first load. Columns that no load had are there, empty."""
     path = f"{root}/{table}"
-    if table in KEYS and store.has_changes(spark, path):
-        return store.read_upserted(spark, path, KEYS[table])
-    if store.current_version(spark, path) >= 0:
-        return store.read_table(spark, path)
-    return store.bootstrap_empty(spark, table)
+    empty = store.bootstrap_empty(spark, table)
+    return store.evolve_schema(empty, store.read_table(spark, path, year)) if store.has_rows(spark, path) else empty
 
 
 def derive(spark: SparkSession, root: str, as_of: date) -> dict[str, DataFrame]:
@@ -60,8 +63,9 @@ def derive(spark: SparkSession, root: str, as_of: date) -> dict[str, DataFrame]:
 
     A failing step raises: a table with zero rows is never the sign of an error.
     """
-    annual, prices, dividends, metadata = (
-        stored(spark, root, t) for t in ("financials_annual", "prices_daily", "dividends_history", "company_metadata")
+    annual, prices, dividends, metadata, rates = (
+        stored(spark, root, t)
+        for t in ("financials_annual", "prices_daily", "dividends_history", "company_metadata", "currency_exchange_rates")
     )
     valuation = fundamentals.valuation_metrics(prices, annual, dividends, metadata, as_of=as_of)
     return {
@@ -70,6 +74,7 @@ def derive(spark: SparkSession, root: str, as_of: date) -> dict[str, DataFrame]:
         "company_peers": fundamentals.peer_membership(spark),
         "user_portfolios": stored(spark, root, "user_portfolios"),
         "valuation_metrics": valuation,
+        "valuation_metrics_multicurrency": fx.valuation_multicurrency(prices, annual, dividends, metadata, rates, as_of=as_of),
         "earnings_history": analyst.earnings_history(stored(spark, root, "earnings_history_raw")),
         "earnings_calendar_upcoming": analyst.earnings_upcoming(stored(spark, root, "earnings_calendar"), as_of=as_of),
         "analyst_recommendations": analyst.recommendation_scores(stored(spark, root, "analyst_recommendations_raw")),
@@ -82,6 +87,10 @@ def derive(spark: SparkSession, root: str, as_of: date) -> dict[str, DataFrame]:
     }
 
 
+# Derived tables whose date questions are asked by; they are stored by year of it.
+DATED = {"ratios_financial", "growth_annual", "earnings_history", "analyst_recommendations", "technical_indicators"}
+
+
 def refresh(raw: Mapping[str, DataFrame], root: str, as_of: date, tolerance_pct: float | None = None) -> dict[str, DataFrame]:
     """Loads what came in and writes every derived table; returns them as read back."""
     spark = next(iter(raw.values())).sparkSession
@@ -89,6 +98,26 @@ def refresh(raw: Mapping[str, DataFrame], root: str, as_of: date, tolerance_pct:
     out = {}
     for name, frame in derive(spark, root, as_of).items():
         path = f"{root}/derived/{name}"
-        store.write_version(frame, path, store.current_version(spark, path) + 1)
+        by = next((c for c in ("date", "report_date") if c in frame.columns), None) if name in DATED else None
+        store.replace_table(frame, path, by)
         out[name] = store.read_table(spark, path)
     return out
+
+
+class StoredTables:
+    """What a refresh has published, under the names that templates use; of all years or of one."""
+
+    def __init__(self, spark: SparkSession, root: str, year: int | None = None):
+        self.spark, self.root, self.year = spark, root, year
+
+    def of_year(self, year: int) -> StoredTables:
+        return StoredTables(self.spark, self.root, year)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        table = next((view for view, attribute in VIEWS.items() if attribute == name), None)
+        if table is None:
+            raise AttributeError(name)
+        derived = f"{self.root}/derived/{table}"
+        if store.has_rows(self.spark, derived):
+            return store.read_table(self.spark, derived, self.year)
+        return stored(self.spark, self.root, table, self.year)

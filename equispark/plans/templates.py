@@ -33,7 +33,7 @@ def _metric(frame: DataFrame, name: str) -> str:
 
 
 def top_revenue(tables: Any, year: int, limit: int = 10) -> DataFrame:
-    rows = tables.annual.filter(in_year("date", year)).select("ticker", "date", "totalRevenue")
+    rows = tables.of_year(year).annual.filter(in_year("date", year)).select("ticker", "date", "totalRevenue")
     return rows.orderBy(F.desc("totalRevenue"), "ticker").limit(limit)
 
 
@@ -54,9 +54,10 @@ def profit_margins(tables: Any, tickers: Sequence[str], limit: int = 25) -> Data
 
 
 def peer_group_comparison(tables: Any, metric: str, peer_group: str, year: int, limit: int = 25) -> DataFrame:
-    column = _metric(tables.annual, metric)
+    reports = tables.of_year(year).annual
+    column = _metric(reports, metric)
     members = tables.peers.filter(F.col("peer_group") == peer_group).select("ticker")
-    rows = tables.annual.filter(in_year("date", year)).join(members, "ticker")
+    rows = reports.filter(in_year("date", year)).join(members, "ticker")
     return rows.select("ticker", "date", column).orderBy(F.desc(column), "ticker", "date").limit(limit)
 
 
@@ -86,8 +87,9 @@ def growth_leaders(tables: Any, start_date: date, limit: int = 10) -> DataFrame:
 
 def sector_analysis(tables: Any, year: int, limit: int = 15) -> DataFrame:
     """Mean revenue, mean margin and company count per sector for a year."""
-    reports = tables.annual.filter(in_year("date", year)).select("ticker", "date", "totalRevenue")
-    margins = tables.ratios.select("ticker", "date", "net_margin")
+    own = tables.of_year(year)
+    reports = own.annual.filter(in_year("date", year)).select("ticker", "date", "totalRevenue")
+    margins = own.ratios.filter(in_year("date", year)).select("ticker", "date", "net_margin")
     placed = reports.join(tables.metadata.select("ticker", "sector"), "ticker").join(margins, ["ticker", "date"], "left")
     return (
         placed.groupBy("sector")

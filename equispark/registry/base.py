@@ -81,6 +81,7 @@ TABLE_SQL: dict[str, str] = {
                gross / 1e2 AS totalRevenue, net / 1e2 AS grossProfit, after_tax / 1e2 AS ebitda,
                (net - 2 * cost) / 1e2 AS netIncome, s_acctbal * 1000 AS shareholderEquity,
                (gross + cost) / 1e2 AS totalAssets, cost / 1e2 AS totalLiabilities,
+               (net - cost) / 1e2 AS operatingIncome,
                settled / 1e2 AS operatingCashFlow, (settled - tax) / 1e2 AS freeCashFlow
         FROM (SELECT s_name, s_acctbal, year(d) AS y, CAST(sum(gross_c) AS BIGINT) AS gross,
                      CAST(sum(net_c) AS BIGINT) AS net, CAST(sum(after_tax_c) AS BIGINT) AS after_tax,
@@ -92,6 +93,7 @@ TABLE_SQL: dict[str, str] = {
                gross / 1e2 AS totalRevenue, net / 1e2 AS grossProfit, after_tax / 1e2 AS ebitda,
                (net - 2 * cost) / 1e2 AS netIncome, s_acctbal * 1000 AS shareholderEquity,
                (gross + cost) / 1e2 AS totalAssets, cost / 1e2 AS totalLiabilities,
+               (net - cost) / 1e2 AS operatingIncome,
                settled / 1e2 AS operatingCashFlow, (settled - tax) / 1e2 AS freeCashFlow,
                net - 2 * cost AS income_cents, gross AS revenue_cents
         FROM (SELECT s_name, s_acctbal, year(d) AS y, quarter(d) AS qtr, CAST(sum(gross_c) AS BIGINT) AS gross,

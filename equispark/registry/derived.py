@@ -8,6 +8,7 @@ from equispark.operators import analyst, fundamentals, fx, technical
 from equispark.operators.fundamentals import PEER_GROUPS
 from equispark.registry.base import AS_OF, CALENDAR_DAY, Query
 
+SYMBOLS = sorted({symbol for symbols in PEER_GROUPS.values() for symbol in symbols})
 RATIOS = "ticker, date, net_margin, roe, roa, debt_ratio, cash_conversion, fcf_margin, asset_turnover, gross_margin, ebitda_margin"
 
 # -- fundamentals ------------------------------------------------------------
@@ -44,7 +45,8 @@ FUNDAMENTALS = {
         """SELECT ticker, date,
                   CASE WHEN currency <> 'JPY' AND totalRevenue <> 0 THEN round_even(netIncome / totalRevenue, 4) END
                       AS net_margin,
-                  CASE WHEN totalRevenue <> 0 THEN round_even(grossProfit / totalRevenue, 4) END AS operating_margin
+                  CASE WHEN currency <> 'EUR' AND totalRevenue <> 0 THEN round_even(operatingIncome / totalRevenue, 4) END
+                      AS operating_margin
            FROM t_annual JOIN t_metadata USING (ticker)""",
     ),
     "growth_rate_decimal": Query(
@@ -64,11 +66,13 @@ FUNDAMENTALS = {
            FROM t_annual""",
     ),
     "peer_membership": Query(
-        # The built-in groups dealt over the companies, so membership grows with them.
-        lambda t: _dealt_groups(t),
-        f"""SELECT s_name AS ticker, g AS peer_group FROM supplier
-            JOIN (VALUES {", ".join(f"({i}, '{g}')" for i, g in enumerate(PEER_GROUPS))}) v(i, g)
-              ON s_suppkey % {len(PEER_GROUPS)} = i""",
+        # Companies trade under the built-in symbols in turn, and stand in the groups of their symbol.
+        lambda t: _listed(t).join(fundamentals.peer_membership(t.spark).withColumnRenamed("ticker", "symbol"), "symbol"),
+        f"""SELECT s_name AS ticker, v.symbol, v.peer_group FROM supplier
+            JOIN (VALUES {", ".join(f"({i}, '{s}')" for i, s in enumerate(SYMBOLS))}) n(i, symbol)
+              ON s_suppkey % {len(SYMBOLS)} = i
+            JOIN (VALUES {", ".join(f"('{s}', '{g}')" for g, own in PEER_GROUPS.items() for s in own)}) v(symbol, peer_group)
+              ON v.symbol = n.symbol""",
     ),
     "peer_lookup": Query(
         lambda t: fundamentals.peer_lookup(t.peers, "europe"),
@@ -80,7 +84,7 @@ FUNDAMENTALS = {
                   totalRevenue / nullif(netIncome, 0) AS nonzero FROM t_annual""",
     ),
     "year_extract": Query(
-        lambda t: t.annual.filter(F.year("date") == 1999).select(
+        lambda t: t.of_year(1999).annual.select(
             "ticker", F.year("date").cast("bigint").alias("fiscal_year"), "totalRevenue"
         ),
         "SELECT ticker, year(date) AS fiscal_year, totalRevenue FROM t_annual WHERE year(date) = 1999",
@@ -89,11 +93,14 @@ FUNDAMENTALS = {
 
 
 def _with_currencies(t):
-    """Statements with a currency per amount; yen companies report income in another one."""
+    """Statements with a currency per amount; yen companies report income in another one, euro companies operating income."""
     currencies = t.metadata.select("ticker", "currency")
-    other = F.when(F.col("currency") == "JPY", F.lit("USD")).otherwise(F.col("currency"))
+    other = lambda code: F.when(F.col("currency") == code, F.lit("USD")).otherwise(F.col("currency"))
     return t.annual.join(currencies, "ticker").select(
-        "*", F.col("currency").alias("revenue_currency"), other.alias("income_currency")
+        "*",
+        F.col("currency").alias("revenue_currency"),
+        other("JPY").alias("income_currency"),
+        other("EUR").alias("operating_currency"),
     )
 
 
@@ -113,10 +120,9 @@ def _income_pairs(t):
     )
 
 
-def _dealt_groups(t):
-    groups = F.array(*[F.lit(g) for g in PEER_GROUPS])
-    place = (F.col("s_suppkey") % len(PEER_GROUPS) + 1).cast("int")
-    return t.file("supplier").select(F.col("s_name").alias("ticker"), F.element_at(groups, place).alias("peer_group"))
+def _listed(t):
+    symbol = F.get(F.array(*[F.lit(s) for s in SYMBOLS]), (F.col("s_suppkey") % len(SYMBOLS)).cast("int"))
+    return t.file("supplier").select(F.col("s_name").alias("ticker"), symbol.alias("symbol"))
 
 
 # -- earnings and analysts ---------------------------------------------------

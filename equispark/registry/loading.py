@@ -169,12 +169,12 @@ def _incoming_prices(t):
 
 
 def _upsert_loads(t):
-    """The same upsert through stored change sets, the second load sent twice."""
+    """The same upsert on a stored table, the second load sent twice."""
     table = scratch_table(t.spark, "prices")
     store.upsert_table(_stored_prices(t), table)
     store.upsert_table(_incoming_prices(t), table)
     store.upsert_table(_incoming_prices(t), table)
-    return store.read_upserted(t.spark, table)
+    return store.read_table(t.spark, table)
 
 
 UPSERT_SQL = """
@@ -284,7 +284,7 @@ def statement_documents(frame: DataFrame) -> DataFrame:
         "ticker",
         _iso("date").alias("date"),
         F.to_json(
-            F.struct("totalRevenue", "netIncome", (F.col("ebitda") + 1).alias("ebitda"), F.lit("n/a").alias("auditor"))
+            F.struct("totalRevenue", "netIncome", "operatingIncome", (F.col("ebitda") + 1).alias("ebitda"), F.lit("n/a").alias("auditor"))
         ).alias("income_statement"),
         F.to_json(F.struct("shareholderEquity", "totalAssets", "totalLiabilities", F.lit(True).alias("audited"))).alias(
             "balance_sheet"

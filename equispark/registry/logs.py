@@ -324,7 +324,7 @@ def _fetch_stream(rows):
 def _stream_last_seen(t):
     table, log = jobs.scratch_table(t.spark, "seen"), jobs.scratch_table(t.spark, "seen-log")
     jobs.stream_freshness(_fetch_stream(_event_stream(t)), table, log)
-    return store.read_upserted(t.spark, table, ("ticker", "data_type"))
+    return store.read_table(t.spark, table)
 
 
 # The numeric fields of the statement documents, so that no batch has to look for them.
@@ -334,6 +334,7 @@ FIELDS = (
     "grossProfit",
     "netIncome",
     "operatingCashFlow",
+    "operatingIncome",
     "shareholderEquity",
     "totalAssets",
     "totalLiabilities",
@@ -354,7 +355,7 @@ def _stream_statements(t):
 
     load()
     load()
-    return store.read_upserted(t.spark, table)
+    return store.read_table(t.spark, table)
 
 
 STREAMS = {

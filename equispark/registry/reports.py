@@ -106,7 +106,7 @@ SERIES = {
         {"revenue_avg": 3},
     ),
     "win_top_quartile": Query(
-        lambda t: series.top_quartile(t.ratios, 2000),
+        lambda t: series.top_quartile(t.of_year(2000).ratios, 2000),
         """SELECT * FROM (SELECT ticker, date, roe, ntile(4) OVER (ORDER BY roe DESC, ticker) AS quartile
                           FROM t_ratios WHERE year(date) = 2000 AND roe IS NOT NULL) WHERE quartile = 1""",
     ),
@@ -429,7 +429,7 @@ SCREENS = {
                           FROM t_growth_estimates_raw) WHERE estimate > previous""",
     ),
     "peer_rank": Query(
-        lambda t: screens.peer_rank(t.ratios, t.peers, "net_margin", 2000),
+        lambda t: screens.peer_rank(t.of_year(2000).ratios, t.peers, "net_margin", 2000),
         """SELECT peer_group, ticker, date, net_margin,
                   rank() OVER (PARTITION BY peer_group ORDER BY net_margin DESC, ticker) AS peer_rank
            FROM t_ratios JOIN t_peers USING (ticker) WHERE year(date) = 2000 AND net_margin IS NOT NULL""",

@@ -7,12 +7,14 @@ depend on the order of addition.
 
 from __future__ import annotations
 
+from copy import copy
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from equispark.functions.dates import in_year
 from equispark.functions.numeric import cents, from_cents
 from equispark.operators.etl import earnings_surprise
 
@@ -21,12 +23,26 @@ FX_PAIRS = [("EUR", "USD", 1.1), ("USD", "GBP", 0.8), ("JPY", "USD", 0.007)]
 
 
 class MarketTables:
-    """Lazy domain tables over one folder of parquet files."""
+    """Lazy domain tables over one folder of parquet files, of all years or of one."""
+
+    year: int | None = None
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
 
+    def of_year(self, year: int) -> MarketTables:
+        """The tables of one calendar year: the range reaches the scan of the facts.
+
+        Right for all that a year's facts make up; not for growth and the like,
+        which look at the year before.
+        """
+        out = copy(self)
+        for name in [n for n, held in vars(out).items() if isinstance(held, DataFrame)]:
+            del vars(out)[name]
+        out.year = year
+        return out
+
     def file(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -39,7 +55,10 @@ class MarketTables:
     @cached_property
     def lines(self) -> DataFrame:
         net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-        return self.file("lineitem").select(
+        facts = self.file("lineitem")
+        if self.year is not None:
+            facts = facts.filter(in_year("l_shipdate", self.year))
+        return facts.select(
             "l_orderkey",
             "l_suppkey",
             "l_partkey",
@@ -95,6 +114,7 @@ class MarketTables:
             "shareholderEquity",
             from_cents(F.col("gross") + F.col("cost")).alias("totalAssets"),
             from_cents("cost").alias("totalLiabilities"),
+            from_cents(F.col("net") - F.col("cost")).alias("operatingIncome"),
             from_cents("settled").alias("operatingCashFlow"),
             from_cents(F.col("settled") - F.col("tax")).alias("freeCashFlow"),
         )

@@ -1,17 +1,20 @@
-"""Keyed upserts, schema drift, integrity checks, versioned tables and file sinks."""
+"""Keyed upserts, schema drift, integrity checks, stored tables and file sinks."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Declared types of the tables that exist before any data does.
+STATEMENT = (
+    "ticker string, date date, ebitda double, freeCashFlow double, grossProfit double, netIncome double, "
+    "operatingCashFlow double, operatingIncome double, shareholderEquity double, totalAssets double, "
+    "totalLiabilities double, totalRevenue double"
+)
 TABLE_TYPES = {
-    "financials_annual": "ticker string, date date, ebitda double, freeCashFlow double, grossProfit double, "
-    "netIncome double, operatingCashFlow double, shareholderEquity double, totalAssets double, "
-    "totalLiabilities double, totalRevenue double",
+    **{table: STATEMENT for table in ("financials_annual", "financials_quarterly")},
     "prices_daily": "ticker string, date date, open double, high double, low double, close double, "
     "adj_close double, volume bigint",
     "dividends_history": "ticker string, date date, amount double",
@@ -107,107 +110,117 @@ def require_integrity(source: DataFrame, stored: DataFrame, tolerance_pct: float
 
 # -- stored tables -------------------------------------------------------------
 #
-# Snapshots (`v0`, `v1`, ...) hold replaced tables; change folders (`batch=0`,
-# `batch=1`, ...) hold upserted ones. A load writes only its own rows, whatever
-# the size of the table, and readers keep the newest batch of every key. Folders
-# count once Spark has marked them complete, so a lost job leaves nothing behind.
+# Write, audit, publish. Readers see `data`. A load goes to `load`, is counted
+# there, and the new contents of the parts it touches go to `next`; only then
+# does Spark's partition overwrite put these in place. A load that fails before
+# that stays invisible; one that dies while it is put in place still has all of
+# its rows in `next`, and the next writer finishes it first. One load at a time
+# writes to a table.
 
 
-def _filesystem(spark: SparkSession, folder: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    return path, path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+def _folder(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _numbered(spark: SparkSession, folder: str, prefix: str, marker: str = "_SUCCESS") -> list[int]:
-    """Numbers of the subfolders `<prefix><n>` that hold the marker, ascending."""
-    path, fs = _filesystem(spark, folder)
-    if not fs.exists(path(folder)):
-        return []
-    names = [status.getPath().getName() for status in fs.listStatus(path(folder))]
-    found = [int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit()]
-    return sorted(n for n in found if fs.exists(path(f"{folder}/{prefix}{n}/{marker}")))
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path, fs = _folder(spark, folder)
+    return fs.exists(path)
 
 
-def change_set_of(spark: SparkSession, table: str, checkpoint: str, batch_id: int) -> int:
-    """Number of the change set a stream's batch writes: the next free one, kept for replays.
-
-    The number is noted beside the stream's checkpoint before anything is
-    written, so a batch that runs again replaces its own rows and never those of
-    another load. One load at a time writes to a table.
-    """
-    folder = f"{checkpoint}/change_sets/{batch_id}"
-    known = _numbered(spark, folder, "n", "")
-    if known:
-        return known[0]
-    number = _next_change_set(spark, table)
-    path, fs = _filesystem(spark, folder)
-    fs.mkdirs(path(f"{table}/batch={number}"))
-    fs.mkdirs(path(f"{folder}/n{number}"))
-    return number
-
-
-def _next_change_set(spark: SparkSession, table: str) -> int:
-    """One past every folder there is, complete, torn or just reserved."""
-    return max(_numbered(spark, table, "batch=", ""), default=-1) + 1
-
-
-def current_version(spark: SparkSession, table: str) -> int:
-    """Newest complete snapshot, -1 for none."""
-    return max(_numbered(spark, table, "v"), default=-1)
+def _remove(spark: SparkSession, folder: str) -> None:
+    path, fs = _folder(spark, folder)
+    fs.delete(path, True)
 
 
-def read_table(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.parquet(f"{table}/v{current_version(spark, table)}")
+def part_of(frame: DataFrame, keys: Sequence[str], unit: str = "year") -> Column:
+    """The folder a row stands in: the year or month of the first date among its keys, else a hash of them."""
+    kinds = dict(frame.dtypes)
+    dated = next((k for k in keys if kinds[k] in ("date", "timestamp", "timestamp_ntz")), None)
+    if dated is None:
+        return F.concat(F.lit("b"), F.pmod(F.xxhash64(*keys), F.lit(16)).cast("string"))
+    return F.coalesce(F.date_format(dated, {"year": "'y'yyyy", "month": "'m'yyyy-MM"}[unit]), F.lit("none"))
 
 
-def write_version(frame: DataFrame, table: str, version: int) -> None:
-    """Writes a snapshot beside the older ones: readers keep the one they opened."""
-    frame.write.mode("overwrite").parquet(f"{table}/v{version}")
+def _write(frame: DataFrame, path: str, by: str | None, mode: str = "static") -> None:
+    dealt = frame.hint("rebalance", by) if by else frame
+    writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", mode)
+    (writer.partitionBy(by) if by else writer).parquet(path)
 
 
-def replace_table(frame: DataFrame, table: str) -> bool:
-    """New contents where there are any; an empty frame leaves the table as it is."""
-    if frame.isEmpty():
-        return False
-    write_version(frame, table, current_version(frame.sparkSession, table) + 1)
-    return True
+def _publish(spark: SparkSession, table: str, by: str | None) -> None:
+    mode = "dynamic" if by == "part" else "static"
+    _write(spark.read.option("mergeSchema", True).parquet(f"{table}/next"), f"{table}/data", by, mode)
+    _remove(spark, f"{table}/next")
 
 
-def append_changes(incoming: DataFrame, table: str, batch: int, keys: Sequence[str]) -> None:
-    """Writes one batch of an upserted table; the same batch again replaces itself."""
-    absent = [k for k in keys if k not in incoming.columns]
-    if absent:
-        raise ValueError(f"incoming rows lack key columns: {absent}")
-    incoming.write.mode("overwrite").parquet(f"{table}/batch={batch}")
+def finish(spark: SparkSession, table: str) -> None:
+    """Puts a load in place that was complete when its writer died."""
+    if not _exists(spark, f"{table}/next/_SUCCESS"):
+        return
+    path, fs = _folder(spark, f"{table}/next")
+    names = [status.getPath().getName() for status in fs.listStatus(path)]
+    _publish(spark, table, next((n.split("=")[0] for n in names if "=" in n), None))
 
 
-def upsert_table(incoming: DataFrame, table: str, keys: Sequence[str] = ("ticker", "date")) -> None:
-    append_changes(incoming, table, _next_change_set(incoming.sparkSession, table), keys)
+def has_rows(spark: SparkSession, table: str) -> bool:
+    return _exists(spark, f"{table}/data")
 
 
-def has_changes(spark: SparkSession, table: str) -> bool:
-    return bool(_numbered(spark, table, "batch="))
+def read_table(spark: SparkSession, table: str, year: int | None = None) -> DataFrame:
+    """What was published last; the columns of all loads, without a shuffle. Of one year only its folders, if there are such."""
+    rows = spark.read.option("mergeSchema", True).parquet(f"{table}/data")
+    if year is not None and "part" in rows.columns:
+        rows = rows.filter((F.col("part") == f"y{year:04}") | F.col("part").startswith(f"m{year:04}-"))
+    elif year is not None and "year" in rows.columns:
+        rows = rows.filter(F.col("year") == year)
+    return rows.drop("part")
 
 
-def read_upserted(spark: SparkSession, table: str, keys: Sequence[str] = ("ticker", "date")) -> DataFrame:
-    """Rows of the newest batch of every key; columns are merged over the batches.
+def upsert_table(
+    incoming: DataFrame,
+    table: str,
+    keys: Sequence[str] = ("ticker", "date"),
+    unit: str = "year",
+    audit: Callable[[DataFrame], None] | None = None,
+) -> None:
+    """`upsert_by_key` on a stored table; only the parts that the load touches are read and rewritten.
 
-    Rows with a NULL key never replace each other and all stay.
+    `audit` gets the rows as written and raises to keep them from readers.
     """
-    batches = _numbered(spark, table, "batch=")
-    paths = [f"{table}/batch={n}" for n in batches]
-    rows = spark.read.option("basePath", table).option("mergeSchema", True).parquet(*paths)
-    if len(batches) == 1:
-        return rows.drop("batch")
-    newest = rows.groupBy(*keys).agg(F.max("batch").alias("newest_batch"))
-    complete = ~F.array_contains(F.array(*[F.col(k).isNull() for k in keys]), True)
-    latest = rows.join(newest, list(keys), "left").filter(~complete | (F.col("batch") == F.col("newest_batch")))
-    return latest.drop("batch", "newest_batch")
-
-
-def compact(spark: SparkSession, table: str, target: str, keys: Sequence[str] = ("ticker", "date")) -> None:
-    """The resolved rows of a table as the first batch of a new one."""
-    append_changes(read_upserted(spark, table, keys), target, 0, keys)
+    spark = incoming.sparkSession
+    absent = [k for k in keys if k not in incoming.columns]
+    if absent:
+        raise ValueError(f"incoming rows lack key columns: {absent}")
+    finish(spark, table)
+    _write(incoming.withColumn("part", part_of(incoming, keys, unit)), f"{table}/load", None)
+    load = spark.read.parquet(f"{table}/load")
+    if audit:
+        audit(load)
+    touched = [r.part for r in load.select("part").distinct().collect()]  # as many as years, months or 16
+    if touched:
+        merged = load
+        if has_rows(spark, table):
+            stored = spark.read.option("mergeSchema", True).parquet(f"{table}/data").filter(F.col("part").isin(touched))
+            merged = upsert_by_key(stored, load, keys)
+        _write(merged, f"{table}/next", "part")
+        _publish(spark, table, "part")
+    _remove(spark, f"{table}/load")
+
+
+def replace_table(frame: DataFrame, table: str, date: str | None = None) -> bool:
+    """New contents where there are any; an empty frame leaves the table as it is. By year of `date` if that is given."""
+    spark = frame.sparkSession
+    finish(spark, table)
+    by = "year" if date else None
+    _write(frame.withColumn("year", F.year(date)) if date else frame, f"{table}/load", None)
+    load = spark.read.schema(frame.withColumn("year", F.year(date)).schema if date else frame.schema).parquet(f"{table}/load")
+    filled = not load.isEmpty()
+    if filled or not has_rows(spark, table):
+        _write(load, f"{table}/next", by if filled else None)
+        _publish(spark, table, by if filled else None)
+    _remove(spark, f"{table}/load")
+    return filled
 
 
 # -- file sinks ----------------------------------------------------------------

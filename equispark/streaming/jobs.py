@@ -1,9 +1,9 @@
 """Structured Streaming jobs. Each drains its source once (`availableNow`) and ends.
 
 Rows may arrive in any order and none is dropped: bars and duplicates are
-written as partial results of each batch and folded on reading. Other results
-land as change sets of upserted tables. `foreachBatch` numbers both, so a
-replayed batch replaces itself.
+written as partial results of each batch, numbered by `foreachBatch`, and folded
+on reading. Other batches are upserts of stored tables. Either way a replayed
+batch replaces itself.
 """
 
 from __future__ import annotations
@@ -32,13 +32,13 @@ def drain_into(
     mode: str = "append",
     prepare: Callable[[DataFrame], DataFrame] = lambda f: f,
 ) -> None:
-    """Runs a stream to the end of its source; each batch is one change set of the table."""
+    """Runs a stream to the end of its source; each batch is one upsert of the table.
 
-    spark = stream.sparkSession
+    A batch that runs again finds its own keys and replaces them.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        number = store.change_set_of(spark, table, checkpoint, batch_id)
-        store.append_changes(prepare(batch), table, number, keys)
+        store.upsert_table(prepare(batch), table, keys)
 
     query = (
         stream.writeStream.foreachBatch(write)
