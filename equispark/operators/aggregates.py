@@ -94,6 +94,23 @@ def return_correlation(prices: DataFrame, subject: str) -> DataFrame:
     return both.groupBy("ticker").agg(F.corr("ret", "subject_ret").alias("correlation"), F.count("*").alias("days"))
 
 
+def pair_correlation(prices: DataFrame, tickers: Sequence[str]) -> DataFrame:
+    """Correlation of the daily returns of every pair of the given companies, on common days.
+
+    A day gathers at most one return of each company asked for; its pairs go
+    into partial co-moments before anything is shuffled by pair, so the number
+    of rows that meet is the number of pairs per task.
+    """
+    chosen = sorted(set(tickers))
+    returns = daily_returns(prices.filter(F.col("ticker").isin(*chosen)))
+    days = returns.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("ticker", "ret"))).alias("day"))
+    one = days.select("day", F.posexplode("day").alias("place", "one"))
+    both = one.select("one", F.explode(F.slice("day", F.col("place") + 2, F.size("day"))).alias("other"))
+    return both.groupBy(F.col("one.ticker").alias("ticker"), F.col("other.ticker").alias("other")).agg(
+        F.corr("one.ret", "other.ret").alias("correlation"), F.count("*").alias("days")
+    )
+
+
 def freshness_stats(log: DataFrame, *, now: datetime, threshold_days: int = 7) -> DataFrame:
     """Whole-day ages of the newest fetch per symbol: mean, extremes and the stale count."""
     newest = log.groupBy("ticker").agg(F.max("last_fetched").alias("last_fetched"))

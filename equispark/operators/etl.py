@@ -133,11 +133,17 @@ def flatten_statements(documents: DataFrame, fields: Sequence[str] | None = None
     """Wide statement rows: ticker, date and one DOUBLE per field, sorted by name.
 
     With `fields` given the plan is a plain projection; otherwise one extra
-    aggregate finds the names first.
+    aggregate finds the names first. Loads stage `statement_fields` and widen
+    the staged rows, so that documents are parsed once.
     """
-    statements = statement_fields(documents)
-    names = sorted(fields) if fields is not None else field_names(statements)
-    return statements.select("ticker", "date", *[F.col("fields")[n].alias(n) for n in names])
+    return widened(statement_fields(documents), fields)
+
+
+def widened(statements: DataFrame, fields: Sequence[str] | None = None, known: Sequence[str] = ()) -> DataFrame:
+    """One DOUBLE column per field: the given ones, else the known ones and all that the rows hold."""
+    names = sorted(fields) if fields is not None else sorted({*known, *field_names(statements)})
+    others = [c for c in statements.columns if c != "fields"]
+    return statements.select(*others, *[F.col("fields")[n].alias(n) for n in names])
 
 
 def statement_to_long(frame: DataFrame, ids: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equispark.functions.dates import parse_date
-from equispark.functions.numeric import decimal4, nonzero_div
+from equispark.functions.numeric import nonzero_div
 from equispark.operators.fundamentals import (
     LARGE_CAP,
     MID_CAP,
@@ -53,23 +53,12 @@ def nearest_rates(rates: DataFrame, days: int) -> DataFrame:
 
 def _both_ways(rates: DataFrame, prefix: str) -> DataFrame:
     """One row per ordered pair and date: the direct rate and the opposite one."""
-    quoted = rates.select("base_currency", "quote_currency", "date", "rate", F.lit(None).cast("double").alias("opposite"))
-    turned = rates.select(
-        F.col("quote_currency").alias("base_currency"),
-        F.col("base_currency").alias("quote_currency"),
-        "date",
-        F.lit(None).cast("double").alias("rate"),
-        F.col("rate").alias("opposite"),
-    )
-    return (
-        quoted.unionByName(turned)
-        .groupBy(
-            F.col("base_currency").alias(f"{prefix}_base"),
-            F.col("quote_currency").alias(f"{prefix}_quote"),
-            F.col("date").alias(f"{prefix}_date"),
-        )
-        .agg(F.max("rate").alias(f"{prefix}_rate"), F.max("opposite").alias(f"{prefix}_opposite"))
-    )
+    none, rate = F.lit(None).cast("double"), F.col("rate")
+    ways = [("base_currency", "quote_currency", rate, none), ("quote_currency", "base_currency", none, rate)]
+    names = [f"{prefix}_{c}" for c in ("base", "quote", "rate", "opposite")]
+    sides = F.array(*[F.struct(F.col(a).alias(names[0]), F.col(b).alias(names[1]), x.alias(names[2]), y.alias(names[3])) for a, b, x, y in ways])
+    both = rates.select(F.col("date").alias(f"{prefix}_date"), F.inline(sides))
+    return both.groupBy(names[0], names[1], f"{prefix}_date").agg(F.max(names[2]).alias(names[2]), F.max(names[3]).alias(names[3]))
 
 
 def _look_up(facts: DataFrame, rates: DataFrame, prefix: str, source: Column, target: Column, on: Column) -> DataFrame:
@@ -114,21 +103,12 @@ def fx_convert(
     """
     table = nearest_rates(rates, tolerance_days) if tolerance_days else rates
     src, dst, day, value = F.col(source), F.col(target), F.col(on), F.col(amount)
-    pivot = F.lit(PIVOT)
-    legs = _look_up(facts, table, "d", src, dst, day)
-    legs = _look_up(legs, table, "i", src, pivot, day)
-    legs = _look_up(legs, table, "o", pivot, dst, day)
+    known = fx_routes(facts.select(src.alias("r_source"), dst.alias("r_target"), day.alias("r_date")).distinct(), table)
+    found = facts.join(known, (src == F.col("r_source")) & (dst == F.col("r_target")) & (day == F.col("r_date")), "left")
 
     def leg(money: Column, p: str) -> Column:
         return F.coalesce(money * F.col(f"{p}_rate"), nonzero_div(money, f"{p}_opposite"))
 
-    crossable = (src != pivot) & (dst != pivot)
-    route = (
-        F.when(src == dst, "same")
-        .when(F.col("d_rate").isNotNull(), "direct")
-        .when(F.nullif("d_opposite", F.lit(0.0)).isNotNull(), "inverse")
-        .when(crossable & leg(leg(F.lit(1.0), "i"), "o").isNotNull(), "cross")
-    )
     converted = (
         F.when(F.col("route") == "same", value)
         .when(F.col("route") == "direct", value * F.col("d_rate"))
@@ -136,20 +116,59 @@ def fx_convert(
         .when(F.col("route") == "cross", leg(leg(value, "i"), "o"))
     )
     error = F.when(F.col("route").isNull(), F.concat_ws("/", src, dst))
-    return (
-        legs.withColumn("route", route)
-        .withColumn("converted", converted)
-        .withColumn("error", error)
-        .drop(*[f"{p}_{c}" for p in "dio" for c in ("rate", "opposite")])
+    names = [*facts.columns, "route", "converted", "error"]
+    return found.withColumn("converted", converted).withColumn("error", error).select(*names)
+
+
+def fx_routes(asked: DataFrame, rates: DataFrame) -> DataFrame:
+    """The route of each distinct (r_source, r_target, r_date) and the quotes of its legs.
+
+    d is the pair itself, i the way into the dollar, o the way out of it. The
+    three are rows of one lookup, so the rates are read once.
+    """
+    src, dst, pivot = F.col("r_source"), F.col("r_target"), F.lit(PIVOT)
+    ways = {"d": (src, dst), "i": (src, pivot), "o": (pivot, dst)}
+    legs = F.array(*[F.struct(F.lit(p).alias("leg"), a.alias("a"), b.alias("b")) for p, (a, b) in ways.items()])
+    keys = ["r_source", "r_target", "r_date"]
+    rows = asked.select(*keys, F.inline(legs))
+    quotes = _look_up(rows, rates, "q", F.col("a"), F.col("b"), F.col("r_date"))
+    picks = [
+        F.max(F.when(F.col("leg") == p, F.col(f"q_{c}"))).alias(f"{p}_{c}") for p in ways for c in ("rate", "opposite")
+    ]
+    resolved = quotes.groupBy(*keys).agg(*picks)
+    has = lambda p: F.col(f"{p}_rate").isNotNull() | F.nullif(f"{p}_opposite", F.lit(0.0)).isNotNull()
+    route = (
+        F.when(src == dst, "same")
+        .when(F.col("d_rate").isNotNull(), "direct")
+        .when(F.nullif("d_opposite", F.lit(0.0)).isNotNull(), "inverse")
+        .when((src != pivot) & (dst != pivot) & has("i") & has("o"), "cross")
     )
+    return resolved.withColumn("route", route)
 
 
 def fx_money_convert(facts: DataFrame, amount: str, rate: str) -> DataFrame:
-    """Adds the amount at a positive rate of up to 18 places, only the product rounded to four; other rates are reported."""
-    money, factor = F.col(amount).cast("decimal(20,4)"), F.col(rate).cast("decimal(24,18)")
-    return facts.withColumn("converted", F.when(factor > 0, decimal4(money * factor))).withColumn(
-        "error", F.when(~F.coalesce(factor > 0, F.lit(False)), "rate must be positive")
+    """Adds the amount at a positive rate of up to 18 places, only the product rounded to four; other rates are reported.
+
+    The rate is split into its whole and its broken part, whose products with an
+    amount below 10^15 are exact; the half that decides the fourth place goes to
+    the even side. Amounts and rates that do not fit are reported, not raised.
+    """
+    money = F.expr(f"try_cast(`{amount}` AS decimal(19,4))")
+    factor = F.expr(f"try_cast(`{rate}` AS decimal(38,18))")
+    whole = F.floor(factor).cast("decimal(20,0)")
+    broken = money * (factor % F.lit(1).cast("decimal(1,0)")).cast("decimal(18,18)")
+    beyond = broken % F.lit("0.0001").cast("decimal(4,4)")
+    cut = ((broken - beyond).cast("decimal(20,4)") * 10000).cast("decimal(20,0)")
+    rest, half = F.abs(beyond), F.lit("0.00005").cast("decimal(5,5)")
+    ticks = F.try_add(F.try_multiply((money * 10000).cast("decimal(19,0)"), whole), cut)
+    up = (rest > half) | ((rest == half) & (F.abs(ticks) % 2 == 1))
+    rounded = F.try_add(ticks, F.when(up, F.when(money < 0, -1).otherwise(1)).otherwise(0))
+    product = F.try_multiply(rounded, F.lit("0.0001").cast("decimal(4,4)")).cast("decimal(38,4)")
+    error = (
+        F.when(F.col(rate).isNull() | (F.col(rate) <= 0), "rate must be positive")
+        .when(F.col(amount).isNotNull() & product.isNull(), "out of range")
     )
+    return facts.withColumn("error", error).withColumn("converted", F.when(F.col("error").isNull(), product))
 
 
 def fx_cache_stats(rates: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,6 +170,32 @@ def period_filter(frame: DataFrame, period: str, as_of: date, column: str = "dat
     return frame.filter(F.col(column).between(F.lit(start), F.lit(end)))
 
 
+def in_periods(frame: DataFrame, periods: Mapping[str, tuple[date, date]], column: str = "date") -> DataFrame:
+    """Each row once for every period it lies in, with `period`, `period_start` and `period_end`.
+
+    A period table of literals: the span of all of them prunes the scan, and a
+    row is matched to its periods in place.
+    """
+    table = F.array(
+        *[
+            F.struct(F.lit(name).alias("period"), F.lit(start).alias("period_start"), F.lit(end).alias("period_end"))
+            for name, (start, end) in periods.items()
+        ]
+    )
+    first, last = min(p[0] for p in periods.values()), max(p[1] for p in periods.values())
+    day = F.col(column)
+    spanned = frame.filter(day.between(F.lit(first), F.lit(last)))
+    own = F.filter(table, lambda p: day.between(p["period_start"], p["period_end"]))
+    return spanned.select("*", F.inline(own))
+
+
+def since_events(frame: DataFrame, events: Mapping[str, DataFrame]) -> DataFrame:
+    """Each row once for every event of its company that it follows, with `event` and `event_date`; one scan for all events."""
+    tables = [table.select("ticker", F.lit(name).alias("event"), "event_date") for name, table in events.items()]
+    every = reduce(DataFrame.union, tables)
+    return frame.join(every, "ticker").filter("date >= event_date")
+
+
 def date_range(frame: DataFrame, ticker: str, start: date, end: date) -> DataFrame:
     return frame.filter((F.col("ticker") == ticker) & F.col("date").between(F.lit(start), F.lit(end)))
 

@@ -169,13 +169,19 @@ def screen_pullback(indicators: DataFrame, max_rsi: float = 40) -> DataFrame:
     return hits.filter((F.col("rsi_14") < max_rsi) & (F.col("close") > F.col("sma_200")))
 
 
-def screen_confirmed_momentum(indicators: DataFrame, prices: DataFrame, top: int = 20) -> DataFrame:
-    """Strong, not overbought, MACD-confirmed bars above their 50-row mean."""
-    current = prices.select("ticker", "date", F.col("close").alias("current_price"))
+def screen_confirmed_momentum(indicators: DataFrame, prices: DataFrame | None = None, top: int = 20) -> DataFrame:
+    """Strong, not overbought, MACD-confirmed bars above their 50-row mean.
+
+    The price is the close that the indicators were made of, unless another
+    price table is given.
+    """
     strong = indicators.filter("pct_change_20d > 10 AND rsi_14 < 70 AND macd > macd_signal")
+    if prices is None:
+        priced = strong.withColumn("current_price", F.col("close"))
+    else:
+        priced = strong.join(prices.select("ticker", "date", F.col("close").alias("current_price")), ["ticker", "date"])
     return (
-        strong.join(current, ["ticker", "date"])
-        .filter("current_price > sma_50")
+        priced.filter("current_price > sma_50")
         .select("ticker", "date", "rsi_14", "macd", "macd_signal", "pct_change_20d", "sma_50", "current_price")
         .orderBy(F.desc("pct_change_20d"), "ticker", "date")
         .limit(top)

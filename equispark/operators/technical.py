@@ -9,7 +9,6 @@ tick data the bars were aggregated from.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -172,22 +171,38 @@ def technical_52w(prices: DataFrame) -> DataFrame:
     return _pick(prices, "week_52_high", "week_52_low", "pct_from_52w_high", "pct_from_52w_low")
 
 
-def ema_true(prices: DataFrame, spans: tuple[int, ...] = (12, 26)) -> DataFrame:
-    """Exponential averages by their recursion, seeded with the first close.
+def ema_true(prices: DataFrame, spans: tuple[int, ...] = (12, 26), block: int = 64) -> DataFrame:
+    """Exponential averages by their recursion, seeded with the first close; null closes are left out.
 
-    No frame expresses a recursion, so each company's bars go through one Arrow
-    batch; the group is bounded by the calendar.
+    The recursion over a block of bars is an affine map of the value before it.
+    Its two numbers come from a running sum inside the block; the maps of a
+    company's blocks are composed one after the other, and each block's bars
+    take their share of the value so found.
     """
-    outputs = ", ".join(f"ema_true_{n} double" for n in spans)
+    bars = prices.select("ticker", "date", "close").filter("close IS NOT NULL")
+    number = F.row_number().over(W.partitionBy("ticker").orderBy("date")) - 1
+    bars = bars.withColumn("number", number).withColumn("block", F.floor(F.col("number") / block)).withColumn("k", F.col("number") % block)
+    inside = W.partitionBy("ticker", "block").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    keep = {n: 1 - 2 / (n + 1) for n in spans}
+    own = [
+        (F.sum((1 - q) * F.col("close") * F.pow(F.lit(q), -F.col("k"))).over(inside) * F.pow(F.lit(q), "k")).alias(f"own_{n}")
+        for n, q in keep.items()
+    ]
+    summed = bars.select("ticker", "date", "close", "block", "k", *own)
+    maps = summed.groupBy("ticker", "block").agg(
+        F.count("*").alias("size"), F.min_by("close", "k").alias("first"), *[F.max_by(f"own_{n}", "k").alias(f"add_{n}") for n in spans]
+    )
+    blocks = maps.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("block", "size", "first", *[f"add_{n}" for n in spans]))).alias("maps"))
 
-    def smooth(bars: pd.DataFrame) -> pd.DataFrame:
-        bars = bars.sort_values("date")
-        for n in spans:
-            bars[f"ema_true_{n}"] = bars["close"].ewm(span=n, adjust=False).mean()
-        return bars
+    def entries(n: int) -> Column:
+        """The value ahead of each block, and behind the last one."""
+        after = lambda seen, m: F.array_append(seen, F.element_at(seen, -1) * F.pow(F.lit(keep[n]), m["size"]) + m[f"add_{n}"])
+        return F.aggregate("maps", F.array(F.get("maps", F.lit(0))["first"]), after)
 
-    series = prices.select("ticker", "date", "close").filter("close IS NOT NULL")
-    return series.groupBy("ticker").applyInPandas(smooth, f"ticker string, date date, close double, {outputs}")
+    ahead = blocks.select("ticker", F.arrays_zip(F.col("maps.block").alias("block"), *[entries(n).alias(f"ahead_{n}") for n in spans]).alias("ahead"))
+    ahead = ahead.select("ticker", F.inline("ahead")).filter("block IS NOT NULL")
+    out = [(F.col(f"ahead_{n}") * F.pow(F.lit(q), F.col("k") + 1) + F.col(f"own_{n}")).alias(f"ema_true_{n}") for n, q in keep.items()]
+    return summed.join(ahead, ["ticker", "block"]).select("ticker", "date", "close", *out)
 
 
 def ohlc_shape(prices: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,8 +14,8 @@ from equispark.sources import store
 
 # Each raw collection, its table, its projection, its key, and whether folders hold a year or a month.
 UPSERTED = {
-    "raw_annual": ("financials_annual", etl.flatten_statements, ("ticker", "date"), "year"),
-    "raw_quarterly": ("financials_quarterly", etl.flatten_statements, ("ticker", "date"), "year"),
+    "raw_annual": ("financials_annual", etl.statement_fields, ("ticker", "date"), "year"),
+    "raw_quarterly": ("financials_quarterly", etl.statement_fields, ("ticker", "date"), "year"),
     "raw_prices": ("prices_daily", etl.prep_prices, ("ticker", "date"), "month"),
     "raw_dividends": ("dividends_history", etl.prep_dividends, ("ticker", "date"), "year"),
     "raw_splits": ("splits_history", etl.prep_splits, ("ticker", "date"), "year"),
@@ -45,7 +46,10 @@ def load(raw: Mapping[str, DataFrame], root: str, tolerance_pct: float | None =
                 if tolerance_pct is not None:
                     store.require_integrity(documents, written, tolerance_pct, table)
 
-            store.upsert_table(prepare(documents), f"{root}/{table}", keys, unit, audit)
+            rows = prepare(documents)
+            # Statements are staged as parsed maps, which tell what columns they have.
+            shape = partial(etl.widened, known=store.number_columns(table)) if "fields" in rows.columns else lambda load: load
+            store.upsert_table(rows, f"{root}/{table}", keys, unit, audit, shape)
     for collection, (table, prepare) in REPLACED.items():
         if collection in raw:
             store.replace_table(prepare(raw[collection]), f"{root}/{table}")

@@ -11,12 +11,52 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from equispark.functions.dates import period_bounds
 from equispark.operators import etl, instruments
 from equispark.operators.freshness import latest_records
 from equispark.registry.base import AS_OF, Query
 from equispark.sources import readers, store
 from equispark.streaming.jobs import scratch_table
 
+# All named periods, and their bounds as DuckDB's own dates.
+PERIODS = {
+    "ytd": {},
+    "last_n_years": {"n": 3},
+    "past_n_years": {"n": 2},
+    "last_n_months": {"n": 6},
+    "last_n_days": {"n": 45},
+    "last_year": {},
+    "last_month": {},
+    "last_week": {},
+    "this_year": {},
+    "this_quarter": {},
+    "quarter": {"year": 2000, "quarter": 2},
+    "last_quarter": {},
+    "fiscal_year": {"year": 1999},
+    "year": {"year": 2000},
+    "iso_date": {"day": date(2001, 3, 15)},
+    "before_covid": {},
+}
+PERIODS_SQL = """
+    SELECT period, CAST(a AS DATE) AS period_start, CAST(b AS DATE) AS period_end
+    FROM (SELECT DATE '2001-11-04' AS t),
+         LATERAL (VALUES ('ytd', date_trunc('year', t), t),
+                         ('last_n_years', t - INTERVAL 3 YEAR, t),
+                         ('past_n_years', t - INTERVAL 2 YEAR, t),
+                         ('last_n_months', t - INTERVAL 6 MONTH, t),
+                         ('last_n_days', t - 45, t),
+                         ('last_year', t - INTERVAL 1 YEAR, t),
+                         ('last_month', t - INTERVAL 1 MONTH, t),
+                         ('last_week', t - 7, t),
+                         ('this_year', date_trunc('year', t), date_trunc('year', t) + INTERVAL 1 YEAR - INTERVAL 1 DAY),
+                         ('this_quarter', date_trunc('quarter', t), date_trunc('quarter', t) + INTERVAL 3 MONTH - INTERVAL 1 DAY),
+                         ('quarter', DATE '2000-04-01', DATE '2000-06-30'),
+                         ('last_quarter', date_trunc('quarter', t) - INTERVAL 3 MONTH, date_trunc('quarter', t) - INTERVAL 1 DAY),
+                         ('fiscal_year', DATE '1999-01-01', DATE '1999-12-31'),
+                         ('year', DATE '2000-01-01', DATE '2000-12-31'),
+                         ('iso_date', DATE '2001-03-15', DATE '2001-03-15'),
+                         ('before_covid', DATE '1900-01-01', DATE '2020-03-01')) v(period, a, b)"""
+
 # -- sources -----------------------------------------------------------------
 
 
@@ -380,7 +420,9 @@ def _parsed(t):
 
 PROJECTIONS = {
     "flatten_statements": Query(
-        lambda t: etl.flatten_statements(_spoiled(statement_documents(t.annual))), "SELECT * FROM t_annual"
+        # The fields of the stored schema; a load finds new ones in its staged rows.
+        lambda t: etl.flatten_statements(_spoiled(statement_documents(t.annual)), store.number_columns("financials_annual")),
+        "SELECT * FROM t_annual",
     ),
     "statement_to_long": Query(
         _long,
@@ -709,6 +751,30 @@ FILTERS = {
     "period_filter": _period("last_n_months", ("2001-08-04", "2001-11-04"), n=3),
     "period_filter_last_quarter": _period("last_quarter", ("2001-07-01", "2001-09-30")),
     "period_filter_day": _period("iso_date", ("2001-03-15", "2001-03-15"), day=date(2001, 3, 15)),
+    "period_table": Query(
+        lambda t: instruments.in_periods(t.prices, {name: period_bounds(name, AS_OF, **parts) for name, parts in PERIODS.items()})
+        .groupBy("period", "period_start", "period_end", "ticker")
+        .agg(F.count("*").alias("days"), F.min("date").alias("first"), F.max("date").alias("last"), F.sum("volume").alias("volume")),
+        f"""SELECT period, period_start, period_end, ticker, count(*) AS days, min(date) AS first, max(date) AS last,
+                   CAST(sum(volume) AS BIGINT) AS volume
+            FROM t_prices JOIN ({PERIODS_SQL}) ON date BETWEEN period_start AND period_end GROUP BY ALL""",
+    ),
+    "event_table": Query(
+        lambda t: instruments.since_events(
+            t.prices,
+            {
+                "ipo": instruments.first_price_dates(t.prices),
+                "split": instruments.last_split_dates(t.splits),
+                "earnings": instruments.last_report_dates(t.earnings_raw, AS_OF),
+            },
+        ).select("ticker", "date", "close", "event", "event_date"),
+        """SELECT p.ticker, p.date, p.close, event, event_date FROM t_prices p
+           JOIN (SELECT ticker, 'ipo' AS event, min(date) AS event_date FROM t_prices GROUP BY ticker
+                 UNION ALL SELECT ticker, 'split', max(date) FROM t_splits GROUP BY ticker
+                 UNION ALL SELECT ticker, 'earnings', max(report_date) FROM t_earnings_raw
+                 WHERE report_date <= DATE '2001-11-04' GROUP BY ticker) e ON e.ticker = p.ticker
+           WHERE date >= event_date""",
+    ),
     "before_after_event": Query(
         lambda t: instruments.since_event(t.prices, instruments.last_split_dates(t.splits)),
         """SELECT p.*, event_date FROM t_prices p

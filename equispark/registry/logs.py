@@ -17,6 +17,12 @@ from equispark.streaming import jobs
 KNOWN_NAMES = ("red widget", "small ring", "green gear", "large bolt", "blue plate", "metal widgets")
 
 
+def _typed_names(t):
+    ending = F.char(97 + F.col("p_size") % 26)
+    middle = F.substr("p_name", 3 + F.col("p_size") % 2, F.length("p_name") - 4)
+    return t.file("part").select(F.concat(F.upper(F.substr("p_name", F.lit(1), F.lit(2))), middle, ending).alias("typed"))
+
+
 def _credentials(t):
     """Documents with a connection string at the end, and a secret of varying length."""
     address = F.concat(
@@ -74,6 +80,17 @@ TEXT = {
                       AS masked
            FROM documents""",
     ),
+    "fuzzy_name_table": Query(
+        # Typed names that lack their end and have a wrong one, against the table of names.
+        lambda t: text.close_names_in(_typed_names(t), "typed", t.file("part"), "p_name"),
+        """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY given ORDER BY score DESC, candidate) AS place
+                          FROM (SELECT given, candidate, 1 - levenshtein(lower(given), candidate)
+                                           / CAST(greatest(length(given), length(candidate)) AS DOUBLE) AS score
+                                FROM (SELECT DISTINCT upper(substr(p_name, 1, 2)) || substr(p_name, 3 + p_size % 2, length(p_name) - 4)
+                                             || chr(CAST(97 + p_size % 26 AS INT)) AS given FROM part),
+                                     (SELECT DISTINCT p_name AS candidate FROM part))
+                          WHERE score >= 0.5) WHERE place <= 3""",
+    ),
     "fuzzy_name_match": Query(
         lambda t: text.close_names(t.file("part"), "p_name", KNOWN_NAMES),
         f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY given ORDER BY score DESC, candidate) AS place

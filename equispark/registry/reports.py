@@ -14,6 +14,8 @@ SUBJECT = "Supplier#000000002"
 TRIO = ("Supplier#000000001", "Supplier#000000002", "Supplier#000000003")
 TRIO_SQL = "('Supplier#000000001', 'Supplier#000000002', 'Supplier#000000003')"
 
+CHOSEN = tuple(f"Supplier#{i:09}" for i in range(10))
+
 # -- aggregates ----------------------------------------------------------------
 
 AGGREGATES = {
@@ -72,6 +74,13 @@ AGGREGATES = {
             WHERE a.ticker <> '{SUBJECT}' GROUP BY a.ticker""",
         {"correlation": 6},
     ),
+    "agg_correlation_pairs": Query(
+        lambda t: aggregates.pair_correlation(t.prices, CHOSEN),
+        f"""SELECT a.ticker, b.ticker AS other, corr(a.ret, b.ret) AS correlation, count(*) AS days
+            FROM t_returns a JOIN t_returns b ON b.date = a.date AND b.ticker > a.ticker
+            WHERE a.ticker IN {CHOSEN} AND b.ticker IN {CHOSEN} GROUP BY 1, 2""",
+        {"correlation": 6},
+    ),
     "agg_min_max_date": Query(
         lambda t: aggregates.date_span(t.prices),
         "SELECT ticker, min(date) AS first_date, max(date) AS last_date FROM t_prices GROUP BY ticker",
@@ -362,7 +371,7 @@ SCREENS = {
         _round4("close", "sma_200", "rsi_14"),
     ),
     "screen_confirmed_momentum": Query(
-        lambda t: screens.screen_confirmed_momentum(t.indicators, t.prices),
+        lambda t: screens.screen_confirmed_momentum(t.indicators),
         """SELECT ticker, date, rsi_14, macd, macd_signal, pct_change_20d, sma_50, p.close AS current_price
            FROM t_indicators i JOIN t_prices p USING (ticker, date)
            WHERE pct_change_20d > 10 AND rsi_14 < 70 AND macd > macd_signal AND p.close > sma_50

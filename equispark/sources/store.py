@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Declared types of the tables that exist before any data does.
 STATEMENT = (
@@ -42,6 +43,11 @@ def bootstrap_empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], TABLE_TYPES[table])
 
 
+def number_columns(table: str) -> list[str]:
+    """The fields that a table is declared with, besides its key."""
+    return [column.split()[0] for column in TABLE_TYPES[table].split(", ") if column.endswith(" double")]
+
+
 # -- upserts -----------------------------------------------------------------
 
 
@@ -148,9 +154,10 @@ def _write(frame: DataFrame, path: str, by: str | None, mode: str = "static") ->
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
-def _publish(spark: SparkSession, table: str, by: str | None) -> None:
+def _publish(spark: SparkSession, table: str, by: str | None, schema: StructType | None = None) -> None:
+    reader = spark.read.option("mergeSchema", True) if schema is None else spark.read.schema(schema)
     mode = "dynamic" if by == "part" else "static"
-    _write(spark.read.option("mergeSchema", True).parquet(f"{table}/next"), f"{table}/data", by, mode)
+    _write(reader.parquet(f"{table}/next"), f"{table}/data", by, mode)
     _remove(spark, f"{table}/next")
 
 
@@ -183,10 +190,12 @@ def upsert_table(
     keys: Sequence[str] = ("ticker", "date"),
     unit: str = "year",
     audit: Callable[[DataFrame], None] | None = None,
+    shape: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> None:
     """`upsert_by_key` on a stored table; only the parts that the load touches are read and rewritten.
 
     `audit` gets the rows as written and raises to keep them from readers.
+    `shape` turns them into rows of the table, where that takes a look at them.
     """
     spark = incoming.sparkSession
     absent = [k for k in keys if k not in incoming.columns]
@@ -199,12 +208,12 @@ def upsert_table(
         audit(load)
     touched = [r.part for r in load.select("part").distinct().collect()]  # as many as years, months or 16
     if touched:
-        merged = load
+        merged = shape(load)
         if has_rows(spark, table):
             stored = spark.read.option("mergeSchema", True).parquet(f"{table}/data").filter(F.col("part").isin(touched))
-            merged = upsert_by_key(stored, load, keys)
+            merged = upsert_by_key(stored, merged, keys)
         _write(merged, f"{table}/next", "part")
-        _publish(spark, table, "part")
+        _publish(spark, table, "part", merged.schema)
     _remove(spark, f"{table}/load")
 
 
@@ -212,14 +221,13 @@ def replace_table(frame: DataFrame, table: str, date: str | None = None) -> bool
     """New contents where there are any; an empty frame leaves the table as it is. By year of `date` if that is given."""
     spark = frame.sparkSession
     finish(spark, table)
-    by = "year" if date else None
-    _write(frame.withColumn("year", F.year(date)) if date else frame, f"{table}/load", None)
-    load = spark.read.schema(frame.withColumn("year", F.year(date)).schema if date else frame.schema).parquet(f"{table}/load")
-    filled = not load.isEmpty()
+    rows = frame.withColumn("year", F.year(date)) if date else frame
+    _write(rows, f"{table}/next", "year" if date else None)
+    filled = not spark.read.schema(rows.schema).parquet(f"{table}/next").isEmpty()
     if filled or not has_rows(spark, table):
-        _write(load, f"{table}/next", by if filled else None)
-        _publish(spark, table, by if filled else None)
-    _remove(spark, f"{table}/load")
+        _publish(spark, table, "year" if date and filled else None, rows.schema)
+    else:
+        _remove(spark, f"{table}/next")
     return filled
 
 

@@ -1,16 +1,19 @@
 """Hand-computed cases at the edges of the definitions."""
 
-from datetime import date, datetime
-from decimal import Decimal
+import re
+from datetime import date, datetime, timedelta
+from decimal import ROUND_HALF_EVEN, Decimal, getcontext
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from equispark.operators import analyst, etl, fundamentals, fx, instruments, technical
+from equispark.operators import analyst, etl, fundamentals, fx, instruments, technical, text
+from equispark.registry.all import QUERIES
 
 
 def bars(spark, closes, ticker="A"):
-    rows = [(ticker, date(2020, 1, 1 + i), c, 10) for i, c in enumerate(closes)]
+    rows = [(ticker, date(2020, 1, 1) + timedelta(days=i), c, 10) for i, c in enumerate(closes)]
     return spark.createDataFrame(rows, "ticker string, date date, close double, volume bigint")
 
 
@@ -194,6 +197,58 @@ def test_money_is_half_even(spark):
     assert out[2].error == "rate must be positive"
 
 
+def test_money_at_any_rate(spark):
+    """Small and large rates, negative amounts, and what does not fit, against Python's decimals."""
+    amounts = ["0.0001", "-0.0003", "12345678901234.5678", "-98765.4321", "999999999999999.9999"]
+    factors = ["0.0000004", "1500000", "0.5", "1.000000000000000001", "149.123456789", "99999999999999999999"]
+    schema = "amount decimal(20,4), rate decimal(38,18)"
+    facts = spark.createDataFrame([(Decimal(a), Decimal(f)) for a in amounts for f in factors], schema)
+    getcontext().prec = 80
+    for row in fx.fx_money_convert(facts, "amount", "rate").collect():
+        exact = (row.amount * row.rate).quantize(Decimal("0.0001"), ROUND_HALF_EVEN)
+        fits = abs(exact) < 10**34
+        assert (row.converted, row.error) == ((exact, None) if fits else (None, "out of range")), row
+    wide = spark.createDataFrame([(1e16, 1.0), (1.0, 1e21), (None, 1.0), (1.0, None), (1.0, -2.0)], "amount double, rate double")
+    out = fx.fx_money_convert(wide, "amount", "rate").collect()
+    assert [r.error for r in out] == ["out of range", "out of range", None, "rate must be positive", "rate must be positive"]
+    assert all(r.converted is None for r in out)
+
+
+def test_fx_convert_reads_its_facts_twice(spark):
+    plan = QUERIES["fx_convert"].frame(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_extendedprice") and len(re.findall(r"Relation .*l_orderkey", plan)) <= 3  # twice the facts, once the rates
+
+
+def test_pairs_of_close_names_are_complete(spark):
+    draw = np.random.default_rng(4)
+    word = lambda: "".join(draw.choice(list("abc"), int(draw.integers(0, 9))))
+    given, known = sorted({word() for _ in range(150)}), sorted({word() for _ in range(150)})
+    for floor in (0.5, 0.75, 1.0):
+        frames = [spark.createDataFrame([(w,) for w in own], "w string") for own in (given, known)]
+        got = {(r.given, r.candidate) for r in text.close_pairs(frames[0], "w", frames[1], "w", floor).collect()}
+        wanted = {(a, b) for a in given for b in known if 1 - edits(a, b) / max(len(a), len(b), 1) >= floor}
+        assert got == wanted
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_ema_over_block_boundaries(spark):
+    closes = [float(v) for v in np.random.default_rng(6).uniform(5, 50, 300)]
+    for block in (1, 7, 64, 500):
+        out = column(technical.ema_true(bars(spark, closes), (12,), block), "ema_true_12")
+        seen = closes[0]
+        for got, close in zip(out, closes):
+            seen += (close - seen) * 2 / 13
+            assert got == pytest.approx(seen, rel=1e-11)
+
+
 def test_flatten_rules(spark):
     documents = spark.createDataFrame(
         [
