@@ -2,74 +2,151 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equispark.llm.text import filled
+from equispark.llm.text import filled, slices
 
 END_ID = 0
-
-# A text may be parted where the vocabulary's own splitting rule always parts
-# it: before one blank or line end between other characters, and between a run
-# of Latin letters or digits and the ASCII punctuation behind it.
-_LATIN = "0-9A-Za-zÀ-ÖØ-öø-ɏ"
-_PIECES = re.compile(
-    rf"[ \n]?[{_LATIN}]++(?![^ \n\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e])|[ \n]+(?![^ \n])|[ \n]?[^ \n]+"
-)
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+SLICE = 1 << 21
+
+# A text may be parted where the vocabulary's own splitting rule always parts it:
+# at the beginning of a run of white space, before the last sign of such a run
+# where more text follows, and between an ASCII letter or digit and the ASCII
+# punctuation behind it. White space beyond ASCII is not looked for; texts that
+# hold any are given to the library in one go.
+_SPACE, _SIGN, _ALNUM = (np.zeros(256, bool) for _ in range(3))
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SIGN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_OTHER_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# Pieces that the splitting rule never parts further nor joins with another such piece.
+_SINGLE = re.compile(" [A-Za-zÀ-ÖØ-öø-ɏ]+| [0-9]+")
+
+
+def parted(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The pieces of all texts, sharing their bytes, and the number of pieces of each text."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: bounds[-1]]
+    low = int(bounds[0])
+    own = data[low:]
+    space = _SPACE[own]
+    cut = np.zeros(len(own) + 1, bool)
+    cut[1:-1] = _SIGN[own[1:]] & _ALNUM[own[:-1]] | space[1:] & ~space[:-1]
+    last = space[:-1] & ~space[1:] if len(own) else space
+    inner = bounds[1:-1] - low
+    last[inner[(inner > 0) & (inner < len(own))] - 1] = False  # a space that ends a text
+    cut[: len(last)] |= last
+    cut[bounds - low] = True
+    at = np.flatnonzero(cut)
+    starts = (at + low).astype(np.int64)
+    pieces = pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts), texts.buffers()[2] or pa.py_buffer(b"")])
+    return pieces, np.diff(np.searchsorted(at, bounds - low))
+
+
+class Memory:
+    """Values of keys in two generations of at most `entries`; what is asked for again survives."""
+
+    def __init__(self, entries: int):
+        self.entries, self.young, self.old = entries, {}, {}
+
+    def known(self, keys: list[str]) -> list[bytes | None]:
+        """The values of the keys, None for unknown ones."""
+        if len(self.young) > self.entries:
+            self.young, self.old = {}, self.young
+        found = list(map(self.young.get, keys))
+        if self.old:
+            for i, value in enumerate(found):
+                if value is None and (value := self.old.get(keys[i])) is not None:
+                    found[i] = self.young[keys[i]] = value
+        return found
+
+
+def gathered(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs source[start : start + size] one behind the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return source[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
 
 
 class Encoder:
     """Ids by the tokenizers library, which is asked once for a piece of text.
 
-    `words` holds what stands between two blanks, `pieces` its parts. Each is
-    emptied when it has `entries` entries, which changes no result.
+    The pieces of a slice of texts are numbered first, so that each different
+    one is looked up once. `memory` is bounded, which changes no result.
     """
 
-    def __init__(self, path: str, entries: int = 500_000):
+    def __init__(self, path: str, entries: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.entries = Tokenizer.from_file(path), entries
+        self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.memory = Memory(entries)
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _whole(self, text: str) -> bool:
-        """True where the text must be given to the library in one go."""
-        return "  " in text or "\n " in text or bool(_OTHER_SPACE.search(text)) or any(s in text for s in self.special)
+    def _ask_joined(self, pieces: list[str], run: int = 256) -> list[bytes]:
+        """The ids of single pieces, many asked for in one text and parted by the library's own word numbers."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), run):
+            own = pieces[at : at + run]
+            found = self.library.encode("".join(own), add_special_tokens=False)
+            ids, words = np.asarray(found.ids, "<u4"), np.asarray(found.word_ids)
+            ends = [0, *(4 * np.flatnonzero(words[1:] != words[:-1]) + 4).tolist(), 4 * len(ids)]
+            if len(ends) != len(own) + 1:  # another splitting rule than the one known here
+                return out + self._ask(pieces[at:])
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in itertools.pairwise(ends)]
+        return out
+
+    def _pieces(self, wanted: list[str]) -> list[bytes]:
+        """The ids of different pieces."""
+        found = self.memory.known(wanted)
+        unseen = [i for i, ids in enumerate(found) if ids is None]
+        single = [i for i in unseen if _SINGLE.fullmatch(wanted[i])]
+        others = sorted(set(unseen).difference(single))
+        asked = [*self._ask_joined([wanted[i] for i in single]), *self._ask([wanted[i] for i in others])]
+        for i, ids in zip([*single, *others], asked):
+            found[i] = self.memory.young[wanted[i]] = ids
+        return found
+
+    def ids_of(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts one behind the other, and their number in each text; no end ids."""
+        whole = pc.match_substring_regex(texts, _OTHER_SPACE)
+        for mark in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, mark))
+        at_once = np.asarray(whole)
+        pieces, counts = parted(texts.filter(pc.invert(whole)) if at_once.any() else texts)
+        pieces = pieces.dictionary_encode()
+        parts = self._pieces(pieces.dictionary.to_pylist()) + self._ask(texts.filter(whole).to_pylist())
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts = np.cumsum(sizes) - sizes
+        # Texts asked for at once are one more part each, where they stand among the others.
+        per_text = np.ones(len(texts), np.int64)
+        per_text[~at_once] = counts
+        order = np.empty(int(per_text.sum()), np.int64)
+        is_whole = np.repeat(at_once, per_text)
+        order[~is_whole] = pieces.indices.to_numpy()
+        order[is_whole] = len(pieces.dictionary) + np.arange(int(at_once.sum()))
+        flat = gathered(np.frombuffer(b"".join(parts), "<u4"), starts[order], sizes[order])
+        ends = np.concatenate([[0], np.cumsum(sizes[order])])
+        return flat, np.diff(ends[np.concatenate([[0], np.cumsum(per_text)])])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers, without an end id."""
-        whole = [i for i, text in enumerate(texts) if self._whole(text)]
-        out = dict(zip(whole, self._ask([texts[i] for i in whole])))
-        parts = {i: ("\n" + text).split(" ") for i, text in enumerate(texts) if i not in out}
-        firsts = {i: words[0][1:] for i, words in parts.items()}
-        if len(self.words) > self.entries:
-            self.words.clear()
-        if len(self.pieces) > self.entries:
-            self.pieces.clear()
-        unseen = set().union(*(words[1:] for words in parts.values())).difference(self.words)
-        split = {word: _PIECES.findall(" " + word) for word in unseen}
-        heads = {i: _PIECES.findall(word) for i, word in firsts.items()}
-        wanted = list(set().union(*split.values(), *heads.values()).difference(self.pieces))
-        self.pieces.update(zip(wanted, self._ask(wanted)))
-        piece = self.pieces.__getitem__
-        self.words.update((word, b"".join(map(piece, own))) for word, own in split.items())
-        word_ids = self.words.__getitem__
-        for i, words in parts.items():
-            out[i] = b"".join(map(piece, heads[i])) + b"".join(map(word_ids, words[1:]))
-        return [out[i] for i in range(len(texts))]
+        flat, sizes = self.ids_of(pa.array(texts, pa.large_string()))
+        return [part.tobytes() for part in np.split(flat, np.cumsum(sizes)[:-1])]
 
 
 @lru_cache(maxsize=2)
@@ -85,15 +162,17 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def encoded(batches, path: str, text: str = "text", end_id: int = END_ID, width: str = "<u4"):
-    """Batches (doc_id, ids) of batches (doc_id, text), for use inside a task."""
-    lookup, end = encoder(path), np.asarray([end_id], dtype="<u4").tobytes()
-    narrow = (lambda ids: ids) if width == "<u4" else (lambda ids: np.frombuffer(ids, "<u4").astype(width).tobytes())
-    for rows in batches:
-        texts = filled(rows[text])
-        for at in range(0, rows.num_rows, 256):
-            part = texts.slice(at, 256)
-            ids = [narrow(found + end) for found in lookup.encode(part.to_pylist())]
-            yield pa.RecordBatch.from_arrays([rows["doc_id"].slice(at, 256), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+    """Batches (doc_id, ids) of batches (doc_id, text), for use inside a task; each id list ends with the end id."""
+    lookup = encoder(path)
+    for batch in batches:
+        for rows in slices(batch, text, SLICE):
+            flat, sizes = lookup.ids_of(filled(rows[text]))
+            ends = np.cumsum(sizes + 1)
+            ids = np.full(int(ends[-1]) if len(ends) else 0, end_id, width)
+            ids[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)] = flat
+            bounds = np.concatenate([[0], ends]).astype(np.int64) * ids.itemsize
+            lists = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([rows["doc_id"], lists.cast(pa.binary())], names=["doc_id", "ids"])
 
 
 def typed(documents: DataFrame, text: str = "text") -> DataFrame:
