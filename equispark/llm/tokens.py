@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from equispark.llm.text import filled, slices
 
 END_ID = 0
-SLICE = 1 << 20
+SLICE = 1 << 21
 
 # A text may be parted where the vocabulary's own splitting rule always parts it:
 # at the beginning of a run of white space, before the last sign of such a run
@@ -84,7 +84,7 @@ class Encoder:
     one is looked up once. `memory` is bounded, which changes no result.
     """
 
-    def __init__(self, path: str, entries: int = 100_000):
+    def __init__(self, path: str, entries: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
