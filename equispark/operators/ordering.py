@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from equispark.session import checkpoint_dir
+
 DRAWN = 32  # sampled rows per range
 
 
@@ -82,6 +84,26 @@ def segmented_rank(
     )
 
 
+def global_row_number(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """1-based position in a total order of any sort columns, also descending text, which no range key expresses.
+
+    The sorted range partitions are numbered and the small table of their sizes
+    supplies the offsets. Range boundaries are sampled by Spark, so the sorted
+    rows are checkpointed: both uses must see the same partitions, also after an
+    executor is lost.
+    """
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_dir(rows.sparkSession))
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
+    tagged = sorted_rows.withColumn("mid", F.monotonically_increasing_id()).select(
+        "*", F.shiftright("mid", 33).alias("range"), (F.col("mid").bitwiseAND((1 << 33) - 1)).alias("within")
+    )
+    offsets = _offsets(tagged.groupBy("range").agg(F.count("*").alias("n")), []).drop("n")
+    numbered = tagged.join(offsets, "range").withColumn("row_no", F.col("offset") + F.col("within") + 1)
+    return numbered.drop("range", "mid", "within", "offset")
+
+
 def exact_quantiles(frame: DataFrame, key: str, value: str, shares: Sequence[float], ranges: int | None = None) -> DataFrame:
     """Interpolated quantiles per key, one column `q0`, `q1`, ... per share.
 
