@@ -11,25 +11,39 @@ from equispark.llm.tokens import vocabulary
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language near enough to the learned ones."""
-    model = language.fit(docs)
-    return docs.withColumn("_found", language.judged(model, docs)).filter("NOT _found.rejected").select(docs.columns)
+    """Rows whose text has a language near enough to the learned ones.
+
+    Null and empty texts have none and go. Repeated rows are judged alike, all
+    columns stay as they are, and an empty table gives no rows.
+    """
+    return docs.filter(~language.judged(language.fit(docs), docs)["rejected"])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: the smallest doc_id, of its texts the first by sha256."""
+    """One row of each group of near copies: the smallest doc_id, of its texts the first by sha256.
+
+    Texts without words all stay. Of equal rows one stays, null ids come after all others.
+    """
     return neardup.deduplicated(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a passage of the benchmark."""
+    """Rows without a passage of the benchmark.
+
+    Null and empty texts have none and stay, as do all rows if the benchmark is
+    empty. Repeated rows are judged alike, all columns stay as they are.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontamination.scanner(benchmark)
-    return docs.withColumn("_found", found(F.col("text").cast("string"))).filter("_found.n_hit = 0").select(docs.columns)
+    return docs.filter(found(F.col("text").cast("string"))["n_hit"] == 0)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, personal data replaced by its kind; n_chars follows the text."""
+    """All rows, personal data replaced by its kind; n_chars follows the text.
+
+    Null texts stay null, repeated rows repeat, further columns stay as they
+    are. An empty table, or one without digits and @, learns nothing.
+    """
     spans = pii.finder(docs, pii.fit(docs))
     text = pii.redacted(F.col("text").cast("string"), spans(F.col("text")))
     out = docs.withColumn("text", text)
@@ -39,7 +53,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and token ids."""
+    """The pieces of all documents with their sequences and token ids; a null text is its end id alone."""
     return packing.pack(docs, vocabulary())
 
 

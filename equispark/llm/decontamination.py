@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from equispark.llm.text import filled, word_ends, word_starts, words_of
 
-RESULT = "n_words long, n_hit long, items array<long>, spans array<struct<start: long, end: long>>"
+RESULT = "n_words long, n_hit long, items array<{}>, spans array<struct<start: long, end: long>>"
+WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
 MAX_BENCHMARK_BYTES = 64 << 20
 
 
@@ -78,23 +79,29 @@ def scanner(benchmark: DataFrame, size: int = 10, max_bytes: int = MAX_BENCHMARK
     The benchmark goes to every task, so its size is checked first; a larger
     one is refused, never cut. Null texts, in either table, have no words.
     Repeated items count once, null item ids are left out of `items` but their
-    words still hit.
+    words still hit. Ids are longs if the benchmark has whole numbers, else text.
     """
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    kind = "long" if dict(benchmark.dtypes)["item_id"] in WHOLE_NUMBERS else "string"
+    rows = benchmark.select(F.col("item_id").cast(kind).alias("item_id"), F.col("text").cast("string").alias("text"))
     held = rows.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     if held > max_bytes:
         raise ValueError(f"the benchmark has {held} bytes of text, {max_bytes} may be sent to each task")
-    texts = [(-1 if r.item_id is None else r.item_id, r.text.encode()) for r in rows.filter("text IS NOT NULL").collect()]
-    shared = rows.sparkSession.sparkContext.broadcast(tuple(sorted(set(texts))))
+    texts = {(r.item_id is None, r.item_id, r.text.encode()) for r in rows.filter("text IS NOT NULL").collect()}
+    known = [*sorted(t for t in texts if not t[0]), *sorted((t for t in texts if t[0]), key=lambda t: t[2])]
+    # The automaton knows items by their number here.
+    names, items = tuple(t[1] for t in known), tuple((n, t[2]) for n, t in enumerate(known))
+    shared = rows.sparkSession.sparkContext.broadcast((names, items))
 
-    @F.arrow_udf(RESULT)
+    @F.arrow_udf(RESULT.format(kind))
     def scan(column: pa.Array) -> pa.Array:
-        found = [windows(shared.value, size).scan(t.as_buffer().to_pybytes()) for t in filled(column)]
+        ids, lookup = shared.value[0], windows(shared.value[1], size)
+        found = [lookup.scan(t.as_buffer().to_pybytes()) for t in filled(column)]
+        of = lambda numbers: list(dict.fromkeys(ids[n] for n in numbers if ids[n] is not None))
         return pa.StructArray.from_arrays(
             [
                 pa.array([f[0] for f in found], pa.int64()),
                 pa.array([f[1] for f in found], pa.int64()),
-                pa.array([[i for i in f[2] if i != -1] for f in found], pa.list_(pa.int64())),
+                pa.array([of(f[2]) for f in found], pa.list_(pa.int64() if kind == "long" else pa.string())),
                 pa.array([f[3] for f in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             ],
             names=["n_words", "n_hit", "items", "spans"],

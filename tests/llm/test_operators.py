@@ -189,6 +189,13 @@ def test_contamination_on_odd_rows(spark, documents):
         decontamination.scanner(items, max_bytes=3)
 
 
+@pytest.mark.parametrize("kind, ids", [("long", [-1, 0, None]), ("string", ["q1", "", None])])
+def test_item_ids_of_any_kind(spark, documents, kind, ids):
+    items = spark.createDataFrame([(ids[0], "one two"), (ids[1], "ONE TWO"), (ids[2], "two")], f"item_id {kind}, text string")
+    out = {r.doc_id: r for r in decontamination.contamination(documents, items).collect()}
+    assert (out[6].n_hit, set(out[6].items)) == (2, set(ids[:2]))
+
+
 def test_fingerprints_on_odd_rows(spark, documents):
     out = fingerprints.edits(documents, 3).collect()
     assert len(out) == documents.count()

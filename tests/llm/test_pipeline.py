@@ -30,6 +30,20 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
 
 
+def test_a_column_of_any_name_stays(spark, documents):
+    docs = documents.withColumn("_found", F.lit("mine"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = staged(stage(spark, docs, SMALL), name)
+        assert docs.columns == [*documents.columns, "_found"] and {r._found for r in docs.collect()} == {"mine"}
+
+
+def test_empty_documents_pass_all_stages(spark, documents):
+    docs = documents.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = staged(stage(spark, docs, SMALL), name)
+    assert docs.count() == 0
+
+
 def test_odd_rows_pass_all_stages(spark, documents):
     docs = documents
     for name, stage in corpus_pipeline.STAGES:
