@@ -29,8 +29,16 @@ _LETTERS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256
 
 
 def gram_counts(texts: list[str]) -> np.ndarray:
-    """Counts of hashed n-grams of one to three bytes, a row a text."""
+    """Counts of hashed n-grams of one to three bytes, a row a text; a very long text is counted in pieces."""
     parts = [b"  " + t.lower().encode("utf-8", "replace").translate(_LETTERS) + b" " for t in texts]
+    if all(len(p) <= BLOCK_BYTES for p in parts):
+        return _counted(parts)
+    cut = lambda p: (p[at : at + BLOCK_BYTES + 2] for at in range(0, len(p) - 2, BLOCK_BYTES))
+    return np.concatenate([sum(_counted([piece]) for piece in cut(p)) for p in parts])
+
+
+def _counted(parts: list[bytes]) -> np.ndarray:
+    """Counts of the n-grams that end behind the first two bytes of each part."""
     row = np.repeat(np.arange(len(parts), dtype=np.int64), [len(p) for p in parts])[2:] * SIZE
     text = np.frombuffer(b"".join(parts), dtype=np.uint8).astype(np.uint32)
     one, two, three = text[2:], text[1:-1], text[:-2]
@@ -150,8 +158,8 @@ def fit(
     """Learns from (doc_id, text, lang) rows whose lang is not null.
 
     Document frequencies count every such row. The centroids are clustered from
-    a bounded sample: the `sample_rows` documents of each language whose hashed
-    id is smallest, each language in one task of its own. Texts are rejected
+    a bounded sample: the `sample_rows` different documents of each language whose
+    hashes of id, then text, are smallest, each language in one task of its own. Texts are rejected
     that are less like their nearest centroid than that centroid's language
     allows at their length (`bounds_of`). A language with one distinct text only
     has nothing to hold back: there, only texts that share nothing with it are rejected.
@@ -159,9 +167,11 @@ def fit(
     """
     spark = labelled.sparkSession
     rows = labelled.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "lang")
-    rows = rows.filter(F.col("lang").isNotNull()).withColumn("draw", F.xxhash64(F.col("doc_id").cast("string")))
+    rows = rows.filter(F.col("lang").isNotNull()).withColumn(
+        "draw", F.struct(F.xxhash64(F.col("doc_id").cast("string")).alias("id"), F.xxhash64("text").alias("text"))
+    )
     order = W.partitionBy("lang").orderBy("draw")
-    ranked = rows.select("lang", "draw").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample_rows)
+    ranked = rows.select("lang", "draw").distinct().withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample_rows)
     last = ranked.groupBy("lang").agg(F.max("draw").alias("draw")).limit(max_languages + 1).collect()
     if len(last) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
@@ -199,8 +209,10 @@ def fit(
         centres = centroids_of(vectors, clusters) if len(vectors) else np.zeros((0, SIZE), np.float32)
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.astype("<f4").tobytes() for c in centres], "bounds": [bounds.tolist()] * len(centres)})
 
-    limit = F.create_map(*[F.lit(x) for row in last for x in (row.lang, row.draw)])
-    sample = rows.filter(F.col("draw") <= limit[F.col("lang")])
+    until = lambda part: F.create_map(*[F.lit(x) for row in last for x in (row.lang, row.draw[part])])[F.col("lang")]
+    sample = rows.filter(F.col("draw") <= F.struct(until("id").alias("id"), until("text").alias("text")))
+    # One row of each draw, so that copies and rows without an id do not swell the one task of their language.
+    sample = sample.dropDuplicates(["lang", "draw"]).select("lang", "text", F.col("draw.id").alias("draw"))
     found = sample.groupBy("lang").applyInPandas(cluster, "lang string, centre binary, bounds array<double>").collect()
     found = sorted(found, key=lambda r: (r.lang, r.centre))
     centres = np.array([np.frombuffer(r.centre, "<f4") for r in found]).reshape(-1, SIZE)

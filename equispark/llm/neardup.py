@@ -138,10 +138,13 @@ def band_keys(rows: np.ndarray) -> np.ndarray:
 
 
 def _bands(batches):
-    """(bucket, node): the key of each band of each node's minima."""
+    """(bucket, node): the key of each band of each node's minima; a task tells of each node once."""
+    seen: set[bytes] = set()
     for batch in batches:
-        if not batch.num_rows:
+        new = [i for i, node in enumerate(batch["node"].to_pylist()) if node not in seen and not seen.add(node)]
+        if not new:
             continue
+        batch = batch.take(pa.array(new, pa.int64()))
         keys = band_keys(np.frombuffer(b"".join(batch["minima"].to_pylist()), np.uint32))
         nodes = np.repeat(np.arange(batch.num_rows), BANDS)
         yield pa.RecordBatch.from_arrays(
@@ -179,15 +182,16 @@ class Graph:
         self.nodes = self.filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
 
     def buckets(self) -> DataFrame:
-        """Staged (bucket, node, centre) of the buckets with at least two nodes.
+        """Staged (bucket, node, centre) of the buckets with at least two nodes; a node may stand there more than once.
 
-        Bucket minima are aggregated before the shuffle and joined back, so a
-        bucket of a third of all nodes is split like any other skewed join.
+        Bucket minima are aggregated before the shuffle and written. The join
+        then has a plain shuffle on either side and only a write behind it, so
+        that AQE may split a bucket of a third of all nodes.
         """
         keys = self.filled.select("node", "minima").mapInArrow(_bands, "bucket long, node binary")
         ends = keys.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last"))
-        shared = ends.filter("centre <> last").drop("last")
-        return staged(keys.join(shared, "bucket").distinct(), "buckets")
+        shared = staged(ends.filter("centre <> last").drop("last"), "shared")
+        return staged(keys.join(shared, "bucket"), "buckets")
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
         """Staged (node, held): the sorted shingle set of each node of `nodes` (node, doc_id)."""
@@ -284,7 +288,8 @@ class Graph:
                 )
 
         ends = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"))
-        rows = members.join(ends.filter("least <> most").select("bucket", "size"), "bucket")
+        open_ones = staged(ends.filter("least <> most").select("bucket", "size"), "open")
+        rows = staged(members.join(open_ones, "bucket"), "members").distinct()
         used = rows.select("node").distinct().join(self.nodes, "node").select("node", "doc_id")
         rows = rows.join(staged(self.sets_of(used).mapInArrow(marks, "node binary, n long, mark binary, keys binary"), "marks"), "node")
         parts = F.ceil(F.col("size") / block).cast("int")
@@ -361,7 +366,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct(), "edges")
     while True:
         both = edges.select(F.col("high").alias("node"), F.col("low").alias("near")).union(edges.select("low", "high"))
-        least = with_least(both, "near", "node")
+        least = staged(with_least(both, "near", "node"), "least")  # joined as a table, so a hot node's neighbours may be split
         large = both.filter("near > node").join(least, "node").select(F.col("near").alias("high"), F.col("least").alias("low")).distinct()
         large = staged(large, "large-star")
         least = large.groupBy("high").agg(F.min("low").alias("least"))
@@ -419,7 +424,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     none. Empty tables give no rows; further columns are not read.
     """
     named = classed(documents, percent)
-    least = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+    least = staged(named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
     out = named.join(least, "component", "left")
     component_id = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id")).withColumn(

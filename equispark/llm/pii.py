@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from equispark.llm.sampling import smallest
 from equispark.llm.tagger import Tagger, codes
 from equispark.llm.text import filled
 
@@ -256,13 +257,13 @@ def fit(documents: DataFrame, sample_rows: int = 500, sample_windows: int = 2000
     """A tagger learnt from the fixed patterns' spans in a bounded sample and planted spans in other ways of writing.
 
     The sample: of the documents with a digit or @ the `sample_rows` with the
-    smallest hashed id, of their windows the `sample_windows` with the smallest
+    smallest hash of id and text (copies count once), of their windows the `sample_windows` with the smallest
     hash. `each` planted spans of every kind and as many look-alikes come
     on top. None where no such document exists.
     """
     rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.filter(F.col("text").rlike("[0-9@]")).withColumn("draw", F.xxhash64("doc_id", "text"))
-    rows = rows.orderBy("draw").limit(sample_rows)
+    rows = smallest(rows, sample_rows)
 
     def labelled(batches):
         for batch in batches:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from equispark.llm.sampling import smallest
 from equispark.llm.staging import staged
 from equispark.llm.text import filled, words_of
 
@@ -64,16 +65,16 @@ def calibrated(raw: np.ndarray, label: np.ndarray, ridge: float = 1e-2) -> tuple
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 50_000) -> Evidence:
-    """Learns from the `sample_rows` labelled documents with the smallest hashed id.
+    """Learns from the `sample_rows` labels with the smallest hash of id and label; repeated labels count once.
 
     Word counts come from four fifths of them, the calibration from the rest.
     Labels other than 0 and 1 are left out; without any the evidence is even.
     """
     spark = documents.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("y IN (0, 1)")
-    known = known.withColumn("draw", F.xxhash64("doc_id")).orderBy("draw", "y").limit(sample_rows)
+    known = smallest(known.filter("doc_id IS NOT NULL").withColumn("draw", F.xxhash64("doc_id", "y")), sample_rows)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(known), "doc_id").select("text", "y", (F.pmod("draw", F.lit(5)) == 0).alias("aside"))
+    rows = texts.join(F.broadcast(known), "doc_id").select("text", "y", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("aside"))
 
     def counted(batches):
         total, n = np.zeros((2, SIZE), np.int64), np.zeros(2, np.int64)
