@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from equispark.llm.sampling import place
 from equispark.llm.text import filled, slices
 
 SIZE = 1 << 13
@@ -171,10 +172,20 @@ def fit(
         "draw", F.struct(F.xxhash64(F.col("doc_id").cast("string")).alias("id"), F.xxhash64("text").alias("text"))
     )
     order = W.partitionBy("lang").orderBy("draw")
-    ranked = rows.select("lang", "draw").distinct().withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample_rows)
-    last = ranked.groupBy("lang").agg(F.max("draw").alias("draw")).limit(max_languages + 1).collect()
-    if len(last) > max_languages:
+    # Counts by the place of the hash bound what is ranked, so no partition sends its own first rows.
+    draws = rows.select("lang", "draw").distinct()
+    at = place(F.col("draw.id"))
+    counted = draws.groupBy("lang", at.alias("place")).count()
+    before = F.sum("count").over(W.partitionBy("lang").orderBy("place")) - F.col("count")
+    near = counted.withColumn("before", before).filter(F.col("before") < sample_rows)
+    near = near.groupBy("lang").agg(F.max("place").alias("place")).limit(max_languages + 1).collect()
+    if len(near) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
+    if near:
+        bound = F.create_map(*[F.lit(x) for row in near for x in (row.lang, row.place)])
+        draws = draws.filter(at <= bound[F.col("lang")])
+    ranked = draws.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample_rows)
+    last = ranked.groupBy("lang").agg(F.max("draw").alias("draw")).collect() if near else []
     if not last:
         return LanguageModel([], np.zeros((0, SIZE), np.float32), np.ones(SIZE, np.float32), np.ones((0, CLASSES)))
 
