@@ -71,34 +71,43 @@ def conversation_token_budget(turns: DataFrame, max_tokens: int = 4000, preserve
     are added newest first until the first that does not fit. Costs are never
     negative, so "until the first misfit" means: the sum from a turn to the end,
     plus the system turn, is within the budget.
+
+    Lengths are read twice, for the chunks and for the turns of those that may
+    hold a kept one; texts are read once, for what stays.
     """
-    costed = turns.select("conv_id", "turn", "role", "text", F.floor(F.length("text") / 4).cast("bigint").alias("tokens"))
+    tokens = F.floor(F.length("text") / 4).cast("bigint")
     chunk = F.floor(F.col("turn") / CHUNK_TURNS).cast("bigint")
-    costed = costed.withColumn("chunk", chunk)
+    costed = turns.select("conv_id", "turn", "role", tokens.alias("tokens"), chunk.alias("chunk"))
 
-    heads = _heads(turns)
-    openings = heads.filter("first_role = 'system'").select("conv_id", F.col("first_turn").alias("turn"))
-    system = costed.join(openings, ["conv_id", "turn"], "left_semi")
-    system_cost = system.select("conv_id", F.col("turn").alias("system_turn"), F.col("tokens").alias("system_tokens"))
-    sizes = heads.select("conv_id", "n_turns").join(system_cost, "conv_id", "left")
-
-    # Level one: what follows each chunk. Level two: what follows each turn in
-    # it, only for chunks whose tail may still be within the budget.
-    sums = costed.groupBy("conv_id", "chunk").agg(F.sum("tokens").alias("chunk_tokens"))
+    # Level one: what stands behind each chunk, and the cost of a leading system turn.
+    sums = costed.groupBy("conv_id", "chunk").agg(
+        F.sum("tokens").alias("chunk_tokens"), F.count("*").alias("chunk_turns"), F.min_by(F.struct("turn", "role", "tokens"), "turn").alias("first")
+    )
     later = W.partitionBy("conv_id").orderBy(F.desc("chunk")).rowsBetween(W.unboundedPreceding, -1)
-    tails = sums.select("conv_id", "chunk", F.coalesce(F.sum("chunk_tokens").over(later), F.lit(0)).alias("tail"))
-    reachable = costed.join(tails.filter(F.col("tail") <= max_tokens), ["conv_id", "chunk"])
+    opening = F.min_by("first", "chunk").over(W.partitionBy("conv_id"))
+    chunks = sums.select(
+        "conv_id",
+        "chunk",
+        F.coalesce(F.sum("chunk_tokens").over(later), F.lit(0)).alias("tail"),
+        F.coalesce(F.sum("chunk_turns").over(later), F.lit(0)).alias("behind"),
+        opening.alias("opening"),
+    )
+    chunks = chunks.select(
+        "conv_id", "chunk", "tail", "behind", F.when(F.col("opening.role") == "system", F.col("opening")).alias("opening")
+    )
+    left = max_tokens - F.coalesce("opening.tokens", F.lit(0))
+    first_chunk = F.floor(F.col("opening.turn") / CHUNK_TURNS).cast("bigint")
+    chunks = chunks.filter((F.col("tail") <= left) | (F.col("behind") < preserve) | (F.col("chunk") == first_chunk))
+
+    # Level two: what stands behind each turn of these chunks.
     to_end = W.partitionBy("conv_id", "chunk").orderBy(F.desc("turn")).rowsBetween(W.unboundedPreceding, 0)
-    fitting = (
-        reachable.withColumn("to_end", F.col("tail") + F.sum("tokens").over(to_end))
-        .join(sizes, "conv_id")
-        .filter(F.col("to_end") + F.coalesce("system_tokens", F.lit(0)) <= max_tokens)
-        .filter(F.coalesce(F.col("turn") != F.col("system_turn"), F.lit(True)))
-        .select("conv_id", "turn")
+    placed = (
+        costed.join(chunks, ["conv_id", "chunk"])
+        .withColumn("to_end", F.col("tail") + F.sum("tokens").over(to_end))
+        .withColumn("from_end", F.col("behind") + F.count("*").over(to_end))
     )
-    recent = _newest(turns, preserve).select("conv_id", "turn")
-    kept = fitting.unionByName(recent).unionByName(openings).distinct()
-    return turns.join(kept, ["conv_id", "turn"], "left_semi").select("conv_id", "turn", "role", "text")
+    kept = placed.filter((F.col("to_end") <= left) | (F.col("from_end") <= preserve) | (F.col("turn") == F.col("opening.turn")))
+    return turns.join(kept.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi").select("conv_id", "turn", "role", "text")
 
 
 def conversation_context(turns: DataFrame, n_questions: int = 5) -> DataFrame:

@@ -443,6 +443,13 @@ SCREENS = {
                   rank() OVER (PARTITION BY peer_group ORDER BY net_margin DESC, ticker) AS peer_rank
            FROM t_ratios JOIN t_peers USING (ticker) WHERE year(date) = 2000 AND net_margin IS NOT NULL""",
     ),
+    "peer_rank_growth": Query(
+        # Growth looks a year back, so it is ranked over the table of all years.
+        lambda t: screens.peer_rank(t.growth, t.peers, "revenue_growth_yoy", 2000),
+        """SELECT peer_group, ticker, date, revenue_growth_yoy,
+                  rank() OVER (PARTITION BY peer_group ORDER BY revenue_growth_yoy DESC, ticker) AS peer_rank
+           FROM t_growth JOIN t_peers USING (ticker) WHERE year(date) = 2000 AND revenue_growth_yoy IS NOT NULL""",
+    ),
     "peer_multiples": Query(
         lambda t: screens.peer_multiples(t.valuation, t.peers, "EUROPE"),
         """SELECT ticker, pe_ratio, pb_ratio, ps_ratio, peg_ratio FROM t_valuation JOIN t_peers USING (ticker)
@@ -487,6 +494,13 @@ PORTFOLIOS = {
                  FROM t_valued JOIN t_metadata USING (ticker) GROUP BY 1, 2)""",
         {"part_value": 2, "share": 8},
     ),
+    "portfolio_allocation_country": Query(
+        lambda t: portfolio.portfolio_allocation(t.portfolios, t.prices, t.metadata, "country"),
+        """SELECT *, part_value / sum(part_value) OVER (PARTITION BY portfolio_name) AS share
+           FROM (SELECT portfolio_name, country, sum(value) AS part_value
+                 FROM t_valued JOIN t_metadata USING (ticker) GROUP BY 1, 2)""",
+        {"part_value": 2, "share": 8},
+    ),
     "portfolio_ytd": Query(
         lambda t: portfolio.portfolio_ytd(t.portfolios, t.prices, as_of=AS_OF),
         f"""SELECT portfolio_name, ticker,

@@ -56,6 +56,12 @@ def test_token_budget(spark, monkeypatch, seed, budget, preserve):
     assert {(r.conv_id, r.turn) for r in out} == kept_by_budget(turns, budget, preserve)
 
 
+def test_token_budget_reads_texts_once(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    plan = conversations.conversation_token_budget(frame, 120, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3
+
+
 @pytest.mark.parametrize("n", [1, 3, 10])
 def test_window_keeps_the_opening(spark, n):
     turns = made_up_turns(9, 12)
