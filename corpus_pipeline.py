@@ -34,8 +34,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     empty. Repeated rows are judged alike, all columns stay as they are.
     """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.scanner(benchmark)
-    return docs.filter(found(F.col("text").cast("string"))["n_hit"] == 0)
+    return decontamination.clean(docs, benchmark)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import dataclasses
 import hashlib
+import random
 import re
 import re._constants as sre
 import zlib
@@ -11,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from compare import compare, duck
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from equispark.llm import binary_tokens, decontamination, fingerprints, language, license_rules, licenses, neardup, packing, pii, quality, queries, url_filter
@@ -196,6 +198,36 @@ def test_item_ids_of_any_kind(spark, documents, kind, ids):
     assert (out[6].n_hit, set(out[6].items)) == (2, set(ids[:2]))
 
 
+def test_several_automata_find_what_one_finds(spark):
+    rng = random.Random(7)
+    some = lambda n: " ".join(rng.choice("abcde") for _ in range(n))
+    documents = [(i % 50, some(rng.randrange(40)).upper()) for i in range(60)] + [(None, some(9)), (61, None)]
+    items = [(i, some(rng.randrange(1, 9))) for i in range(12)] + [(90, some(30)), (90, some(30)), (None, some(4)), (91, "e e e"), (92, "")]
+    frame = spark.createDataFrame(documents, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert len(decontamination.parted(benchmark, 4)) == 1 and len(decontamination.parted(benchmark, 4, 10)) > 4
+    one, many = (sorted(map(repr, decontamination.contamination(frame, benchmark, 4, most).collect())) for most in (1000, 10))
+    assert one == many
+    windows = {}
+    for item, text in items:
+        words = text.split()
+        for at in range(max(len(words) - 4, 0) + 1 if words else 0):
+            windows.setdefault(tuple(words[at : at + 4]), set()).add(item)
+    expected = []
+    for doc_id, text in documents:
+        words, hit, found = (text or "").lower().split(), set(), set()
+        for window, own in windows.items():
+            for at in range(len(words) - len(window) + 1):
+                if tuple(words[at : at + len(window)]) == window:
+                    hit.update(range(at, at + len(window)))
+                    found |= own - {None}
+        expected.append((doc_id, len(words), len(hit), sorted(found)))
+    found = decontamination.contamination(frame, benchmark, 4, 10).collect()
+    assert sorted(repr((r.doc_id, r.n_words, r.n_hit, r.items)) for r in found) == sorted(map(repr, expected))
+    kept = decontamination.clean(frame, benchmark, 4, 10).collect()
+    assert sorted(map(repr, kept)) == sorted(repr(Row(doc_id=d, text=t)) for (d, t), e in zip(documents, expected) if e[2] == 0)
+
+
 def test_fingerprints_on_odd_rows(spark, documents):
     out = fingerprints.edits(documents, 3).collect()
     assert len(out) == documents.count()
