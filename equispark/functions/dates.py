@@ -17,14 +17,9 @@ def parse_date(value: Column | str) -> Column:
     text = F.trim((F.col(value) if isinstance(value, str) else value).cast("string"))
     size = F.length(text)
     zoned = text.endswith("Z") | F.substring(text, -6, 1).isin("+", "-")
-    marked = (
-        F.when(size == 10, F.concat(text, F.lit("T00:00:00Z")))
-        .when((size > 10) & zoned, text)
-        .when(size > 10, F.concat(text, F.lit("Z")))
-    )
+    zone = F.when(size == 10, "T00:00:00Z").when(zoned, "").otherwise("Z")
     dashed = (F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-")
-    instant = F.try_to_timestamp(F.when(dashed, marked))
-    return F.to_date(F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz")))
+    return utc_date(F.try_to_timestamp(F.when(dashed & (size >= 10), F.concat(text, zone))))
 
 
 def utc_instant(value: str) -> Column:

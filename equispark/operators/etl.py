@@ -456,5 +456,5 @@ def reporting_ts_utc(frame: DataFrame, column: str = "date") -> DataFrame:
 
 
 def parse_dates(frame: DataFrame, column: str) -> DataFrame:
-    """Adds the calendar date (UTC) of ISO text and drops rows without one."""
-    return frame.withColumn("parsed_date", parse_date(column)).filter("parsed_date IS NOT NULL")
+    """Adds the calendar date (UTC) of ISO text, parsed once a row as in `_dated`, and drops rows without one."""
+    return frame.withColumn("parsed_date", F.explode(F.array(parse_date(column)))).filter("parsed_date IS NOT NULL")

@@ -413,9 +413,10 @@ def _sections(t):
 
 
 def _parsed(t):
-    texts = t.prices.select("ticker", F.col("date").alias("day"), _iso("date").alias("iso"))
-    bad = texts.withColumn("iso", F.concat(F.lit("bad "), "iso"))
-    return etl.parse_dates(texts.unionByName(bad), "iso").select("ticker", "day", "parsed_date")
+    iso = _iso("date")
+    texts = F.explode(F.array(iso, F.concat(F.lit("bad "), iso))).alias("iso")
+    dated = t.prices.select("ticker", F.col("date").alias("day"), texts)
+    return etl.parse_dates(dated, "iso").select("ticker", "day", "parsed_date")
 
 
 PROJECTIONS = {
