@@ -153,22 +153,27 @@ def fx_money_convert(facts: DataFrame, amount: str, rate: str) -> DataFrame:
     amount below 10^15 are exact; the half that decides the fourth place goes to
     the even side. Amounts and rates that do not fit are reported, not raised.
     """
-    money = F.expr(f"try_cast(`{amount}` AS decimal(19,4))")
-    factor = F.expr(f"try_cast(`{rate}` AS decimal(38,18))")
+    money, factor, broken, beyond, ticks, product = ("_" * max(map(len, facts.columns)) + f"_{i}" for i in range(6))
+    tick, half = F.lit("0.0001").cast("decimal(4,4)"), F.lit("0.00005").cast("decimal(5,5)")
+    # One step a column: each is computed once, and the code generated for a row stays small enough to be compiled.
+    steps = facts.withColumns(
+        {money: F.col(amount).try_cast("decimal(19,4)"), factor: F.when(F.col(rate) > 0, F.col(rate).try_cast("decimal(38,18)"))}
+    )
+    steps = steps.withColumn(broken, F.col(money) * (F.col(factor) % F.lit(1).cast("decimal(1,0)")).cast("decimal(18,18)"))
+    steps = steps.withColumn(beyond, F.col(broken) % tick)
+    cut = ((F.col(broken) - F.col(beyond)).cast("decimal(20,4)") * 10000).cast("decimal(20,0)")
     whole = F.floor(factor).cast("decimal(20,0)")
-    broken = money * (factor % F.lit(1).cast("decimal(1,0)")).cast("decimal(18,18)")
-    beyond = broken % F.lit("0.0001").cast("decimal(4,4)")
-    cut = ((broken - beyond).cast("decimal(20,4)") * 10000).cast("decimal(20,0)")
-    rest, half = F.abs(beyond), F.lit("0.00005").cast("decimal(5,5)")
-    ticks = F.try_add(F.try_multiply((money * 10000).cast("decimal(19,0)"), whole), cut)
+    steps = steps.withColumn(ticks, F.try_add(F.try_multiply((F.col(money) * 10000).cast("decimal(19,0)"), whole), cut))
+    rest = F.abs(beyond)
     up = (rest > half) | ((rest == half) & (F.abs(ticks) % 2 == 1))
-    rounded = F.try_add(ticks, F.when(up, F.when(money < 0, -1).otherwise(1)).otherwise(0))
-    product = F.try_multiply(rounded, F.lit("0.0001").cast("decimal(4,4)")).cast("decimal(38,4)")
+    rounded = F.try_add(ticks, F.when(up, F.when(F.col(money) < 0, -1).otherwise(1)).otherwise(0))
+    steps = steps.withColumn(product, F.try_multiply(rounded, tick).cast("decimal(38,4)"))
     error = (
         F.when(F.col(rate).isNull() | (F.col(rate) <= 0), "rate must be positive")
-        .when(F.col(amount).isNotNull() & product.isNull(), "out of range")
+        .when(F.col(amount).isNotNull() & F.col(product).isNull(), "out of range")
     )
-    return facts.withColumn("error", error).withColumn("converted", F.when(F.col("error").isNull(), product))
+    out = steps.withColumn("error", error).withColumn("converted", F.when(F.col("error").isNull(), F.col(product)))
+    return out.drop(money, factor, broken, beyond, ticks, product)
 
 
 def fx_cache_stats(rates: DataFrame) -> DataFrame:
