@@ -237,8 +237,12 @@ GROWTH_COLUMNS = (
 
 
 def _dated(documents: DataFrame, columns: Sequence[Column | str], source: str = "date", name: str = "date") -> DataFrame:
-    """ticker, parsed date and columns; rows without either key are skipped."""
-    return documents.select("ticker", parse_date(source).alias(name), *columns).filter(
+    """ticker, parsed date and columns; rows without either key are skipped.
+
+    The date is exploded out of an array: a filter on a plain column of it would
+    be moved down to the scan, and the text parsed there once more.
+    """
+    return documents.select("ticker", F.explode(F.array(parse_date(source))).alias(name), *columns).filter(
         (F.col("ticker") != "") & F.col(name).isNotNull()
     )
 

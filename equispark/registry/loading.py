@@ -347,8 +347,8 @@ def _spoiled(documents: DataFrame) -> DataFrame:
 
 def _documents(frame: DataFrame, column: str = "date", source: str | None = None) -> DataFrame:
     """Any dated table as flat documents, with a copy of each whose date is blank."""
-    dated = frame.withColumn("iso", _iso(column)).drop(column).withColumnRenamed("iso", source or "date")
-    return dated.unionByName(dated.withColumn(source or "date", F.lit("")))
+    texts = F.explode(F.array(_iso(column), F.lit("")))
+    return frame.withColumn("iso", texts).drop(column).withColumnRenamed("iso", source or "date")
 
 
 def _metadata_documents(t):

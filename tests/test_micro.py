@@ -320,3 +320,32 @@ def test_market_config():
     assert instruments.market_from_config({"mode": "mars"}) == instruments.GLOBAL
     custom = instruments.market_from_config({"mode": "custom", "custom": {"allowed_countries": []}})
     assert custom.countries is None and custom.no_etfs
+
+
+@pytest.mark.parametrize("name", ["parse_dates", "prep_prices", "prep_dividends", "fx_money_convert"])
+def test_generated_methods_are_small_enough_to_be_compiled(spark, name):
+    """The JVM only interprets methods above 8000 bytes, whatever the session's own limit is."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QUERIES[name].frame(spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+        code = spark._jvm.PythonSQLUtils.explainString(plan, "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_money_at_rates_far_below_zero(spark):
+    schema = "__ decimal(20,4), rate decimal(38,18), `a.longer.name` int"
+    facts = spark.createDataFrame([(Decimal("-1.5"), Decimal("-99999999999999999999.5"), 1), (Decimal("-1.5"), Decimal(2), 2)], schema)
+    out = fx.fx_money_convert(facts, "__", "rate")
+    assert out.columns == [*facts.columns, "error", "converted"]
+    assert [(r.error, r.converted) for r in out.collect()] == [("rate must be positive", None), (None, Decimal("-3.0000"))]
+
+
+def test_dates_are_parsed_once(spark):
+    """A filter on the parsed date stays above it, so the plan holds the parsing once."""
+    frame = spark.createDataFrame([("A", "2020-01-02T23:30:00-05:00"), ("A", "x"), ("", "2020-01-02"), ("B", "0001-01-01")], "ticker string, date string")
+    for out in (etl.parse_dates(frame, "date"), etl.prep_splits(frame.withColumn("ratio", F.lit(2.0)))):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("T00:00:00Z") == 1
+    assert [(r.ticker, r.date) for r in out.collect()] == [("A", date(2020, 1, 3)), ("B", date(1, 1, 1))]
