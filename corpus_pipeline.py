@@ -53,7 +53,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences and token ids; a null text is its end id alone."""
-    return packing.pack(docs, vocabulary())
+    return packing.pack(docs, vocabulary(), entries=100_000)  # beside the workers of the other stages
 
 
 STAGES = [

@@ -7,7 +7,6 @@ automata; each pass then takes up the hit words that the one before wrote.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import repeat
 
 import ahocorasick
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from equispark.llm.staging import staged
 from equispark.llm.text import filled, word_ends, word_starts, words_of
+from equispark.llm.worker import alone
 
 RESULT = "n_words long, n_hit long, items array<{}>, spans array<struct<start: long, end: long>>, runs array<struct<first: long, stop: long>>"
 WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
@@ -77,9 +77,8 @@ class Windows:
         return len(words), int(hit.sum()), sorted(items), spans, [{"first": a, "stop": b} for a, b in edges.tolist()]
 
 
-@lru_cache(maxsize=1)
 def windows(items: tuple[tuple[int, bytes], ...], size: int) -> Windows:
-    return Windows(items, size)
+    return alone(("windows", items, size), lambda: Windows(items, size))
 
 
 def _typed(benchmark: DataFrame) -> tuple[str, DataFrame]:

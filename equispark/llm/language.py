@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 
 from equispark.llm.sampling import place
 from equispark.llm.text import filled, slices
+from equispark.llm.worker import alone
 
 SIZE = 1 << 13
 UNKNOWN = "und"
@@ -190,6 +191,7 @@ def fit(
         return LanguageModel([], np.zeros((0, SIZE), np.float32), np.ones(SIZE, np.float32), np.ones((0, CLASSES)))
 
     def frequencies(batches):
+        alone("language")
         total, n = np.zeros(SIZE, dtype=np.int64), 0
         for batch in batches:
             for part, counts in blocks(batch):
@@ -237,6 +239,7 @@ def judged(model: LanguageModel, documents: DataFrame, text: str | Column = "tex
 
     @F.arrow_udf(RESULT)
     def judge(column: pa.Array) -> pa.Array:
+        alone("language")
         names, scores, out = [], [], []
         for part, counts in blocks(pa.RecordBatch.from_arrays([filled(column)], names=["text"])):
             for held, more in zip((names, scores, out), shared.value.judge(part["text"].to_pylist(), counts)):

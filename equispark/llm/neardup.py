@@ -24,9 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equispark.llm.staging import staged
+from equispark.llm.staging import scratch, staged
 from equispark.llm.text import filled
 from equispark.llm.url_filter import bloom_level
+from equispark.llm.worker import alone
 
 WORDS, BANDS, ROWS = 5, 40, 4
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -42,9 +43,8 @@ class WordHashes(dict):
         return value
 
 
-@lru_cache(maxsize=1)
 def word_hashes() -> WordHashes:
-    return WordHashes()
+    return alone("words", WordHashes)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -181,6 +181,7 @@ class Graph:
         self.filled = self.rows.filter("node IS NOT NULL")
         self.nodes = self.filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
 
+    @scratch()
     def buckets(self) -> DataFrame:
         """Staged (bucket, node, centre) of the buckets with at least two nodes; a node may stand there more than once.
 
@@ -191,8 +192,9 @@ class Graph:
         keys = self.filled.select("node", "minima").mapInArrow(_bands, "bucket long, node binary")
         ends = keys.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last"))
         shared = staged(ends.filter("centre <> last").drop("last"), "shared")
-        return staged(keys.join(shared, "bucket"), "buckets")
+        return staged(keys.join(shared, "bucket"), "buckets", lasting=True)
 
+    @scratch()
     def sets_of(self, nodes: DataFrame) -> DataFrame:
         """Staged (node, held): the sorted shingle set of each node of `nodes` (node, doc_id)."""
 
@@ -209,8 +211,9 @@ class Graph:
         nodes = staged(nodes, "needed")
         texts = among(self.texts, "doc_id", nodes)
         matched = texts.join(nodes, texts.doc_id.eqNullSafe(nodes.doc_id)).select("node", "text")
-        return staged(matched.mapInArrow(own_sets, "node binary, held binary").dropDuplicates(["node"]), "sets")
+        return staged(matched.mapInArrow(own_sets, "node binary, held binary").dropDuplicates(["node"]), "sets", lasting=True)
 
+    @scratch()
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Staged pairs (a, b) of nodes whose full sets are similar enough.
 
@@ -262,10 +265,11 @@ class Graph:
                 kept = batch.take(pa.array(good, pa.int64()))
                 yield pa.RecordBatch.from_arrays([kept["a"], kept["b"]], names=["a", "b"])
 
-        return staged(held.select("a", "b", "set_a", "set_b").mapInArrow(compared, "a binary, b binary"), "links")
+        return staged(held.select("a", "b", "set_a", "set_b").mapInArrow(compared, "a binary, b binary"), "links", lasting=True)
 
+    @scratch()
     def across(self, members: DataFrame, block: int = 1024) -> DataFrame:
-        """Pairs (a, b) of two components in one bucket that may be linked.
+        """Staged pairs (a, b) of two components in one bucket that may be linked.
 
         `members` has (bucket, node, component). Every pair of a bucket is
         looked at, in blocks of at most `block` by `block` nodes inside a task,
@@ -312,7 +316,7 @@ class Graph:
             if held:
                 yield from _met(held, key, percent)
 
-        return dealt.mapInArrow(compared, "a binary, b binary")
+        return staged(dealt.mapInArrow(compared, "a binary, b binary"), "across", lasting=True)
 
 
 def _met(rows: list[tuple], key: tuple[int, int, int], percent: int):
@@ -351,8 +355,9 @@ def _met(rows: list[tuple], key: tuple[int, int, int], percent: int):
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in ordered], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
+@scratch()
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of all nodes in links (a, b); the component is its smallest node.
+    """Staged (node, component) of all nodes in links (a, b); the component is its smallest node.
 
     Alternates large-star (a node's larger neighbours are tied to its smallest)
     and small-star (its smaller neighbours too) until nothing changes. Every
@@ -381,35 +386,38 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
         if done:
             break
-    return edges.select(F.col("high").alias("node"), F.col("low").alias("component")).union(
+    found = edges.select(F.col("high").alias("node"), F.col("low").alias("component")).union(
         edges.select(F.col("low"), F.col("low")).distinct()
     )
+    return staged(found, "components", lasting=True)
 
 
+@scratch()
 def classed(documents: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, digest, n, component) of every row; the component is null for texts without words."""
+    """Staged (doc_id, digest, n, component) of every row; the component is null for texts without words."""
     graph = Graph(documents, percent)
     buckets = graph.buckets()
     stars = staged(
         buckets.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars"
     )
     links = graph.confirmed(stars.groupBy("b").agg(F.min("a").alias("a")))
-    found = staged(components(links), "components")
+    found = components(links)
 
     # Stars whose ends are still apart.
     of_a = found.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
     of_b = found.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
     apart = stars.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
     links = staged(links.union(graph.confirmed(apart.select("a", "b"))), "links")
-    found = staged(components(links), "components")
+    found = components(links)
 
     # Buckets in which more than one component is left.
     members = buckets.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    links = staged(links.union(graph.confirmed(staged(graph.across(members), "across"))), "links")
-    found = staged(components(links), "components")
+    links = staged(links.union(graph.confirmed(graph.across(members))), "links")
+    found = components(links)
 
     named = graph.rows.select("doc_id", "digest", "n", "node").join(found, "node", "left")
-    return named.select("doc_id", "digest", "n", F.coalesce("component", "node").alias("component"))
+    named = named.select("doc_id", "digest", "n", F.coalesce("component", "node").alias("component"))
+    return staged(named, "classed", lasting=True)
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
@@ -432,6 +440,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     )
 
 
+@scratch()
 def deduplicated(documents: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of documents, one row of each component; rows without words all stay.
 
@@ -447,8 +456,8 @@ def deduplicated(documents: DataFrame, percent: int = 75) -> DataFrame:
     same = lambda other: documents["doc_id"].cast("long").eqNullSafe(other["doc_id"]) & (digest == other["digest"])
     digest = F.unhex(F.sha2(F.coalesce(documents["text"].cast("string"), F.lit("")), 256))
     later = rows.join(first, rows["doc_id"].eqNullSafe(first["doc_id"]) & (rows["digest"] == first["digest"]), "left_anti").select("doc_id", "digest")
-    later = staged(later, "later")
-    again = staged(first.filter("copies > 1").select("doc_id", "digest"), "again")
+    later = staged(later, "later", lasting=True)
+    again = staged(first.filter("copies > 1").select("doc_id", "digest"), "again", lasting=True)
     kept = documents.join(later, same(later), "left_anti")
     if again.isEmpty():
         return kept

@@ -12,10 +12,10 @@ from equispark.llm.tokens import encoded, typed
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
-def pieces(documents: DataFrame, tokenizer: str, room: int = 2048) -> DataFrame:
+def pieces(documents: DataFrame, tokenizer: str, room: int = 2048, entries: int = 250_000) -> DataFrame:
     """(doc_id, piece, start, length, ids). Only longer documents are cut; the first piece takes the rest.
 
-    Encoded and cut by one Python worker a task.
+    Encoded and cut by one Python worker a task, which remembers pieces of text as in `tokenized`.
     """
 
     def cut(batches):
@@ -39,7 +39,7 @@ def pieces(documents: DataFrame, tokenizer: str, room: int = 2048) -> DataFrame:
 
     def merged(batches, rows: int = 512):
         held = []
-        for batch in cut(encoded(batches, tokenizer)):
+        for batch in cut(encoded(batches, tokenizer, entries=entries)):
             held.append(batch)
             if len(held) == rows:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -87,7 +87,7 @@ class SumOfSquares:
         return sequence, self.room - gap
 
 
-def pack(documents: DataFrame, tokenizer: str, room: int = 2048, group_rows: int = 4096) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, room: int = 2048, group_rows: int = 4096, entries: int = 250_000) -> DataFrame:
     """(doc_id, piece, start, length, ids, sequence_id, offset) of every document.
 
     Documents are dealt by hash into groups of about `group_rows`, each packed
@@ -98,7 +98,7 @@ def pack(documents: DataFrame, tokenizer: str, room: int = 2048, group_rows: int
     table gives no rows.
     """
     groups = max(1, -(-documents.count() // group_rows))
-    cut = pieces(documents, tokenizer, room).withColumn(
+    cut = pieces(documents, tokenizer, room, entries).withColumn(
         "group", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(groups)).cast("int")
     )
     dealt = cut.repartitionById(groups, F.col("group")).sortWithinPartitions(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from equispark.llm.sampling import smallest
 from equispark.llm.tagger import Tagger, codes
 from equispark.llm.text import filled
+from equispark.llm.worker import alone
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, BLOCK = 64, 32, 256
@@ -345,6 +346,7 @@ def finder(documents: DataFrame, tagger: Tagger | None):
     @F.arrow_udf(FOUND)
     def find(column: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
+        alone("tagger")
         texts, rows = filled(column), []
         for at in range(0, len(texts), 512):
             found = spans_in(texts.slice(at, 512).to_pylist(), shared.value)
@@ -375,6 +377,7 @@ def redacted(text: Column, spans: Column) -> Column:
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
+        alone("tagger")
         out = []
         for text, own in zip(texts.to_pylist(), found.to_pylist()):
             parts, at = [], 0

@@ -5,7 +5,6 @@ from __future__ import annotations
 import itertools
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equispark.llm.text import filled, slices
+from equispark.llm.worker import alone
 
 END_ID = 0
 SLICE = 1 << 21
@@ -149,10 +149,9 @@ class Encoder:
         return [part.tobytes() for part in np.split(flat, np.cumsum(sizes)[:-1])]
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, entries: int = 250_000) -> Encoder:
     """One encoder for a Python worker; its memory of pieces lasts over tasks."""
-    return Encoder(path)
+    return alone(("encoder", path, entries), lambda: Encoder(path, entries))
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -161,9 +160,9 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(batches, path: str, text: str = "text", end_id: int = END_ID, width: str = "<u4"):
+def encoded(batches, path: str, text: str = "text", end_id: int = END_ID, width: str = "<u4", entries: int = 250_000):
     """Batches (doc_id, ids) of batches (doc_id, text), for use inside a task; each id list ends with the end id."""
-    lookup = encoder(path)
+    lookup = encoder(path, entries)
     for batch in batches:
         for rows in slices(batch, text, SLICE):
             flat, sizes = lookup.ids_of(filled(rows[text]))
@@ -181,12 +180,13 @@ def typed(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def tokenized(
-    documents: DataFrame, path: str, text: str = "text", end_id: int = END_ID, width: str = "<u4"
+    documents: DataFrame, path: str, text: str = "text", end_id: int = END_ID, width: str = "<u4", entries: int = 250_000
 ) -> DataFrame:
     """(doc_id, ids): each row's ids with the end id behind them, little-endian, 32 bits unless `width` says less.
 
     A null text is empty, so it has the end id alone. Rows are kept as they
     are, repeated ones too. Narrow: no shuffle, one text in memory at a time
-    beside its batch.
+    beside its batch. `entries` bounds the pieces that a worker remembers in
+    either of two generations (about 0.2 KB each).
     """
-    return typed(documents, text).mapInArrow(lambda batches: encoded(batches, path, text, end_id, width), "doc_id long, ids binary")
+    return typed(documents, text).mapInArrow(lambda batches: encoded(batches, path, text, end_id, width, entries), "doc_id long, ids binary")
