@@ -31,6 +31,7 @@ from equispark.llm.tokens import tokenized
 
 MAGIC = b"TKB1"
 BLOCK_IDS = 1 << 20
+ENTRIES = 600_000  # about 180 MB a worker when full
 
 
 def _lengths_table(bits: int) -> np.ndarray:
@@ -44,6 +45,11 @@ LENGTHS = {bits: _lengths_table(bits) for bits in (1, 2)}
 
 def pack(ranks: np.ndarray, bits: int) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit ranks."""
+    if bits == 1:  # two byte places are all that may be used
+        codes = ranks > 0xFF
+        kept = np.ones((len(ranks), 2), bool)
+        kept[:, 1] = codes
+        return np.packbits(codes, bitorder="little").tobytes(), ranks.astype("<u2").view(np.uint8)[kept.ravel()].tobytes()
     ranks = ranks.astype("<u4")
     codes = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     per = 8 // bits
@@ -108,7 +114,7 @@ def _in_order(documents: DataFrame, tokenizer: str, shards: int) -> DataFrame:
     and moved once. `before` counts the shard's ids in front of the document.
     """
     bounds = id_bounds(documents, shards)
-    rows = tokenized(documents, tokenizer, width="<u2").withColumn("shard", range_number(F.col("doc_id"), bounds))
+    rows = tokenized(documents, tokenizer, width="<u2", entries=ENTRIES).withColumn("shard", range_number(F.col("doc_id"), bounds))
     rows = rows.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
 
     def numbered(batches):
@@ -135,8 +141,9 @@ def frequency_ranks(rows: DataFrame, size: int) -> np.ndarray:
     def counted(batches):
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for ids in batch["ids"]:
-                total += np.bincount(np.frombuffer(ids.as_buffer(), "<u2"), minlength=size)
+            ids = np.frombuffer(b"".join(batch["ids"].to_pylist()), "<u2")
+            for at in range(0, len(ids), BLOCK_IDS):  # many documents at once: each count passes over the vocabulary
+                total += np.bincount(ids[at : at + BLOCK_IDS], minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 

@@ -62,3 +62,8 @@ def test_a_worker_keeps_one_helper():
     assert words and worker.alone("words") is words
     worker.alone("other")
     assert not neardup.word_hashes() and list(worker._held) == ["words"]
+
+
+def test_two_byte_ranks_take_the_documented_bytes():
+    control, data = binary_tokens.pack(np.array([0, 255, 256, 65_535, 1, 2, 3, 4, 300], "<u4"), 1)
+    assert control == bytes([0b1100, 1]) and data == bytes([0, 255, 0, 1, 255, 255, 1, 2, 3, 4, 44, 1])
