@@ -24,12 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equispark.llm.staging import scratch, staged
+from equispark.llm.staging import batches_of, scratch, staged
 from equispark.llm.text import filled
 from equispark.llm.url_filter import bloom_level
 from equispark.llm.worker import alone
 
 WORDS, BANDS, ROWS = 5, 40, 4
+BATCH_ROWS = 1 << 10
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -394,7 +395,15 @@ def components(links: DataFrame) -> DataFrame:
 
 @scratch()
 def classed(documents: DataFrame, percent: int = 75) -> DataFrame:
-    """Staged (doc_id, digest, n, component) of every row; the component is null for texts without words."""
+    """Staged (doc_id, digest, n, component) of every row; the component is null for texts without words.
+
+    Rows with two whole sets are large, so few of them make an Arrow batch.
+    """
+    with batches_of(documents.sparkSession, BATCH_ROWS):
+        return _classed(documents, percent)
+
+
+def _classed(documents: DataFrame, percent: int) -> DataFrame:
     graph = Graph(documents, percent)
     buckets = graph.buckets()
     stars = staged(

@@ -14,6 +14,7 @@ from equispark.session import checkpoint_dir
 
 # Set by a write alone, whose plan nothing runs again.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _scopes: ContextVar[tuple[list[tuple], ...]] = ContextVar("scopes", default=())
 
 
@@ -47,6 +48,18 @@ def scratch() -> Iterator[None]:
             files.delete(target, True)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows in what is written inside; they count beside the JVM's heap and in the workers."""
+    before = spark.conf.get(BATCH)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def staged(frame: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """The frame as a written table: its plan is cut, its shuffles are gone, and a lost executor loses nothing."""
     spark = frame.sparkSession

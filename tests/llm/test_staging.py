@@ -2,11 +2,12 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from equispark.llm import binary_tokens, neardup, worker
-from equispark.llm.staging import CLEANUP, scratch, staged
+from equispark.llm.staging import BATCH, CLEANUP, batches_of, scratch, staged
 from equispark.session import checkpoint_dir
 
 
@@ -67,3 +68,14 @@ def test_a_worker_keeps_one_helper():
 def test_two_byte_ranks_take_the_documented_bytes():
     control, data = binary_tokens.pack(np.array([0, 255, 256, 65_535, 1, 2, 3, 4, 300], "<u4"), 1)
     assert control == bytes([0b1100, 1]) and data == bytes([0, 255, 0, 1, 255, 255, 1, 2, 3, 4, 44, 1])
+
+
+def test_batches_of_large_rows_are_small(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    before = spark.conf.get(BATCH)
+    with batches_of(spark, 64):
+        rows = staged(spark.range(0, 1000, 1, 1).mapInArrow(sizes, "n long"), "sizes")
+    assert spark.conf.get(BATCH) == before and {r.n for r in rows.collect()} == {64, 1000 % 64}
