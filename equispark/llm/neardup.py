@@ -30,7 +30,7 @@ from equispark.llm.url_filter import bloom_level
 from equispark.llm.worker import alone
 
 WORDS, BANDS, ROWS = 5, 40, 4
-BATCH_ROWS = 1 << 10
+TASK_ROWS, BATCH_ROWS = 1 << 13, 1 << 10
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -172,6 +172,15 @@ def among(rows: DataFrame, key: str, keys: DataFrame, max_bits: int = 1 << 26) -
     return rows.filter(F.col(key).isNull() | held.holds(F.col(key)))
 
 
+def few(frame: DataFrame, rows: int) -> DataFrame:
+    """The frame in tasks of about TASK_ROWS of its `rows` rows, two a core at least, and never more than it has.
+
+    Shuffles of small tables may have many more partitions than rows to fill
+    them. Partitions are read one behind the other, so a task holds no more.
+    """
+    return frame.coalesce(max(2 * frame.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
 class Graph:
     """The nodes of a table and what confirms a pair of them."""
 
@@ -179,6 +188,7 @@ class Graph:
         self.percent = percent
         self.texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.rows = staged(self.texts.mapInArrow(_summaries, "doc_id long, digest binary, n long, node binary, minima binary"), "minima")
+        self.size = self.rows.count()
         self.filled = self.rows.filter("node IS NOT NULL")
         self.nodes = self.filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
 
@@ -192,8 +202,8 @@ class Graph:
         """
         keys = self.filled.select("node", "minima").mapInArrow(_bands, "bucket long, node binary")
         ends = keys.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last"))
-        shared = staged(ends.filter("centre <> last").drop("last"), "shared")
-        return staged(keys.join(shared, "bucket"), "buckets", lasting=True)
+        shared = staged(few(ends.filter("centre <> last").drop("last"), self.size), "shared")
+        return staged(few(keys.join(shared, "bucket"), BANDS * self.size), "buckets", lasting=True)
 
     @scratch()
     def sets_of(self, nodes: DataFrame) -> DataFrame:
@@ -209,14 +219,15 @@ class Graph:
                         sets.append(held.tobytes())
                 yield pa.RecordBatch.from_arrays([batch["node"].take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary())], names=["node", "held"])
 
-        nodes = staged(nodes, "needed")
+        nodes = staged(few(nodes, self.size), "needed")
         texts = among(self.texts, "doc_id", nodes)
         matched = texts.join(nodes, texts.doc_id.eqNullSafe(nodes.doc_id)).select("node", "text")
-        return staged(matched.mapInArrow(own_sets, "node binary, held binary").dropDuplicates(["node"]), "sets", lasting=True)
+        sets = few(matched, self.size).mapInArrow(own_sets, "node binary, held binary").dropDuplicates(["node"])
+        return staged(few(sets, self.size), "sets", lasting=True)
 
     @scratch()
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Staged pairs (a, b) of nodes whose full sets are similar enough.
+    def confirmed(self, pairs: DataFrame, most: int) -> DataFrame:
+        """Staged pairs (a, b) of nodes whose full sets are similar enough; there are at most `most` of them.
 
         Sizes and minima rule out most others first: pairs at the limit agree in
         75 % of their minima; five standard deviations below that, a pair is
@@ -227,11 +238,12 @@ class Graph:
         least = many * share - 5 * (many * share * (1 - share)) ** 0.5
         a = self.nodes.select(F.col("node").alias("a"), F.col("doc_id").alias("doc_id_a"), F.col("n").alias("n_a"))
         b = self.nodes.select(F.col("node").alias("b"), F.col("doc_id").alias("doc_id_b"), F.col("n").alias("n_b"))
-        sized = pairs.join(a, "a").join(b, "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        sized = staged(sized.drop("n_a", "n_b"), "sized")
-        used = staged(sized.select(F.col("a").alias("node")).union(sized.select("b")).distinct(), "used")
+        sized = few(few(pairs, most).join(a, "a"), most).join(b, "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        sized = staged(few(sized.drop("n_a", "n_b"), most), "sized")
+        most = sized.count()
+        used = staged(few(sized.select(F.col("a").alias("node")).union(sized.select("b")).distinct(), self.size), "used")
         signatures = among(self.filled.select("node", "minima"), "node", used).join(used, "node", "left_semi").dropDuplicates(["node"])
-        signatures = staged(signatures, "signatures")
+        signatures = staged(few(signatures, self.size), "signatures")
 
         def likely(batches):
             for batch in batches:
@@ -243,16 +255,17 @@ class Graph:
                 kept = batch.filter(pa.array((one == two).sum(axis=1) >= least))
                 yield pa.RecordBatch.from_arrays([kept[c] for c in ("a", "b", "doc_id_a", "doc_id_b")], names=["a", "b", "doc_id_a", "doc_id_b"])
 
-        signed = sized.join(signatures.select(F.col("node").alias("a"), F.col("minima").alias("minima_a")), "a").join(
+        signed = few(sized.join(signatures.select(F.col("node").alias("a"), F.col("minima").alias("minima_a")), "a"), most).join(
             signatures.select(F.col("node").alias("b"), F.col("minima").alias("minima_b")), "b"
         )
-        wanted = signed.select("a", "b", "doc_id_a", "doc_id_b", "minima_a", "minima_b")
+        wanted = few(signed.select("a", "b", "doc_id_a", "doc_id_b", "minima_a", "minima_b"), most)
         wanted = staged(wanted.mapInArrow(likely, "a binary, b binary, doc_id_a long, doc_id_b long"), "pairs")
         needed = wanted.select(F.col("a").alias("node"), F.col("doc_id_a").alias("doc_id")).union(
             wanted.select("b", "doc_id_b")
         ).distinct()
         sets = self.sets_of(needed)
-        held = wanted.join(sets.select(F.col("node").alias("a"), F.col("held").alias("set_a")), "a").join(
+        most = wanted.count()
+        held = few(wanted.join(sets.select(F.col("node").alias("a"), F.col("held").alias("set_a")), "a"), most).join(
             sets.select(F.col("node").alias("b"), F.col("held").alias("set_b")), "b"
         )
 
@@ -266,7 +279,7 @@ class Graph:
                 kept = batch.take(pa.array(good, pa.int64()))
                 yield pa.RecordBatch.from_arrays([kept["a"], kept["b"]], names=["a", "b"])
 
-        return staged(held.select("a", "b", "set_a", "set_b").mapInArrow(compared, "a binary, b binary"), "links", lasting=True)
+        return staged(few(held.select("a", "b", "set_a", "set_b"), most).mapInArrow(compared, "a binary, b binary"), "links", lasting=True)
 
     @scratch()
     def across(self, members: DataFrame, block: int = 1024) -> DataFrame:
@@ -292,9 +305,10 @@ class Graph:
                     names=["node", "n", "mark", "keys"],
                 )
 
+        members = staged(few(members, BANDS * self.size), "in-buckets")
         ends = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"))
-        open_ones = staged(ends.filter("least <> most").select("bucket", "size"), "open")
-        rows = staged(members.join(open_ones, "bucket"), "members").distinct()
+        open_ones = staged(few(ends.filter("least <> most").select("bucket", "size"), self.size), "open")
+        rows = staged(few(members.join(open_ones, "bucket"), BANDS * self.size), "members").distinct()
         used = rows.select("node").distinct().join(self.nodes, "node").select("node", "doc_id")
         rows = rows.join(staged(self.sets_of(used).mapInArrow(marks, "node binary, n long, mark binary, keys binary"), "marks"), "node")
         parts = F.ceil(F.col("size") / block).cast("int")
@@ -369,28 +383,36 @@ def components(links: DataFrame) -> DataFrame:
     def with_least(edges: DataFrame, other: str, key: str) -> DataFrame:
         return edges.groupBy(key).agg(F.least(F.min(other), F.first(key)).alias("least"))
 
-    edges = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct(), "edges")
+    most = links.count()
+    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low"))
+    edges = staged(few(edges.distinct(), most), "edges")
     while True:
+        most = 2 * edges.count()
         both = edges.select(F.col("high").alias("node"), F.col("low").alias("near")).union(edges.select("low", "high"))
-        least = staged(with_least(both, "near", "node"), "least")  # joined as a table, so a hot node's neighbours may be split
-        large = both.filter("near > node").join(least, "node").select(F.col("near").alias("high"), F.col("least").alias("low")).distinct()
-        large = staged(large, "large-star")
-        least = large.groupBy("high").agg(F.min("low").alias("least"))
+        least = staged(few(with_least(both, "near", "node"), most), "least")  # joined as a table, so a hot node's neighbours may be split
+        large = both.filter("near > node").join(least, "node").select(F.col("near").alias("high"), F.col("least").alias("low"))
+        large = staged(few(few(large, most).distinct(), most), "large-star")
+        least = staged(few(large.groupBy("high").agg(F.min("low").alias("least"), F.count("*").alias("lower")), most), "lowest")
+        # Done when every node has one smaller neighbour and no such neighbour has one itself.
+        if least.filter("lower > 1").isEmpty() and large.join(least.select(F.col("high").alias("low")), "low", "left_semi").isEmpty():
+            edges = large
+            break
         small = large.join(least, "high")
         small = small.select(F.col("low").alias("high"), F.col("least").alias("low")).filter("high <> low").union(
             least.select("high", F.col("least").alias("low"))
-        ).distinct()
-        after = staged(small, "small-star")
-        # Done when every node has one smaller neighbour and no such neighbour has one itself.
-        chained = after.join(after.select(F.col("high").alias("low")).distinct(), "low", "left_semi")
-        done = chained.isEmpty() and after.groupBy("high").count().filter("count > 1").isEmpty()
-        edges = after
-        if done:
-            break
+        )
+        edges = staged(few(few(small, most).distinct(), most), "small-star")
     found = edges.select(F.col("high").alias("node"), F.col("low").alias("component")).union(
         edges.select(F.col("low"), F.col("low")).distinct()
     )
-    return staged(found, "components", lasting=True)
+    return staged(few(found, most), "components", lasting=True)
+
+
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """`found` (node, component) with further links (a, b); a component's own links are those to its smallest node."""
+    if links.isEmpty():
+        return found
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
 
 
 @scratch()
@@ -406,27 +428,25 @@ def classed(documents: DataFrame, percent: int = 75) -> DataFrame:
 def _classed(documents: DataFrame, percent: int) -> DataFrame:
     graph = Graph(documents, percent)
     buckets = graph.buckets()
-    stars = staged(
-        buckets.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars"
-    )
-    links = graph.confirmed(stars.groupBy("b").agg(F.min("a").alias("a")))
-    found = components(links)
+    stars = buckets.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    stars = staged(few(stars.distinct(), BANDS * graph.size), "stars")
+    found = components(graph.confirmed(stars.groupBy("b").agg(F.min("a").alias("a")), graph.size))
 
     # Stars whose ends are still apart.
+    most = stars.count()
     of_a = found.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
     of_b = found.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
-    apart = stars.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-    links = staged(links.union(graph.confirmed(apart.select("a", "b"))), "links")
-    found = components(links)
+    apart = few(stars.join(of_a, "a", "left"), most).join(of_b, "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    found = joined(found, graph.confirmed(apart.select("a", "b"), most))
 
     # Buckets in which more than one component is left.
     members = buckets.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    links = staged(links.union(graph.confirmed(graph.across(members))), "links")
-    found = components(links)
+    across = graph.across(members)
+    found = joined(found, graph.confirmed(across, across.count()))
 
     named = graph.rows.select("doc_id", "digest", "n", "node").join(found, "node", "left")
     named = named.select("doc_id", "digest", "n", F.coalesce("component", "node").alias("component"))
-    return staged(named, "classed", lasting=True)
+    return staged(few(named, graph.size), "classed", lasting=True)
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
@@ -441,7 +461,8 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     none. Empty tables give no rows; further columns are not read.
     """
     named = classed(documents, percent)
-    least = staged(named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
+    least = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+    least = staged(few(least, named.count()), "least")
     out = named.join(least, "component", "left")
     component_id = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id")).withColumn(
@@ -459,14 +480,15 @@ def deduplicated(documents: DataFrame, percent: int = 75) -> DataFrame:
     have none, are each judged by their own text. Columns stay as they are.
     """
     rows = classed(documents, percent).filter("component IS NOT NULL")
-    rows = staged(rows.groupBy("component", "doc_id", "digest").agg(F.count("*").alias("copies")), "classes")
+    most = rows.count()
+    rows = staged(few(rows.groupBy("component", "doc_id", "digest").agg(F.count("*").alias("copies")), most), "classes")
     place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest", "copies")
     first = rows.groupBy("component").agg(F.min(place).alias("first")).select("first.*")
     same = lambda other: documents["doc_id"].cast("long").eqNullSafe(other["doc_id"]) & (digest == other["digest"])
     digest = F.unhex(F.sha2(F.coalesce(documents["text"].cast("string"), F.lit("")), 256))
     later = rows.join(first, rows["doc_id"].eqNullSafe(first["doc_id"]) & (rows["digest"] == first["digest"]), "left_anti").select("doc_id", "digest")
-    later = staged(later, "later", lasting=True)
-    again = staged(first.filter("copies > 1").select("doc_id", "digest"), "again", lasting=True)
+    later = staged(few(later, most), "later", lasting=True)
+    again = staged(few(first.filter("copies > 1").select("doc_id", "digest"), most), "again", lasting=True)
     kept = documents.join(later, same(later), "left_anti")
     if again.isEmpty():
         return kept

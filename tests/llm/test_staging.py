@@ -70,6 +70,33 @@ def test_two_byte_ranks_take_the_documented_bytes():
     assert control == bytes([0b1100, 1]) and data == bytes([0, 255, 0, 1, 255, 255, 1, 2, 3, 4, 44, 1])
 
 
+def test_small_tables_take_few_tasks(spark):
+    before = {key: spark.conf.get(key) for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        least = 2 * spark.sparkContext.defaultParallelism
+        links = spark.createDataFrame([(b"%03d" % (i // 2), b"%03d" % (i + 1)) for i in range(200)], "a binary, b binary")
+        with scratch():
+            found = neardup.components(links)
+            assert len(list(tables(spark)["components"].glob("part-*"))) <= least
+            assert found.count() == 201 and {bytes(r.component) for r in found.collect()} == {b"000"}
+        assert neardup.few(spark.range(10, numPartitions=500), 400 * neardup.TASK_ROWS).rdd.getNumPartitions() == max(400, least)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_further_links_join_components(spark):
+    pairs = lambda rows: spark.createDataFrame(rows, "a binary, b binary")
+    found = neardup.components(pairs([(b"a", b"b"), (b"c", b"d"), (b"e", b"f")]))
+    assert neardup.joined(found, pairs([])) is found
+    wider = neardup.joined(found, pairs([(b"d", b"f"), (b"b", b"x")]))
+    assert sorted((bytes(r.node), bytes(r.component)) for r in wider.collect()) == [
+        (b"a", b"a"), (b"b", b"a"), (b"c", b"c"), (b"d", b"c"), (b"e", b"c"), (b"f", b"c"), (b"x", b"a")
+    ]
+
+
 def test_batches_of_large_rows_are_small(spark):
     def sizes(batches):
         for batch in batches:
