@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from equispark.llm.tokens import encoded, typed
 
+ENTRIES = 600_000  # about 180 MB a worker when full
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
-def pieces(documents: DataFrame, tokenizer: str, room: int = 2048, entries: int = 250_000) -> DataFrame:
+def pieces(documents: DataFrame, tokenizer: str, room: int = 2048, entries: int = ENTRIES) -> DataFrame:
     """(doc_id, piece, start, length, ids). Only longer documents are cut; the first piece takes the rest.
 
     Encoded and cut by one Python worker a task, which remembers pieces of text as in `tokenized`.
@@ -87,7 +88,7 @@ class SumOfSquares:
         return sequence, self.room - gap
 
 
-def pack(documents: DataFrame, tokenizer: str, room: int = 2048, group_rows: int = 4096, entries: int = 250_000) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, room: int = 2048, group_rows: int = 4096, entries: int = ENTRIES) -> DataFrame:
     """(doc_id, piece, start, length, ids, sequence_id, offset) of every document.
 
     Documents are dealt by hash into groups of about `group_rows`, each packed

@@ -16,7 +16,7 @@ from equispark.llm.text import filled, slices
 from equispark.llm.worker import alone
 
 END_ID = 0
-SLICE = 1 << 21
+SLICE = 1 << 22
 
 # A text may be parted where the vocabulary's own splitting rule always parts it:
 # at the beginning of a run of white space, before the last sign of such a run
