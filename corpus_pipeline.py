@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equispark.llm import decontamination, language, neardup, packing, pii
-from equispark.llm.staging import staged
+from equispark.llm.staging import batches_of, staged
 from equispark.llm.tokens import vocabulary
 
 
@@ -52,8 +52,12 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and token ids; a null text is its end id alone."""
-    return packing.pack(docs, vocabulary(), entries=100_000)  # beside the workers of the other stages
+    """The pieces of all documents with their sequences and token ids; a null text is its end id alone.
+
+    Written in small batches: full ones of these rows would take 50 MB a task in the workers and again beside the heap.
+    """
+    with batches_of(spark, 1024):
+        return staged(packing.pack(docs, vocabulary(), entries=100_000), "packed")  # beside the workers of the other stages
 
 
 STAGES = [
