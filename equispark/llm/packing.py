@@ -19,36 +19,26 @@ def pieces(documents: DataFrame, tokenizer: str, room: int = 2048, entries: int
     Encoded and cut by one Python worker a task, which remembers pieces of text as in `tokenized`.
     """
 
-    def cut(batches):
-        for batch in batches:
-            for key, ids in zip(batch["doc_id"].to_pylist(), batch["ids"]):
-                raw = ids.as_buffer().to_pybytes()
-                n = len(raw) // 4
-                head = n if n <= room else n % room or room
-                starts = [0, *range(head, n, room)]
-                ends = [*starts[1:], n]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([key] * len(starts), pa.int64()),
-                        pa.array(range(len(starts)), pa.int32()),
-                        pa.array(starts, pa.int64()),
-                        pa.array([e - s for s, e in zip(starts, ends)], pa.int64()),
-                        pa.array([raw[4 * s : 4 * e] for s, e in zip(starts, ends)], pa.binary()),
-                    ],
-                    names=["doc_id", "piece", "start", "length", "ids"],
-                )
-
-    def merged(batches, rows: int = 512):
-        held = []
-        for batch in cut(encoded(batches, tokenizer, entries=entries)):
-            held.append(batch)
-            if len(held) == rows:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    return typed(documents).mapInArrow(merged, PIECES)
+    def cut(batches, rows: int = 512):
+        for batch in encoded(batches, tokenizer, entries=entries):
+            bounds = np.frombuffer(batch["ids"].buffers()[1], np.int32)[batch["ids"].offset :][: batch.num_rows + 1] // 4
+            n = np.diff(bounds)
+            count = np.maximum(-(-n // room), 1)
+            doc = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            head = n - (count - 1) * room
+            starts = np.where(piece, head[doc] + (piece - 1) * room, 0)
+            lengths = np.where(piece, room, head[doc])
+            places = np.append(bounds[doc] + starts, bounds[-1]).astype(np.int32) * 4
+            ids = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(places), batch["ids"].buffers()[2]])
+            out = pa.RecordBatch.from_arrays(
+                [batch["doc_id"].take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), ids],
+                names=["doc_id", "piece", "start", "length", "ids"],
+            )
+            for at in range(0, len(doc), rows):
+                yield out.slice(at, rows)
+
+    return typed(documents).mapInArrow(cut, PIECES)
 
 
 class SumOfSquares:

@@ -30,9 +30,11 @@ _ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _OTHER_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Pieces that the splitting rule never parts further nor joins with another such piece.
 _SINGLE = re.compile(" [A-Za-zÀ-ÖØ-öø-ɏ]+| [0-9]+")
+# Pieces that it never joins with a line break before or behind them; one that they begin with stands by itself.
+_LINE = re.compile(r"[\n ]?\S+")
 
 
-def parted(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+def parted(texts: pa.LargeStringArray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
     """The pieces of all texts, sharing their bytes, and the number of pieces of each text."""
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: bounds[-1]]
@@ -48,7 +50,7 @@ def parted(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]
     cut[bounds - low] = True
     at = np.flatnonzero(cut)
     starts = (at + low).astype(np.int64)
-    pieces = pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts), texts.buffers()[2] or pa.py_buffer(b"")])
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), texts.buffers()[2] or pa.py_buffer(b"")])
     return pieces, np.diff(np.searchsorted(at, bounds - low))
 
 
@@ -58,7 +60,7 @@ class Memory:
     def __init__(self, entries: int):
         self.entries, self.young, self.old = entries, {}, {}
 
-    def known(self, keys: list[str]) -> list[bytes | None]:
+    def known(self, keys: list[bytes]) -> list[bytes | None]:
         """The values of the keys, None for unknown ones."""
         if len(self.young) > self.entries:
             self.young, self.old = {}, self.young
@@ -70,13 +72,6 @@ class Memory:
         return found
 
 
-def gathered(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The runs source[start : start + size] one behind the other."""
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    return source[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
-
-
 class Encoder:
     """Ids by the tokenizers library, which is asked once for a piece of text.
 
@@ -91,6 +86,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memory = Memory(entries)
+        self.line = self._ask(["\n"])[0]
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -110,38 +106,64 @@ class Encoder:
             out += [raw[a:b] for a, b in itertools.pairwise(ends)]
         return out
 
-    def _pieces(self, wanted: list[str]) -> list[bytes]:
+    def _ask_lines(self, pieces: list[str], run: int = 256) -> list[bytes]:
+        """As `_ask_joined`, each piece on a line of its own, where the id of the line break parts them."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), run):
+            own = pieces[at : at + run]
+            bare = [piece[0] != "\n" for piece in own]
+            found = self.library.encode_batch_fast(["".join(["\n" + x if b else x for x, b in zip(own, bare)])], add_special_tokens=False)
+            ids = np.asarray(found[0].ids, "<u4")
+            starts = 4 * np.flatnonzero(ids == int.from_bytes(self.line, "little"))
+            if len(self.line) != 4 or len(starts) != len(own) or starts[0]:  # another splitting rule than the one known here
+                return out + self._ask(pieces[at:])
+            raw = ids.tobytes()
+            ends = [*starts[1:].tolist(), len(raw)]
+            out += [raw[a:b] for a, b in zip((starts + 4 * np.asarray(bare)).tolist(), ends)]
+        return out
+
+    def _pieces(self, wanted: list[bytes]) -> list[bytes]:
         """The ids of different pieces."""
         found = self.memory.known(wanted)
-        unseen = [i for i, ids in enumerate(found) if ids is None]
-        single = [i for i in unseen if _SINGLE.fullmatch(wanted[i])]
-        others = sorted(set(unseen).difference(single))
-        asked = [*self._ask_joined([wanted[i] for i in single]), *self._ask([wanted[i] for i in others])]
-        for i, ids in zip([*single, *others], asked):
-            found[i] = self.memory.young[wanted[i]] = ids
+        kinds: tuple[list[int], list[int], list[int]] = [], [], []
+        texts: tuple[list[str], list[str], list[str]] = [], [], []
+        for i, ids in enumerate(found):
+            if ids is None:
+                text = wanted[i].decode()
+                kind = 0 if _SINGLE.fullmatch(text) else 1 if _LINE.fullmatch(text) else 2
+                kinds[kind].append(i)
+                texts[kind].append(text)
+        young = self.memory.young
+        for own, ask, of in zip(kinds, (self._ask_joined, self._ask_lines, self._ask), texts):
+            for i, ids in zip(own, ask(of)):
+                found[i] = young[wanted[i]] = ids
         return found
 
-    def ids_of(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of some texts one behind the other, and their number in each text; no end ids."""
+    def ids_of(self, texts: pa.LargeStringArray, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts one behind the other, and their number in each text; `end` is put behind each text."""
         whole = pc.match_substring_regex(texts, _OTHER_SPACE)
         for mark in self.special:
             whole = pc.or_(whole, pc.match_substring(texts, mark))
         at_once = np.asarray(whole)
         pieces, counts = parted(texts.filter(pc.invert(whole)) if at_once.any() else texts)
         pieces = pieces.dictionary_encode()
-        parts = self._pieces(pieces.dictionary.to_pylist()) + self._ask(texts.filter(whole).to_pylist())
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        starts = np.cumsum(sizes) - sizes
-        # Texts asked for at once are one more part each, where they stand among the others.
-        per_text = np.ones(len(texts), np.int64)
-        per_text[~at_once] = counts
-        order = np.empty(int(per_text.sum()), np.int64)
-        is_whole = np.repeat(at_once, per_text)
-        order[~is_whole] = pieces.indices.to_numpy()
-        order[is_whole] = len(pieces.dictionary) + np.arange(int(at_once.sum()))
-        flat = gathered(np.frombuffer(b"".join(parts), "<u4"), starts[order], sizes[order])
-        ends = np.concatenate([[0], np.cumsum(sizes[order])])
-        return flat, np.diff(ends[np.concatenate([[0], np.cumsum(per_text)])])
+        different = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        parts = [*self._pieces(different), *self._ask(texts.filter(whole).to_pylist()), end]
+        # A text is its pieces, or one part of its own if it was asked for at once, and the end.
+        per_text = np.full(len(texts), 2, np.int64)
+        per_text[~at_once] = counts + 1
+        ends = np.cumsum(per_text)
+        order = np.full(int(per_text.sum()), len(parts) - 1, np.int32)
+        inner = np.ones(len(order), bool)
+        inner[ends - 1] = False
+        if at_once.any():
+            order[ends[at_once] - 2] = len(different) + np.arange(int(at_once.sum()))
+            inner[ends[at_once] - 2] = False
+        order[inner] = pieces.indices.to_numpy()
+        out = pa.array(parts, pa.large_binary()).take(pa.array(order))
+        bounds = np.frombuffer(out.buffers()[1], np.int64)[out.offset : out.offset + len(out) + 1] if len(out) else np.zeros(1, np.int64)
+        bounds = bounds[np.concatenate([[0], ends])] // 4
+        return np.frombuffer(out.buffers()[2] or b"", "<u4")[bounds[0] : bounds[-1]], np.diff(bounds)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers, without an end id."""
@@ -163,13 +185,12 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 def encoded(batches, path: str, text: str = "text", end_id: int = END_ID, width: str = "<u4", entries: int = 250_000):
     """Batches (doc_id, ids) of batches (doc_id, text), for use inside a task; each id list ends with the end id."""
     lookup = encoder(path, entries)
+    end = np.asarray([end_id], "<u4").tobytes()
     for batch in batches:
         for rows in slices(batch, text, SLICE):
-            flat, sizes = lookup.ids_of(filled(rows[text]))
-            ends = np.cumsum(sizes + 1)
-            ids = np.full(int(ends[-1]) if len(ends) else 0, end_id, width)
-            ids[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)] = flat
-            bounds = np.concatenate([[0], ends]).astype(np.int64) * ids.itemsize
+            flat, sizes = lookup.ids_of(filled(rows[text]), end)
+            ids = flat.astype(width, copy=False)
+            bounds = np.concatenate([[0], np.cumsum(sizes)]) * ids.itemsize
             lists = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([rows["doc_id"], lists.cast(pa.binary())], names=["doc_id", "ids"])
 

@@ -1,4 +1,5 @@
 import inspect
+import tracemalloc
 import re
 from pathlib import Path
 
@@ -7,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from equispark.llm import binary_tokens, neardup, packing, tokens, worker
 from equispark.llm.staging import BATCH, CLEANUP, batches_of, scratch, staged
 from equispark.session import checkpoint_dir
@@ -119,3 +121,36 @@ def test_packing_remembers_the_pieces_of_40_mb():
             assert not again or None not in memory.known(own)
             memory.known(own)
             memory.young.update(dict.fromkeys(own, b""))
+
+
+def test_packing_stage_gets_small_batches(spark, monkeypatch):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    monkeypatch.setattr(packing, "pack", lambda docs, *_, **__: docs.mapInArrow(sizes, "n long"))
+    rows = corpus_pipeline.packed(spark, spark.range(0, 3000, 1, 1), "")
+    assert [r.n for r in rows.collect()] == [1024, 1024, 952]
+
+
+def test_pieces_are_asked_for_together(monkeypatch):
+    words = [f"{a}{b}é{c}" for a in "ABCDEFGHIJ" for b in "abcdefghij" for c in "abcdefghij"]
+    text = "\n".join(words) + " " + ", ".join(w.lower() for w in words) + "  x\t\ty"
+    asked, ask = [], tokens.Encoder._ask
+    monkeypatch.setattr(tokens.Encoder, "_ask", lambda self, texts: asked.extend(texts) or ask(self, texts))
+    own = tokens.Encoder(tokens.vocabulary())
+    assert own.encode([text]) == [np.asarray(own.library.encode(text).ids, "<u4").tobytes()]
+    assert len(asked) < 10
+
+
+def test_slices_take_little_memory():
+    texts = pa.array(["ab cd ef gh ij kl " * 20_000] * 4, pa.large_string())
+    own = tokens.Encoder(tokens.vocabulary())
+    tracemalloc.start()
+    try:
+        flat, sizes = own.ids_of(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(flat) == sizes.sum() and len(set(sizes.tolist())) == 1
+    assert peak < 14 * texts.nbytes, peak / texts.nbytes
