@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equispark.llm.staging import batches_of, scratch, staged
@@ -159,17 +159,22 @@ def _similar(one: bytes, two: bytes, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def among(rows: DataFrame, key: str, keys: DataFrame, max_bits: int = 1 << 26) -> DataFrame:
-    """The rows whose key is in `keys` (staged) or null, with a few others.
+def maybe_in(value: Column, keys: DataFrame, key: str, max_bits: int = 1 << 26, written: bool = True) -> Column:
+    """True where the value is in the column `key` of `keys` (staged) or null, and for a few others.
 
     A Bloom filter ahead of an exact join, so that the join moves few rows. It
     has 8 MB at most; for more keys all rows go to the join.
     """
     n = keys.count()
     if 8 * n > max_bits:
-        return rows
-    held = bloom_level(keys.filter(F.col(key).isNotNull()).select(F.col(key).alias("key")), n, 0.05, 0, max_bits)
-    return rows.filter(F.col(key).isNull() | held.holds(F.col(key)))
+        return F.lit(True)
+    held = bloom_level(keys.filter(F.col(key).isNotNull()).select(F.col(key).alias("key")), n, 0.05, 0, max_bits, written)
+    return value.isNull() | held.holds(value)
+
+
+def among(rows: DataFrame, key: str, keys: DataFrame, max_bits: int = 1 << 26) -> DataFrame:
+    """The rows whose key is in `keys` (staged) or null, with a few others."""
+    return rows.filter(maybe_in(F.col(key), keys, key, max_bits))
 
 
 def few(frame: DataFrame, rows: int) -> DataFrame:
@@ -478,20 +483,23 @@ def deduplicated(documents: DataFrame, percent: int = 75) -> DataFrame:
     several with that id the smallest sha256 of its text, of equal rows any one.
     A row is told by doc_id and text together, so rows that share a doc_id, or
     have none, are each judged by their own text. Columns stay as they are.
+    Only rows whose doc_id may be one of those that lose a row are shuffled.
     """
     rows = classed(documents, percent).filter("component IS NOT NULL")
     most = rows.count()
     rows = staged(few(rows.groupBy("component", "doc_id", "digest").agg(F.count("*").alias("copies")), most), "classes")
     place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest", "copies")
     first = rows.groupBy("component").agg(F.min(place).alias("first")).select("first.*")
-    same = lambda other: documents["doc_id"].cast("long").eqNullSafe(other["doc_id"]) & (digest == other["digest"])
-    digest = F.unhex(F.sha2(F.coalesce(documents["text"].cast("string"), F.lit("")), 256))
     later = rows.join(first, rows["doc_id"].eqNullSafe(first["doc_id"]) & (rows["digest"] == first["digest"]), "left_anti").select("doc_id", "digest")
     later = staged(few(later, most), "later", lasting=True)
     again = staged(few(first.filter("copies > 1").select("doc_id", "digest"), most), "again", lasting=True)
+    asked = maybe_in(documents["doc_id"].cast("long"), later.union(again), "doc_id", written=False)
+    others, documents = documents.filter(~asked), documents.filter(asked)
+    same = lambda other: documents["doc_id"].cast("long").eqNullSafe(other["doc_id"]) & (digest == other["digest"])
+    digest = F.unhex(F.sha2(F.coalesce(documents["text"].cast("string"), F.lit("")), 256))
     kept = documents.join(later, same(later), "left_anti")
     if again.isEmpty():
-        return kept
+        return others.unionByName(kept)
     single = kept.join(again, same(again), "left_anti")
     twice = kept.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(twice)
+    return others.unionByName(single).unionByName(twice)

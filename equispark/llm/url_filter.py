@@ -55,8 +55,8 @@ class Cascade:
         return out.otherwise(len(self.levels) % 2 == 1)
 
 
-def bloom_level(keys: DataFrame, count: int, rate: float, number: int, max_bits: int) -> Level:
-    """A Bloom filter of `count` keys with about the false-positive rate asked for."""
+def bloom_level(keys: DataFrame, count: int, rate: float, number: int, max_bits: int, written: bool = True) -> Level:
+    """A Bloom filter of `count` keys with about the false-positive rate asked for; made by each query that asks it unless it is written."""
     hashes = max(1, round(math.log2(1 / rate)))
     size = max(64, -(-int(count * hashes / math.log(2)) // 64) * 64)
     if size > max_bits:
@@ -68,7 +68,7 @@ def bloom_level(keys: DataFrame, count: int, rate: float, number: int, max_bits:
     dense = keys.sparkSession.range(size // 64).select(F.col("id").cast("int").alias("at"), F.lit(0).cast("long").alias("word")).union(filled)
     dense = dense.groupBy("at").agg(F.bit_or("word").alias("word"))
     row = dense.agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("all")).select(F.col("all.word").alias("bits"))
-    return Level(staged(row, "bloom"), size, hashes, number)
+    return Level(staged(row, "bloom") if written else row, size, hashes, number)
 
 
 def build(universe: DataFrame, later_rate: float = 0.05, max_bits: int = 1 << 28, max_levels: int = 64) -> Cascade:

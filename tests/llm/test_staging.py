@@ -123,6 +123,53 @@ def test_packing_remembers_the_pieces_of_40_mb():
             memory.young.update(dict.fromkeys(own, b""))
 
 
+def shuffled(frame, column):
+    """(rows, bytes) that the frame's run has sent through shuffles which carry the column."""
+    frame.collect()
+    todo, rows, size = [frame._jdf.queryExecution().executedPlan()], 0, 0
+    while todo:
+        plan = todo.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec" and f"{column}#" in plan.output().mkString(","):
+            rows, size = rows + plan.longMetric("shuffleRecordsWritten").value(), size + plan.longMetric("dataSize").value()
+        if name == "AdaptiveSparkPlanExec" or name.endswith("QueryStageExec"):
+            todo.append(plan.executedPlan() if name == "AdaptiveSparkPlanExec" else plan.plan())
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return rows, size
+
+
+def test_only_texts_that_may_go_are_shuffled(spark):
+    rows = [(i, " ".join(f"{i}w{j}" for j in range(30))) for i in range(300)]
+    table = spark.createDataFrame([*rows, (300, rows[0][1]), (301, rows[1][1]), (7, rows[7][1])], "doc_id int, text string")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        out = neardup.deduplicated(table)
+        assert 0 < shuffled(out, "text")[0] < 100
+        assert sorted((r.doc_id, r.text) for r in out.collect()) == rows
+    finally:
+        spark.conf.set(limit, before)
+
+
+def test_packing_shuffles_two_bytes_an_id(spark):
+    out = packing.pack(spark.createDataFrame([(1, "ab, cd " * 20_000), (2, None)], "doc_id long, text string"), tokens.vocabulary())
+    ids = out.agg(F.sum("length")).first()[0]
+    assert 2 * ids < shuffled(out, "held")[1] < 2.5 * ids
+
+
+def test_ids_beyond_16_bits_stay_whole():
+    small, large = np.array([0, 65_535, 7], "<u4"), np.array([65_536, 3], "<u4")
+    assert packing.narrow(small).itemsize == 2 and packing.narrow(large) is large
+    want = [small.tobytes(), large.tobytes(), small[:1].tobytes()]
+    for own in ([0, 2], [1], [0, 1, 2], [2, 0]):
+        lists = [(small, large, small[:1])[i] for i in own]
+        held = pa.array([b"....", *(packing.narrow(x).tobytes() for x in lists)], pa.binary()).slice(1)
+        got = packing.wide(held, np.array([len(x) for x in lists]))
+        assert got.to_pylist() == [want[i] for i in own]
+
+
 def test_packing_stage_gets_small_batches(spark, monkeypatch):
     def sizes(batches):
         for batch in batches:
